@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import canonical_copies, contamination, cross_split, near_duplicates, ngram_counts, shared_spans
+from tallyframe.llm import canonical_copies, contamination, cross_split, defects, near_duplicates, ngram_counts, packing, reading_level, shared_spans, truncation
 from tallyframe.session import table
 
 
@@ -21,6 +21,25 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return groups.withColumnRenamed("id", "criterion_id")
 
 
+def _p2_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Answers of examples and rollouts with their question; a uid names one question."""
+    examples, rollouts = table(spark, d, "examples"), table(spark, d, "rollouts")
+    none = F.lit(None)
+    own = examples.select(F.lit("examples").alias("src"), F.col("ex_id").alias("rec_id"), "question", F.col("reference_answer").alias("answer"), none.cast("string").alias("error"), none.cast("int").alias("recorded"))
+    asked = examples.where("uid is not null").groupBy("uid").agg(F.min("question").alias("question"))
+    sampled = rollouts.join(asked, "uid", "left").select(F.lit("rollouts").alias("src"), F.col("rollout_key").alias("rec_id"), "question", F.col("text").alias("answer"), "error", F.col("n_chars").alias("recorded"))
+    return own.unionByName(sampled)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return defects.defect_labels(_p2_pairs(spark, d)).where("rank = 1").select("src", "rec_id", "defect")
+
+
+def p2_labels(spark: SparkSession, d: str) -> DataFrame:
+    """All labels of each defective pair, with posteriors."""
+    return defects.defect_labels(_p2_pairs(spark, d)).select("src", "rec_id", "defect", F.round("posterior", 6).alias("posterior"), "rank")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     marked = ngram_counts.marked_values(table(spark, d, "criteria"), "title", "uid")
     return marked.where("mark is not null").select("level", "value", "mark")
@@ -39,6 +58,22 @@ def p3_list_check(spark: SparkSession, d: str) -> DataFrame:
     return ngram_counts.list_check(table(spark, d, "criteria"), table(spark, d, "top_titles"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    found = truncation.truncated(table(spark, d, "rollouts"), "rollout_key", "setting", "text", "n_chars")
+    return found.select(F.col("id").alias("rollout_key"))
+
+
+def p4_rates(spark: SparkSession, d: str) -> DataFrame:
+    rollouts = table(spark, d, "rollouts")
+    found = truncation.truncated(rollouts, "rollout_key", "setting", "text", "n_chars")
+    return truncation.truncation_rates(rollouts, found, "setting").withColumnRenamed("source", "setting")
+
+
+def p4_spikes(spark: SparkSession, d: str) -> DataFrame:
+    """Lengths at which a setting's texts pile up at the maximum."""
+    return truncation.spikes(table(spark, d, "rollouts"), "setting", "text").withColumnRenamed("source", "setting")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = cross_split.cross_split_pairs(table(spark, d, "examples"), "ex_id", "question", F.col("split") == "train", 0.75)
     return pairs.select(F.least("id_1", "id_2").alias("ex_id_a"), F.greatest("id_1", "id_2").alias("ex_id_b"))
@@ -97,6 +132,10 @@ def p7_records(spark: SparkSession, d: str) -> DataFrame:
     return canonical_copies.copy_groups(prints).select("first_id", "copies")
 
 
+def p8_sequences(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packed_sequences(packing.token_counts(table(spark, d, "documents"), "doc_id", "text"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     found = contamination.contained_passages(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", ["question", "reference_answer"])
     return found.select("doc_id", F.col("item_id").cast("int").alias("item_id"))
@@ -108,9 +147,27 @@ def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy(F.col("item_id").cast("int").alias("item_id")).agg(F.count(F.lit(1)).alias("n_documents"), F.round(F.max("contained"), 6).alias("most_contained"))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    levels = reading_level.reading_levels(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "reading_labels"))
+    return levels.where("words_per_sentence >= 22.0 and letters_per_word >= 5.8").select("doc_id")
+
+
+def p10_levels(spark: SparkSession, d: str) -> DataFrame:
+    levels = reading_level.reading_levels(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "reading_labels"))
+    return levels.select("doc_id", "words", "sentences", F.round("score", 4).alias("score"), "level")
+
+
+def p10_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """Levels against human grades: ratings by grade and level."""
+    labels = table(spark, d, "reading_labels").where("grade is not null")
+    levels = reading_level.reading_levels(table(spark, d, "documents"), "doc_id", "text", labels)
+    return labels.join(levels.select("doc_id", "level"), "doc_id").groupBy("grade", "level").agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
-    p1_found, p1_groups, p3_found, p3_frequencies, p3_ngrams, p3_list_check, p5_found, p5_overlaps, p5_counts,
-    p6_found, p6_shared_part, p7_found, p7_records, p9_found, p9_leaks,
+    p1_found, p1_groups, p2_found, p2_labels, p3_found, p3_frequencies, p3_ngrams, p3_list_check, p4_found, p4_rates, p4_spikes,
+    p5_found, p5_overlaps, p5_counts, p6_found, p6_shared_part, p7_found, p7_records, p8_sequences, p9_found, p9_leaks,
+    p10_found, p10_levels, p10_agreement,
 ]
 
 
