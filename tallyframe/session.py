@@ -52,3 +52,23 @@ def small_or_plain(df: DataFrame, max_rows: int) -> DataFrame:
     """``df`` with a broadcast hint if it was counted to hold at most ``max_rows`` rows, else as it is,
     so that a larger one joins through a shuffle. Give it something cheap to count, as a ``cut``."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Hands this package to the executors' Python workers, once for each application, so that queries also run
+    where it isn't installed on every machine."""
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_tallyframe_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="tallyframe-package-"), "tallyframe.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, files in os.walk(root):
+            for name in files:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(root)))
+    sc.addPyFile(archive)
+    sc._tallyframe_shipped = True
