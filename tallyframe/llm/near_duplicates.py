@@ -28,7 +28,7 @@ from tallyframe.session import cut
 
 BANDS = 28
 PER_BAND = 6
-FREQUENT = 0.05
+FREQUENT = 0.1
 SKETCH_BITS = 128
 
 
@@ -96,7 +96,7 @@ def band_rows(values: np.ndarray, offsets: np.ndarray, common: np.ndarray, count
 
 
 def candidate_pairs(classes: DataFrame, common: np.ndarray, counts: np.ndarray, threshold: float, bands: int = BANDS, per_band: int = PER_BAND, seed: int = 7) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of representatives that share a band and whose set sizes allow the threshold."""
+    """Distinct pairs (a, b), a < b, of representatives that share a band."""
     shared = classes.sparkSession.sparkContext.broadcast((common, counts))
 
     def run(batches):
@@ -106,18 +106,16 @@ def candidate_pairs(classes: DataFrame, common: np.ndarray, counts: np.ndarray,
                 part = b.slice(at, 2000)
                 values, offsets = flat(part["words"])
                 row, key = band_rows(values.view(np.uint64), offsets, common, counts, threshold, bands, per_band, seed)
-                ids = part["rep"].to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([as_long(key), pa.array(ids[row]), pa.array(np.diff(offsets)[row].astype(np.int32))], ["key", "id", "size"])
+                yield pa.RecordBatch.from_arrays([as_long(key), pa.array(part["rep"].to_numpy(zero_copy_only=False)[row])], ["key", "id"])
 
-    keyed = classes.select("rep", "words").mapInArrow(run, "key long, id long, size int")
+    keyed = classes.select("rep", "words").mapInArrow(run, "key long, id long")
     x, y = keyed.alias("x"), keyed.alias("y")
-    fits = (F.col("x.size") >= F.ceil(threshold * F.col("y.size") - 1e-9)) & (F.col("y.size") >= F.ceil(threshold * F.col("x.size") - 1e-9))
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & fits)
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")))
     return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
 def sketches(classes: DataFrame, bands: int = BANDS, per_band: int = PER_BAND, seed: int = 7) -> DataFrame:
-    """(id, s1, s2): one bit of each of 128 min-max signature values."""
+    """(id, size, s1, s2): number of words, and one bit of each of 128 min-max signature values."""
 
     def run(batches):
         odd = odd_numbers(bands, per_band, seed)
@@ -131,17 +129,19 @@ def sketches(classes: DataFrame, bands: int = BANDS, per_band: int = PER_BAND, s
                     for j, v in enumerate(signature(values, offsets, k, odd, low)):
                         bit = 2 * k + j
                         out[bit // 64] |= (mix(v) & np.uint64(1)) << np.uint64(bit % 64)
-                yield pa.RecordBatch.from_arrays([part["rep"], as_long(out[0]), as_long(out[1])], ["id", "s1", "s2"])
+                size = pa.array(np.diff(offsets).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([part["rep"], size, as_long(out[0]), as_long(out[1])], ["id", "size", "s1", "s2"])
 
-    return classes.select("rep", "words").mapInArrow(run, "id long, s1 long, s2 long")
+    return classes.select("rep", "words").mapInArrow(run, "id long, size int, s1 long, s2 long")
 
 
-def likely_pairs(pairs: DataFrame, sketch: DataFrame, differ: int) -> DataFrame:
-    """The candidate pairs whose sketches differ in at most so many bits."""
-    left = sketch.select(F.col("id").alias("a"), F.col("s1").alias("a1"), F.col("s2").alias("a2"))
-    right = sketch.select(F.col("id").alias("b"), F.col("s1").alias("b1"), F.col("s2").alias("b2"))
+def likely_pairs(pairs: DataFrame, sketch: DataFrame, threshold: float) -> DataFrame:
+    """The candidate pairs whose sizes allow the threshold and whose sketches don't differ too much for it."""
+    left = sketch.select(F.col("id").alias("a"), F.col("size").alias("a0"), F.col("s1").alias("a1"), F.col("s2").alias("a2"))
+    right = sketch.select(F.col("id").alias("b"), F.col("size").alias("b0"), F.col("s1").alias("b1"), F.col("s2").alias("b2"))
     apart = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
-    return pairs.join(left, "a").join(right, "b").where(apart <= differ).select("a", "b")
+    fits = F.least("a0", "b0") >= F.ceil(threshold * F.greatest("a0", "b0") - 1e-9)
+    return pairs.join(left, "a").join(right, "b").where(fits & (apart <= sketch_differ(threshold))).select("a", "b")
 
 
 def near_duplicate_classes(rows: DataFrame, id_col: str, text_cols: list[str], threshold: float = 0.75, frequent: float = FREQUENT) -> tuple[DataFrame, DataFrame]:
@@ -149,7 +149,7 @@ def near_duplicate_classes(rows: DataFrame, id_col: str, text_cols: list[str], t
     common, counts = frequent_words(rows, text_cols, frequent)
     sets = word_sets(rows, id_col, text_cols)
     classes = set_classes(sets)
-    likely = likely_pairs(candidate_pairs(classes, common, counts, threshold), sketches(classes), sketch_differ(threshold))
+    likely = likely_pairs(candidate_pairs(classes, common, counts, threshold), sketches(classes), threshold)
     pairs = verified(likely, classes, threshold)
     return pairs, members(sets, classes)
 
