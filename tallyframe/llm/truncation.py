@@ -22,6 +22,8 @@ COMPLETE = [
     r"\([A-Za-z0-9]\)$",  # an option
     r"(?i)\boptions?\s*:[^\n]*\([A-Z]\)\s+\S+(?:\s+\S+){0,3}$",  # a list of options
     r"^\s*[-+]?\d[\d.,]*(?:e[-+]?\d+)?(?:\s+\S+)?$",  # a bare result
+    r"^\s*\[[^\[\]]*\]$",  # a note in brackets
+    r"""["'\u201d\u2019](?i:\s*(?:final )?answer:)$""",  # a quotation with nothing but a label after it
 ]
 #: Content is any letter or digit once tags, fences and placeholders are gone.
 PLACEHOLDER = r"(?i)^[\s\p{P}\p{S}\u200b]*(?:(?:final\s+)?answer|response|n/?a|none|null|nil|nan|tbd|todo|empty|no answer|no response|think)?[\s\p{P}\p{S}\u200b]*$"
