@@ -8,7 +8,7 @@ terminal punctuation, and no result, option or list item that needs none.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Characters without meaning at the end: blanks, zero-width marks, closing quotes, brackets and markup.
@@ -47,20 +47,24 @@ def complete_ending(text: Column) -> Column:
     return out
 
 
-def spikes(rows: DataFrame, source: str, text_col: str, factor: float = 8.0, least: int = 5, near: float = 0.1) -> DataFrame:
+def spikes(rows: DataFrame, source: str, text_col: str, factor: float = 8.0, least: int = 5, near: float = 0.1, beyond: float = 0.02) -> DataFrame:
     """(source, unit, length, n, expected): lengths at which a source's values pile up at the maximum.
 
-    unit is ``chars`` or ``bytes``. expected is the mean count of the lengths within ``near`` of the maximum below it; a spike
-    has at least ``least`` values and ``factor`` times that. Histograms are bounded by the longest text, not by the rows."""
-    lengths = rows.select(F.col(source).alias("source"), F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.length(text_col).alias("length")), F.struct(F.lit("bytes").alias("unit"), F.octet_length(text_col).alias("length")))).alias("x"))
-    counted = lengths.select("source", "x.unit", "x.length").where("length > 0").groupBy("source", "unit", "length").agg(F.count(F.lit(1)).alias("n"))
-    top = counted.groupBy("source", "unit").agg(F.max("length").alias("top"), F.max_by("n", "length").alias("n_top"))
-    below = counted.alias("c").join(top.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source")) & (F.col("c.unit") == F.col("t.unit")))
+    unit is ``chars`` or ``bytes``. expected is the mean count of the lengths within ``near`` below. A spike has at least
+    ``least`` values and ``factor`` times the expected ones, and no more than the share ``beyond`` of the source's values is
+    longer (a few may have been changed after the cut). Histograms are bounded by the longest text, not by the rows."""
+    units = F.array(F.struct(F.lit("chars").alias("unit"), F.length(text_col).alias("length")), F.struct(F.lit("bytes").alias("unit"), F.octet_length(text_col).alias("length")))
+    counted = rows.select(F.col(source).alias("source"), F.explode(units).alias("x")).select("source", "x.unit", "x.length").where("length > 0")
+    counted = counted.groupBy("source", "unit", "length").agg(F.count(F.lit(1)).alias("n"))
+    by_length = Window.partitionBy("source", "unit").orderBy("length")
+    longer = F.coalesce(F.sum("n").over(by_length.rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
+    total = F.sum("n").over(Window.partitionBy("source", "unit"))
+    ranked = counted.withColumn("beyond", longer / total).where((F.col("beyond") <= beyond) & (F.col("n") >= least)).withColumnRenamed("n", "n_top").withColumnRenamed("length", "top")
     width = F.greatest(F.floor(F.col("top") * near), F.lit(1))
-    in_reach = (F.col("length") < F.col("top")) & (F.col("length") >= F.col("top") - width)
-    out = below.select("t.source", "t.unit", "top", "n_top", F.when(in_reach, F.col("n")).otherwise(0).alias("n"), width.alias("width"))
-    out = out.groupBy("source", "unit", "top", "n_top", "width").agg((F.sum("n") / F.col("width")).alias("expected"))
-    return out.where((F.col("n_top") >= least) & (F.col("n_top") >= factor * F.col("expected"))).select("source", "unit", F.col("top").alias("length"), F.col("n_top").alias("n"), "expected")
+    same = F.col("t.source").eqNullSafe(F.col("c.source")) & (F.col("t.unit") == F.col("c.unit"))
+    below = ranked.alias("t").join(counted.alias("c"), same & (F.col("length") < F.col("top")) & (F.col("length") >= F.col("top") - width), "left")
+    out = below.groupBy("t.source", "t.unit", "top", "n_top").agg((F.coalesce(F.sum("n"), F.lit(0)) / F.first(width)).alias("expected"))
+    return out.where(F.col("n_top") >= factor * F.col("expected")).select("source", "unit", F.col("top").alias("length"), F.col("n_top").alias("n"), "expected")
 
 
 def truncated(rows: DataFrame, id_col: str, source: str, text_col: str, chars_col: str | None = None, slack: int = 5) -> DataFrame:
