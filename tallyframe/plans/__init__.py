@@ -1 +1,6 @@
-"""plans of the engine."""
+"""All queries of the engine, with their SQL."""
+
+from tallyframe.plans import datasets, evaluation, forensics, lint  # noqa: F401
+from tallyframe.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
