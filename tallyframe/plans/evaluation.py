@@ -20,12 +20,12 @@ from tallyframe.session import table
 
 R6 = lambda c: F.round(c, 6)
 _CAT = "case l_returnflag when 'A' then 'Essential' when 'R' then 'Important' else 'Pitfall' end"
-_V = f"v as (select l_orderkey as answer, l_linenumber as item, {_CAT} as cat, l_quantity as weight, l_linestatus = 'F' as literally_true, l_shipmode as mode from lineitem)"
+_V = f"v as (select l_orderkey as answer, l_linenumber as item, {_CAT} as cat, l_quantity as weight, l_linestatus = 'F' as literally_true, l_linenumber <= 2 as inverted from lineitem)"
 
 
 def verdicts(spark: SparkSession, d: str) -> DataFrame:
     cat = F.when(F.col("l_returnflag") == "A", "Essential").when(F.col("l_returnflag") == "R", "Important").otherwise("Pitfall")
-    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("answer"), F.col("l_linenumber").alias("item"), cat.alias("cat"), F.col("l_quantity").cast("double").alias("weight"), (F.col("l_linestatus") == "F").alias("literally_true"), F.col("l_shipmode").alias("mode"))
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("answer"), F.col("l_linenumber").alias("item"), cat.alias("cat"), F.col("l_quantity").cast("double").alias("weight"), (F.col("l_linestatus") == "F").alias("literally_true"), (F.col("l_linenumber") <= 2).alias("inverted"))
 
 
 def weighted_scores(v: DataFrame, group: list[str]) -> DataFrame:
@@ -46,14 +46,14 @@ def verdict_scores(spark: SparkSession, d: str) -> DataFrame:
     return weighted_scores(verdicts(spark, d).withColumn("met", F.col("literally_true")), ["answer"])
 
 
-_MODES = {"detected": "cat = 'Pitfall' and mode in ('AIR', 'RAIL')", "all_avoidance": "false", "all_failure": "cat = 'Pitfall'"}
+_MODES = {"detected": "cat = 'Pitfall' and inverted", "all_avoidance": "false", "all_failure": "cat = 'Pitfall'"}
 
 
 @query(f"with {_V} " + " union all ".join(f"select '{m}' as polarity_mode, answer, {_SHARES}, count(*) as n_items, sum(case when met then 1 else 0 end) as n_met from (select *, case when {c} then not literally_true else literally_true end as met from v) group by answer" for m, c in _MODES.items()))
 def verdict_scores_by_polarity(spark: SparkSession, d: str) -> DataFrame:
     """The same verdicts scored under each convention: rows are multiplied by the three modes and aggregated once."""
     pitfall = F.col("cat") == "Pitfall"
-    negative = {"detected": pitfall & F.col("mode").isin("AIR", "RAIL"), "all_avoidance": F.lit(False), "all_failure": pitfall}
+    negative = {"detected": pitfall & F.col("inverted"), "all_avoidance": F.lit(False), "all_failure": pitfall}
     modes = F.explode(F.array(*[F.struct(F.lit(m).alias("polarity_mode"), (F.col("literally_true") != n).alias("met")) for m, n in negative.items()]))
     v = verdicts(spark, d).select("answer", "cat", "weight", modes.alias("m")).select("answer", "cat", "weight", "m.*")
     return weighted_scores(v, ["polarity_mode", "answer"])
@@ -210,21 +210,21 @@ def correctness_by_length(spark: SparkSession, d: str) -> DataFrame:
     return paired.logistic_slopes(r, ["setting"], "x", "y")
 
 
-@query("""with p as (select l_shipmode as g, l_linenumber as i, least(1.0, (count(*) % 97) / 97.0) as p from lineitem group by 1, 2), r as (select *, row_number() over (partition by g order by p, i) as k, count(*) over (partition by g) as m from p)
+@query("""with p as (select l_returnflag as g, l_linenumber as i, least(1.0, (count(*) % 97) / 97.0) as p from lineitem group by 1, 2), r as (select *, row_number() over (partition by g order by p, i) as k, count(*) over (partition by g) as m from p)
 select g, i, round(p, 6) as p, round(least(1.0, min(p * m / k) over (partition by g order by p desc range between unbounded preceding and current row)), 6) as q from r""")
 def adjusted_families(spark: SparkSession, d: str) -> DataFrame:
     """Benjamini-Hochberg within each family."""
-    p = table(spark, d, "lineitem").groupBy(F.col("l_shipmode").alias("g"), F.col("l_linenumber").alias("i")).agg(F.least(F.lit(1.0), (F.count(F.lit(1)) % 97) / 97.0).alias("p"))
+    p = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("g"), F.col("l_linenumber").alias("i")).agg(F.least(F.lit(1.0), (F.count(F.lit(1)) % 97) / 97.0).alias("p"))
     return ranking.bh_adjusted(p, ["g"], "p").select("g", "i", R6("p").alias("p"), R6("q").alias("q"))
 
 
-@query("""with t as (select l_shipmode as g, sum(case when a and b then 1 else 0 end) as n11, sum(case when a and not b then 1 else 0 end) as n10, sum(case when not a and b then 1 else 0 end) as n01, sum(case when not a and not b then 1 else 0 end) as n00
- from (select l_shipmode, l_linestatus = 'F' as a, l_returnflag <> 'N' as b from lineitem) group by 1), x as (select *, n11 + n10 + n01 + n00 as n from t)
+@query("""with t as (select l_linenumber as g, sum(case when a and b then 1 else 0 end) as n11, sum(case when a and not b then 1 else 0 end) as n10, sum(case when not a and b then 1 else 0 end) as n01, sum(case when not a and not b then 1 else 0 end) as n00
+ from (select l_linenumber, l_linestatus = 'F' as a, l_returnflag <> 'N' as b from lineitem) group by 1), x as (select *, n11 + n10 + n01 + n00 as n from t)
 select g, n, round((n11 + n00) / n, 6) as agreement, round(2 * (n11 + n00) / n - 1, 6) as pabak, round(((n11 + n00) / n - e) / (1 - e), 6) as kappa from (select *, ((n11 + n10) * (n11 + n01) + (n00 + n10) * (n00 + n01)) / (n * n) as e from x)""")
 def rater_agreement(spark: SparkSession, d: str) -> DataFrame:
     """Cohen's kappa and its prevalence-adjusted form from counts of two yes/no readings."""
     a, b = F.col("l_linestatus") == "F", F.col("l_returnflag") != "N"
-    t = table(spark, d, "lineitem").groupBy(F.col("l_shipmode").alias("g")).agg(F.count_if(a & b).alias("n11"), F.count_if(a & ~b).alias("n10"), F.count_if(~a & b).alias("n01"), F.count_if(~a & ~b).alias("n00"))
+    t = table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("g")).agg(F.count_if(a & b).alias("n11"), F.count_if(a & ~b).alias("n10"), F.count_if(~a & b).alias("n01"), F.count_if(~a & ~b).alias("n00"))
     n11, n10, n01, n00 = (F.col(c).cast("double") for c in ("n11", "n10", "n01", "n00"))
     same = (n11 + n00) / (n11 + n10 + n01 + n00)
     return t.select("g", (F.col("n11") + F.col("n10") + F.col("n01") + F.col("n00")).alias("n"), R6(same).alias("agreement"), R6(2 * same - 1).alias("pabak"), R6(ranking.kappa(n11, n10, n01, n00)).alias("kappa"))
