@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.textarrays import as_long, flat, mix
 from tallyframe.llm.near_duplicates import frequent_words
-from tallyframe.llm.sets import members, set_classes, word_sets
+from tallyframe.llm.sets import class_words, members, set_classes, word_sets
 
 FREQUENT = 0.001
 SPREAD = 1.5
@@ -52,7 +52,7 @@ class Weights:
         return np.where(known, self.squared[at], self.spread), np.where(known, self.counts[at], 0)
 
 
-def inverted_lists(classes: DataFrame, weights, threshold: float, least_norm: float) -> DataFrame:
+def inverted_lists(vectors: DataFrame, weights, threshold: float, least_norm: float) -> DataFrame:
     """(term, id, size, upto): for each indexed word of each vector, the norm of the vector up to that word."""
 
     def run(batches):
@@ -76,7 +76,7 @@ def inverted_lists(classes: DataFrame, weights, threshold: float, least_norm: fl
                 ids = part["rep"].to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays([as_long(values[index]), pa.array(ids[rows[index]]), pa.array(n[rows[index]].astype(np.int32)), pa.array(residual[index])], ["term", "id", "size", "upto"])
 
-    return classes.select("rep", "words").mapInArrow(run, "term long, id long, size int, upto double")
+    return vectors.select("rep", "words").mapInArrow(run, "term long, id long, size int, upto double")
 
 
 def exact_similarity(pairs: DataFrame, left: DataFrame, right: DataFrame, weights) -> DataFrame:
@@ -119,13 +119,14 @@ def cross_split_pairs(rows: DataFrame, id_col: str, text_col: str, first_side: C
     sides = [word_sets(picked.where(F.col("side") == flag), "id", ["text"]) for flag in (True, False)]
     classes = [set_classes(s) for s in sides]
     # Every squared weight is 1 at least, so a norm is at least the root of the smallest number of words.
-    least = [c.agg(F.min(F.size("words")).alias("n")).first().n or 1 for c in classes]
-    lists = [inverted_lists(c, weights, bound, float(np.sqrt(n))) for c, n in zip(classes, reversed(least))]
+    vectors = [class_words(s, c) for s, c in zip(sides, classes)]
+    least = [c.agg(F.min(F.size("words")).alias("n")).first().n or 1 for c in vectors]
+    lists = [inverted_lists(c, weights, bound, float(np.sqrt(n))) for c, n in zip(vectors, reversed(least))]
     x, y = lists[0].alias("x"), lists[1].alias("y")
     fits = (F.col("x.size") >= F.ceil(threshold * F.col("y.size") - 1e-9)) & (F.col("y.size") >= F.ceil(threshold * F.col("x.size") - 1e-9))
     near = F.col("x.upto") * F.col("y.upto") >= bound - 1e-9
     pairs = x.join(y, (F.col("x.term") == F.col("y.term")) & fits & near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    good = exact_similarity(pairs, *classes, weights).where((F.col("cosine") >= bound - 1e-9) & (F.col("jaccard") >= threshold))
+    good = exact_similarity(pairs, *vectors, weights).where((F.col("cosine") >= bound - 1e-9) & (F.col("jaccard") >= threshold))
     for side, sets, cls in (("a", sides[0], classes[0]), ("b", sides[1], classes[1])):
         copies = members(sets, cls).select(F.col("rep").alias(side), F.col("id").alias(f"id_{side}"))
         good = good.join(copies, side, "left").withColumn(f"id_{side}", F.coalesce(f"id_{side}", side))

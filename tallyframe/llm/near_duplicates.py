@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.textarrays import as_long, chunks, flat, mix, word_hashes, distinct_per_row
 from tallyframe.llm.graph import connected_components
-from tallyframe.llm.sets import expanded, members, set_classes, verified, word_sets
+from tallyframe.llm.sets import class_words, expanded, members, set_classes, verified, word_sets
 from tallyframe.session import cut
 
 BANDS = 28
@@ -95,9 +95,9 @@ def band_rows(values: np.ndarray, offsets: np.ndarray, common: np.ndarray, count
     return np.concatenate([plain[0], row[which]]), np.concatenate([plain[1], split])
 
 
-def candidate_pairs(classes: DataFrame, common: np.ndarray, counts: np.ndarray, threshold: float, bands: int = BANDS, per_band: int = PER_BAND, seed: int = 7) -> DataFrame:
+def candidate_pairs(vectors: DataFrame, common: np.ndarray, counts: np.ndarray, threshold: float, bands: int = BANDS, per_band: int = PER_BAND, seed: int = 7) -> DataFrame:
     """Distinct pairs (a, b), a < b, of representatives that share a band."""
-    shared = classes.sparkSession.sparkContext.broadcast((common, counts))
+    shared = vectors.sparkSession.sparkContext.broadcast((common, counts))
 
     def run(batches):
         common, counts = shared.value
@@ -108,13 +108,13 @@ def candidate_pairs(classes: DataFrame, common: np.ndarray, counts: np.ndarray,
                 row, key = band_rows(values.view(np.uint64), offsets, common, counts, threshold, bands, per_band, seed)
                 yield pa.RecordBatch.from_arrays([as_long(key), pa.array(part["rep"].to_numpy(zero_copy_only=False)[row])], ["key", "id"])
 
-    keyed = classes.select("rep", "words").mapInArrow(run, "key long, id long")
+    keyed = vectors.select("rep", "words").mapInArrow(run, "key long, id long")
     x, y = keyed.alias("x"), keyed.alias("y")
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")))
     return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
-def sketches(classes: DataFrame, bands: int = BANDS, per_band: int = PER_BAND, seed: int = 7) -> DataFrame:
+def sketches(vectors: DataFrame, bands: int = BANDS, per_band: int = PER_BAND, seed: int = 7) -> DataFrame:
     """(id, size, s1, s2): number of words, and one bit of each of 128 min-max signature values."""
 
     def run(batches):
@@ -132,7 +132,7 @@ def sketches(classes: DataFrame, bands: int = BANDS, per_band: int = PER_BAND, s
                 size = pa.array(np.diff(offsets).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([part["rep"], size, as_long(out[0]), as_long(out[1])], ["id", "size", "s1", "s2"])
 
-    return classes.select("rep", "words").mapInArrow(run, "id long, size int, s1 long, s2 long")
+    return vectors.select("rep", "words").mapInArrow(run, "id long, size int, s1 long, s2 long")
 
 
 def likely_pairs(pairs: DataFrame, sketch: DataFrame, threshold: float) -> DataFrame:
@@ -149,8 +149,9 @@ def near_duplicate_classes(rows: DataFrame, id_col: str, text_cols: list[str], t
     common, counts = frequent_words(rows, text_cols, frequent)
     sets = word_sets(rows, id_col, text_cols)
     classes = set_classes(sets)
-    likely = likely_pairs(candidate_pairs(classes, common, counts, threshold), sketches(classes), threshold)
-    pairs = verified(likely, classes, threshold)
+    vectors = class_words(sets, classes)
+    likely = likely_pairs(candidate_pairs(vectors, common, counts, threshold), sketches(vectors), threshold)
+    pairs = verified(likely, vectors, threshold)
     return pairs, members(sets, classes)
 
 

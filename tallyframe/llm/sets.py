@@ -26,9 +26,15 @@ def word_sets(rows: DataFrame, id_col: str, text_cols: list[str]) -> DataFrame:
 
 
 def set_classes(sets: DataFrame) -> DataFrame:
-    """One row per distinct set: rep (its smallest id), n (rows that have it), words. The aggregate is
-    combined before the shuffle, so a set that fills a third of all rows is still a few rows per task."""
-    return sets.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("words").alias("words"))
+    """One row per distinct set: rep (its smallest id), n (rows that have it). The aggregate is combined before the
+    shuffle, so a set that fills a third of all rows is still a few rows per task; the words themselves aren't shuffled."""
+    return sets.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
+
+
+def class_words(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """(rep, words) of every distinct set: the rows of the representatives, partitioned by rep. Every later join on rep
+    reads this one exchange."""
+    return sets.select(F.col("id").alias("rep"), "words").join(classes.select("rep"), "rep", "left_semi")
 
 
 def members(sets: DataFrame, classes: DataFrame) -> DataFrame:
@@ -43,11 +49,10 @@ def jaccard(a: str = "words_a", b: str = "words_b"):
     return shared / (F.size(a) + F.size(b) - shared)
 
 
-def verified(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, similarity) of the candidate pairs of class representatives that reach the threshold.
-    Both joins read one and the same exchange of the classes."""
-    sets = classes.select(F.col("rep").alias("a"), F.col("words").alias("words_a"))
-    other = classes.select(F.col("rep").alias("b"), F.col("words").alias("words_b"))
+def verified(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity) of the candidate pairs of class representatives that reach the threshold."""
+    sets = vectors.select(F.col("rep").alias("a"), F.col("words").alias("words_a"))
+    other = vectors.select(F.col("rep").alias("b"), F.col("words").alias("words_b"))
     return pairs.join(sets, "a").join(other, "b").select("a", "b", jaccard().alias("similarity")).where(F.col("similarity") >= threshold)
 
 
