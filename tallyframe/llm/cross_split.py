@@ -113,7 +113,7 @@ def cross_split_pairs(rows: DataFrame, id_col: str, text_col: str, first_side: C
     columns are ignored; texts are used whole."""
     picked = rows.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(first_side, F.lit(False)).alias("side"))
     total = picked.count()
-    common, counts = frequent_words(picked, ["text"], FREQUENT)
+    common, counts = frequent_words(picked, ["text"], FREQUENT, total)
     weights = rows.sparkSession.sparkContext.broadcast(Weights(common, counts, total))
     bound = cosine_bound(threshold)
     sides = [word_sets(picked.where(F.col("side") == flag), "id", ["text"]) for flag in (True, False)]

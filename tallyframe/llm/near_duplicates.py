@@ -1,10 +1,10 @@
 """Problem 1: near-duplicate records, by min-max hashing.
 
 Each of K hash functions is evaluated once per word and gives two signature values, its minimum and its
-maximum over the record, so that 2K values cost K evaluations. Six values make a band; records that share a
+maximum over the record, so that 2K values cost K evaluations. Six values (more beyond a million rows) make a band; records that share a
 band are candidates. One bit of each of 128 signature values makes a sketch that discards most false
 candidates, and exact Jaccard similarity decides about the others. At similarity 0.75 a pair shares none of
-28 bands with a chance of about 0.5 %, at 0.8 of 0.05 %, at 0.9 of none in a billion; a true pair fails the sketch in
+its bands with a chance of about 0.6 %, at 0.8 of 0.05 %, at 0.9 of none in a billion; a true pair fails the sketch in
 less than one case in 100,000.
 
 Hot bands: words of more than ``frequent`` of all records are known beforehand (at most average length /
@@ -16,6 +16,8 @@ Equal sets are collapsed first. Pairs are joined in the JVM, where AQE can split
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,12 +28,23 @@ from tallyframe.llm.graph import connected_components
 from tallyframe.llm.sets import class_words, expanded, members, set_classes, verified, word_sets
 from tallyframe.session import cut
 
-BANDS = 28
-PER_BAND = 6
+#: The chance that a pair just at the threshold shares no band.
+MISSED = 0.006
 FREQUENT = 0.1
 SKETCH_BITS = 128
 
 
+def band_parameters(n: int, threshold: float) -> tuple[int, int]:
+    """(bands, values per band) for n rows: six values up to a million rows and two more for every further factor of ten, so that
+    false candidates stay in proportion to the rows; bands enough for MISSED. A pair's minimum and maximum of one hash function
+    agree a little less often than independent ones, by about five percent of a band."""
+    per_band, size = 6, n
+    while size > 1_000_000:
+        per_band, size = per_band + 2, size // 10
+    hit = 0.95 * threshold**per_band
+    return max(math.ceil(math.log(MISSED) / math.log1p(-hit)), math.ceil(SKETCH_BITS / per_band)), per_band
+
+
 def sketch_differ(threshold: float) -> int:
     """Of 128 bits, those that may differ: five standard deviations above the mean at the threshold."""
     p = (1 - threshold) / 2
@@ -39,8 +52,8 @@ def sketch_differ(threshold: float) -> int:
 EXPAND_LIMIT = 1000
 
 
-def frequent_words(rows: DataFrame, text_cols: list[str], share: float) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (sorted) and counts of the words that occur more often than ``share`` times the number of rows. No
+def frequent_words(rows: DataFrame, text_cols: list[str], share: float, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) and counts of the words that occur more often than ``share`` times the number of rows, n. No
     more than (average number of words) / share of them can exist, whatever the number of rows."""
     text = rows.select(F.concat_ws(" ", *[F.col(c) for c in text_cols]).alias("text"))
 
@@ -49,7 +62,7 @@ def frequent_words(rows: DataFrame, text_cols: list[str], share: float) -> tuple
             words, counts = np.unique(word_hashes(b["text"].to_pylist())[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([as_long(words), pa.array(counts)], ["w", "c"])
 
-    least = max(1, int(share * rows.count()))
+    least = max(1, int(share * n))
     found = text.mapInArrow(run, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")).where(F.col("c") > least).collect()
     words = np.array([r.w for r in found], np.int64).view(np.uint64)
     order = np.argsort(words)
@@ -95,7 +108,7 @@ def band_rows(values: np.ndarray, offsets: np.ndarray, common: np.ndarray, count
     return np.concatenate([plain[0], row[which]]), np.concatenate([plain[1], split])
 
 
-def candidate_pairs(vectors: DataFrame, common: np.ndarray, counts: np.ndarray, threshold: float, bands: int = BANDS, per_band: int = PER_BAND, seed: int = 7) -> DataFrame:
+def candidate_pairs(vectors: DataFrame, common: np.ndarray, counts: np.ndarray, threshold: float, bands: int, per_band: int, seed: int = 7) -> DataFrame:
     """Distinct pairs (a, b), a < b, of representatives that share a band."""
     shared = vectors.sparkSession.sparkContext.broadcast((common, counts))
 
@@ -114,7 +127,7 @@ def candidate_pairs(vectors: DataFrame, common: np.ndarray, counts: np.ndarray,
     return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
-def sketches(vectors: DataFrame, bands: int = BANDS, per_band: int = PER_BAND, seed: int = 7) -> DataFrame:
+def sketches(vectors: DataFrame, bands: int, per_band: int, seed: int = 7) -> DataFrame:
     """(id, size, s1, s2): number of words, and one bit of each of 128 min-max signature values."""
 
     def run(batches):
@@ -146,11 +159,13 @@ def likely_pairs(pairs: DataFrame, sketch: DataFrame, threshold: float) -> DataF
 
 def near_duplicate_classes(rows: DataFrame, id_col: str, text_cols: list[str], threshold: float = 0.75, frequent: float = FREQUENT) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b, similarity) of representatives of different word sets, and the (rep, n, id) of equal ones."""
-    common, counts = frequent_words(rows, text_cols, frequent)
+    n = rows.count()
+    common, counts = frequent_words(rows, text_cols, frequent, n)
+    shape = band_parameters(n, threshold)
     sets = word_sets(rows, id_col, text_cols)
     classes = set_classes(sets)
     vectors = class_words(sets, classes)
-    likely = likely_pairs(candidate_pairs(vectors, common, counts, threshold), sketches(vectors), threshold)
+    likely = likely_pairs(candidate_pairs(vectors, common, counts, threshold, *shape), sketches(vectors, *shape), threshold)
     pairs = verified(likely, vectors, threshold)
     return pairs, members(sets, classes)
 

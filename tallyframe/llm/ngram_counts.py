@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.functions.text import strip
+
 #: Marks of a text's begin and end. Both sort below letters and digits and occur in no word.
 BEGIN, END, GAP = "\x02", "\x03", "\x01"
 
@@ -94,7 +96,8 @@ def ngram_counts(rows: DataFrame, words: Column, record: Column, longest: int |
     summed = wanted.groupBy("ngram").agg(F.sum("times").alias("times"), F.sum("records").alias("records"))
     kind = F.when(F.col("ngram").startswith(BEGIN), "value").otherwise("ngram")
     clean = F.translate(F.translate(F.col("ngram"), BEGIN + END, ""), GAP, " ")
-    return summed.select(kind.alias("kind"), F.trim(clean).alias("ngram"), "times", "records").withColumn("words", F.size(F.split("ngram", " ")))
+    out = summed.select(kind.alias("kind"), F.trim(clean).alias("ngram"), "times", "records").withColumn("words", F.size(F.split("ngram", " ")))
+    return out if longest is None else out.where(F.col("words") < longest)
 
 
 def marked_values(rows: DataFrame, text_col: str, record_col: str, rare: int = 1, common: float = 0.05) -> DataFrame:
@@ -112,7 +115,7 @@ def list_check(rows: DataFrame, lists: DataFrame) -> DataFrame:
     listed count, count of exactly this spelling, and count of all spellings of its value, in that run and domain.
     ``state`` tells whether the listed count agrees, is ``missing`` (NULL) or ``differs``."""
     value = F.array_join(title_words(F.col("title")), " ")
-    keyed = rows.where(F.col("title").isNotNull()).select("run_name", "domain", F.trim("title").alias("title"), value.alias("value"))
+    keyed = rows.where(F.col("title").isNotNull()).select("run_name", "domain", strip(F.col("title")).alias("title"), value.alias("value"))
     spelt = keyed.groupBy("run_name", "domain", "title").agg(F.count(F.lit(1)).alias("spelling_count"))
     valued = keyed.groupBy("run_name", "domain", "value").agg(F.count(F.lit(1)).alias("value_count"))
     listed = lists.select("run_name", "domain", "rank", "title", F.col("count").alias("listed_count")).withColumn("value", value)
