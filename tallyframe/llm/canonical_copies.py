@@ -70,7 +70,8 @@ def parsed_entries(raw: DataFrame, id_col: str = "entry_id", payload_col: str =
         for f in frames:
             got = [one(p) for p in f["payload"]]
             keep = [i for i, g in enumerate(got) if g is not None]
-            yield pd.DataFrame({"id": f["id"].iloc[keep].to_numpy(), "title": [got[i][0] for i in keep], "description": [got[i][1] for i in keep]})
+            if keep:
+                yield pd.DataFrame({"id": f["id"].iloc[keep].to_numpy(), "title": [got[i][0] for i in keep], "description": [got[i][1] for i in keep]})
 
     picked = raw.select(F.col(id_col).cast("long").alias("id"), F.col(payload_col).cast("string").alias("payload"))
     return picked.where(F.col("id").isNotNull()).mapInPandas(run, "id long, title string, description string")

@@ -85,7 +85,8 @@ def contained_passages(documents: DataFrame, doc_id: str, text_col: str, items:
                     last, runs = text, word_runs(text, run)
                 if shared := len(known[key] & runs):
                     out.append((i, item, shared, shared / len(known[key])))
-            yield pd.DataFrame(out, columns=["doc_id", "item_id", "shared_runs", "contained"])
+            if out:
+                yield pd.DataFrame(out, columns=["doc_id", "item_id", "shared_runs", "contained"])
 
     found = texts.select("id", "item", "text", "parts").mapInPandas(verify, "doc_id long, item_id long, shared_runs long, contained double")
     return found.groupBy("doc_id", "item_id").agg(F.max("shared_runs").alias("shared_runs"), F.max("contained").alias("contained"))
