@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 from tallyframe.functions import lexicon as L
 
 
-def strings(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c) with c computed once per row, however often f uses it; inside a lambda it would be computed per element."""
+    return F.transform(F.array(c), f)[0]
 
 
 def strip(c: Column) -> Column:
@@ -47,13 +49,15 @@ def criterion_tokens(c: Column) -> Column:
 
 def ngrams(a: Column, n: int) -> Column:
     """Distinct runs of n elements, joined by blanks; none if there are fewer than n."""
-    grams = F.transform(F.sequence(F.lit(1), F.size(a) - n + 1), lambda i: F.array_join(F.slice(a, i, n), " "))
-    return F.when(F.size(a) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+    def grams(x: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.size(x) - n + 1), lambda i: F.array_join(F.slice(x, i, n), " "))
+        return F.when(F.size(x) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+    return let(a, grams)
 
 
 def contains_any(c: Column, terms: list[str]) -> Column:
-    low = F.lower(or_empty(c))
-    return reduce(lambda x, y: x | y, [low.contains(t) for t in terms])
+    return let(F.lower(or_empty(c)), lambda low: reduce(lambda x, y: x | y, [low.contains(t) for t in terms]))
 
 
 def sentence_count(c: Column) -> Column:
@@ -67,16 +71,18 @@ def percent(n: Column, d: Column) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Share of common elements of two arrays of distinct values; 0 if either is empty."""
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).otherwise(0.0)
+    both = lambda x, y: F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
+    return let(a, lambda x: let(b, lambda y: F.when((F.size(x) > 0) & (F.size(y) > 0), both(x, y)).otherwise(0.0)))
 
 
 def binary_cosine(a: Column, b: Column) -> Column:
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.sqrt(F.size(a) * F.size(b))).otherwise(0.0)
+    both = lambda x, y: F.size(F.array_intersect(x, y)) / F.sqrt(F.size(x) * F.size(y))
+    return let(a, lambda x: let(b, lambda y: F.when((F.size(x) > 0) & (F.size(y) > 0), both(x, y)).otherwise(0.0)))
 
 
 def containment(a: Column, b: Column) -> Column:
     """Share of a's elements that b has too; 0 if a is empty."""
-    return F.when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.size(a)).otherwise(0.0)
+    return let(a, lambda x: F.when(F.size(x) > 0, F.size(F.array_intersect(x, b)) / F.size(x)).otherwise(0.0))
 
 
 # Criteria

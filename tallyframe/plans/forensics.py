@@ -140,7 +140,7 @@ def templates(spark: SparkSession, d: str) -> DataFrame:
     b = table(spark, d, "criteria").select("criterion_id", "uid", T.template_tokens(F.col("body")).alias("ts"))
     cutoff = max(2, int(0.001 * b.count()))
     e = b.select("criterion_id", "uid", F.posexplode("ts").alias("i", "t"))
-    df = e.groupBy("t").agg(F.count_distinct("criterion_id").alias("n"))
+    df = b.select(F.explode(F.array_distinct("ts")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
     rare = df.where((F.col("n") < cutoff) & (F.col("t") != "<NUM>")).select("t", F.lit("<X>").alias("x"))
     m = e.join(rare, "t", "left").groupBy("criterion_id", "uid").agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("x", "t").alias("t")))).alias("l"))
     m = m.select("uid", F.array_join(F.transform("l", lambda s: s["t"]), " ").alias("template"))
@@ -156,7 +156,7 @@ def top_skeletons(spark: SparkSession, d: str) -> DataFrame:
     b = table(spark, d, "criteria").select("criterion_id", T.template_tokens(F.col("body")).alias("ts"))
     cutoff = int(0.02 * b.count())
     e = b.select("criterion_id", F.posexplode("ts").alias("i", "t"))
-    common = e.groupBy("t").agg(F.count_distinct("criterion_id").alias("n")).where(F.col("n") >= cutoff).select("t")
+    common = b.select(F.explode(F.array_distinct("ts")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= cutoff).select("t")
     kept = e.join(F.broadcast(common), "t", "left_semi")  # at most 50 times the mean length of a body in words
     m = kept.groupBy("criterion_id").agg(F.array_sort(F.collect_list(F.struct("i", "t"))).alias("l")).select(F.array_join(F.transform("l", lambda s: s["t"]), " ").alias("skeleton"))
     return m.groupBy("skeleton").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "skeleton").limit(15)
