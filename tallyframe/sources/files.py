@@ -72,3 +72,51 @@ def done_keys(log: DataFrame, key: str = "uid", error: str = "error") -> DataFra
 
 def to_do(work: DataFrame, log: DataFrame, key: str = "uid", error: str = "error") -> DataFrame:
     return work.join(done_keys(log, key, error), key, "left_anti")
+
+
+def merged_shards(shards: list[DataFrame], key: str, filled: str, order: str) -> DataFrame:
+    """One row per key of several shards: a filled one before an empty one, the latest of equal ones."""
+    from tallyframe.operators.ranking import first_per_key
+
+    out = None
+    for s in shards:
+        out = s if out is None else out.unionByName(s, allowMissingColumns=True)
+    empty = F.coalesce(F.length(F.col(filled)), F.lit(0)) == 0
+    return first_per_key(out, [key], [empty.cast("int").alias("a"), (-F.col(order)).alias("b")])
+
+
+def write_shards(df: DataFrame, path: str, key: str, n: int) -> None:
+    """Rows in one folder per shard of their key's hash."""
+    from tallyframe.operators.merging import hash_number
+
+    df.withColumn("shard", hash_number(F.col(key).cast("string"), n)).repartition(n, "shard").write.mode("overwrite").partitionBy("shard").parquet(path)
+
+
+def carried_over(target: DataFrame, other: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The target and those wanted rows of another run whose key it lacks."""
+    missing = other.join(wanted.select(key), key, "left_semi").join(target.select(key), key, "left_anti")
+    return target.unionByName(missing, allowMissingColumns=True)
+
+
+def as_json(df: DataFrame, keep: list[str]) -> DataFrame:
+    """The kept columns and everything else as one JSON text."""
+    rest = [c for c in df.columns if c not in keep]
+    return df.select(*keep, F.to_json(F.struct(*rest)).alias("json"))
+
+
+def case_ids(spark: SparkSession, spec: str) -> DataFrame:
+    """Ids named by ``file.json:key``, a JSON list, a text file with one per line, or a comma list."""
+    import json
+    import os
+
+    path, _, key = spec.partition(":")
+    if path.endswith(".json") and os.path.exists(path):
+        with open(path) as f:
+            value = json.load(f)
+        ids = value[key] if key else value
+    elif os.path.exists(spec):
+        with open(spec) as f:
+            ids = f.read().split()
+    else:
+        ids = [x.strip() for x in spec.split(",") if x.strip()]
+    return spark.createDataFrame([(str(i),) for i in dict.fromkeys(ids)], "case_id string")

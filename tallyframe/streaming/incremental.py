@@ -57,3 +57,35 @@ def upsert_batches(stream: DataFrame, path: str, keys: list[str], checkpoint: st
         upsert(old, batch.dropDuplicates(keys), keys).write.mode("overwrite").parquet(f"{path}/v{number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
+class Progress:
+    """Rows done, rate and the latest batch of running queries, from Spark's own progress events."""
+
+    def __init__(self, spark: SparkSession):
+        from pyspark.sql.streaming import StreamingQueryListener
+
+        progress = self
+        self.rows, self.batches, self.rate = 0, 0, 0.0
+
+        class Listener(StreamingQueryListener):
+            def onQueryStarted(self, event):
+                pass
+
+            def onQueryProgress(self, event):
+                progress.rows += event.progress.numInputRows
+                progress.batches += 1
+                progress.rate = event.progress.processedRowsPerSecond
+
+            def onQueryIdle(self, event):
+                pass
+
+            def onQueryTerminated(self, event):
+                pass
+
+        self.listener = Listener()
+        spark.streams.addListener(self.listener)
+        self.spark = spark
+
+    def stop(self) -> None:
+        self.spark.streams.removeListener(self.listener)
