@@ -57,7 +57,7 @@ _CANON = "trim(regexp_replace(lower(coalesce({0}, '')), '[^\\p{{L}}\\p{{N}}]+',
 _P7 = f"""a as (select 'criteria' as src, criterion_id as id, title, description from criteria
  union all select 'raw_entries', entry_id, case when json_type(payload) = 'OBJECT' then coalesce(json_extract_string(payload, '$.title'), json_extract_string(payload, '$.Title')) end,
  case when json_type(payload) = 'VARCHAR' then json_extract_string(payload, '$') else coalesce(json_extract_string(payload, '$.description'), json_extract_string(payload, '$.Description')) end
- from raw_entries where json_valid(payload) and json_type(payload) in ('OBJECT', 'VARCHAR')),
+ from raw_entries where json_valid(payload) and not regexp_matches(payload, ',\\s*[}}\\]]') and json_type(payload) in ('OBJECT', 'VARCHAR')),
 k as (select src, id, min(id) over (partition by src, {_CANON.format('title')}, {_CANON.format('description')}) as first_id from a)"""
 
 _RUNS = "unnest(list_transform(range(1, greatest(len(w) - 10, 1)), lambda i: array_to_string(list_slice(w, i, i + 11), ' ')))"
