@@ -282,7 +282,7 @@ def entry_items(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "raw_entries").where(~F.col("payload").contains('"Title"'))
     v = F.try_parse_json("payload")
     # Spark's parser stops after the first value, so nothing may follow it.
-    is_object = F.startswith(F.schema_of_variant(v), F.lit("OBJECT")) & F.endswith(F.rtrim("payload"), F.lit("}"))
+    is_object = F.startswith(F.schema_of_variant(v), F.lit("OBJECT")) & F.endswith(T.strip(F.col("payload")), F.lit("}"))
     text = lambda k: F.try_variant_get(v, f"$.{k}", "string")
     return r.select("entry_id", F.when(is_object, F.coalesce(text("title"), F.lit(""))).otherwise("").alias("title"), F.when(is_object, text("description")).otherwise(F.col("payload")).alias("description"))
 
