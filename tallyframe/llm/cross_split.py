@@ -25,6 +25,7 @@ from tallyframe.llm.near_duplicates import frequent_words
 from tallyframe.llm.sets import class_words, members, set_classes, word_sets
 
 FREQUENT = 0.001
+EXPAND_LIMIT = 1000
 SPREAD = 1.5
 
 
@@ -104,12 +105,13 @@ def exact_similarity(pairs: DataFrame, left: DataFrame, right: DataFrame, weight
     return both.mapInArrow(run, "a long, b long, cosine double, jaccard double")
 
 
-def cross_split_pairs(rows: DataFrame, id_col: str, text_col: str, first_side: Column, threshold: float = 0.75) -> DataFrame:
+def cross_split_pairs(rows: DataFrame, id_col: str, text_col: str, first_side: Column, threshold: float = 0.75, expand_limit: int = EXPAND_LIMIT) -> DataFrame:
     """(id_1, id_2, cosine, jaccard): rows of which id_1 fulfils ``first_side`` and id_2 doesn't and whose distinct words
     have Jaccard similarity of at least ``threshold``.
 
     Defined cases: a NULL text or a text without words is in no pair; a NULL side counts as not fulfilled; NULL
-    ids are left out; equal texts pair like any others; an empty table, or only one side, gives no rows; other
+    ids are left out; equal texts pair like any others, but more than ``expand_limit`` equal texts of a side each pair with one
+    representative of the other side's equal texts only (no link between different texts is lost); an empty table, or only one side, gives no rows; other
     columns are ignored; texts are used whole."""
     picked = rows.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(first_side, F.lit(False)).alias("side"))
     total = picked.count()
@@ -127,10 +129,17 @@ def cross_split_pairs(rows: DataFrame, id_col: str, text_col: str, first_side: C
     near = F.col("x.upto") * F.col("y.upto") >= bound - 1e-9
     pairs = x.join(y, (F.col("x.term") == F.col("y.term")) & fits & near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     good = exact_similarity(pairs, *vectors, weights).where((F.col("cosine") >= bound - 1e-9) & (F.col("jaccard") >= threshold))
-    for side, sets, cls in (("a", sides[0], classes[0]), ("b", sides[1], classes[1])):
-        copies = members(sets, cls).select(F.col("rep").alias(side), F.col("id").alias(f"id_{side}"))
-        good = good.join(copies, side, "left").withColumn(f"id_{side}", F.coalesce(f"id_{side}", side))
-    return good.select(F.col("id_a").alias("id_1"), F.col("id_b").alias("id_2"), "cosine", "jaccard")
+    copies = [members(s, c) for s, c in zip(sides, classes)]
+    out = good
+    for side, rows_of in zip("ab", copies):
+        few = rows_of.where(F.col("n") <= expand_limit).select(F.col("rep").alias(side), F.col("id").alias(f"id_{side}"))
+        out = out.join(few, side, "left").withColumn(f"id_{side}", F.coalesce(f"id_{side}", side))
+    out = out.select(F.col("id_a").alias("id_1"), F.col("id_b").alias("id_2"), "cosine", "jaccard")
+    for side, rows_of in zip("ab", copies):
+        many = rows_of.where((F.col("n") > expand_limit) & (F.col("id") != F.col("rep"))).select(F.col("rep").alias(side), "id")
+        ids = ["id", "b"] if side == "a" else ["a", "id"]
+        out = out.unionByName(good.join(many, side).select(F.col(ids[0]).alias("id_1"), F.col(ids[1]).alias("id_2"), "cosine", "jaccard"))
+    return out
 
 
 def overlap_counts(pairs: DataFrame, rows: DataFrame, id_col: str, split_col: str, source_col: str) -> DataFrame:

@@ -11,6 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyframe.session import cut, small_or_plain
+
+#: Up to so many sources their limits are broadcast (counted first); more join by shuffle.
+BROADCAST_SOURCES = 100_000
 #: Characters without meaning at the end: blanks, zero-width marks, closing quotes, brackets and markup.
 TAIL = r"[\s\u200b\u200c\u200d\ufeff\u00a0]+$"
 TERMINAL = r"""[.!?\u2026\u3002\uff01\uff1f]["'\u201d\u2019\u00bb)\]}*_`>\s]*$"""
@@ -75,6 +79,7 @@ def truncated(rows: DataFrame, id_col: str, source: str, text_col: str, chars_co
     NULL source is a source; NULL ids are left out; an empty table gives no rows; texts are judged whole."""
     found = spikes(rows, source, text_col)
     limits = found.groupBy("source").agg(F.max(F.when(F.col("unit") == "chars", F.col("length"))).alias("at_chars"), F.max(F.when(F.col("unit") == "bytes", F.col("length"))).alias("at_bytes"))
+    limits = small_or_plain(cut(limits), BROADCAST_SOURCES)
     recorded = F.col(chars_col) if chars_col else F.lit(None)
     base = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(source).alias("source"), F.col(text_col).alias("text"), recorded.cast("long").alias("recorded"))
     open_ = base.where(has_content(F.col("text")) & ~complete_ending(F.col("text")))

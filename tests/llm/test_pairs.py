@@ -123,3 +123,10 @@ def test_cosine_bound_holds():
         w = rng.uniform(1, cross_split.SPREAD, shared + x + y)
         s, a, b = w[:shared].sum(), w[shared : shared + x].sum(), w[shared + x :].sum()
         assert s / np.sqrt((s + a) * (s + b)) >= bound - 1e-12
+
+
+def test_cross_split_of_many_equal_texts_is_a_star(spark):
+    rows = [(i, "one two three four", "train") for i in range(1, 31)] + [(i, "one two three four", "val") for i in range(101, 104)] + [(200, "one two three four five", "val")]
+    df = spark.createDataFrame(rows, "id long, q string, split string")
+    got = {(r.id_1, r.id_2) for r in cross_split.cross_split_pairs(df, "id", "q", F.col("split") == "train", expand_limit=10).collect()}
+    assert got == {(1, 101), (1, 102), (1, 103), (1, 200)} | {(i, 101) for i in range(2, 31)} | {(i, 200) for i in range(2, 31)}
