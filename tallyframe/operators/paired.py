@@ -88,7 +88,7 @@ def grouped(df: DataFrame, group: list[str], f: Callable[[pd.DataFrame], tuple],
     full = ", ".join(f"`{g}` {kinds[g]}" for g in group) + ", " + schema
     names = [*group, *[x.split()[0] for x in schema.split(", ")]]
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([(*key, *f(frame.sort_values(order)))], columns=names)
 
     return df.groupBy(*group).applyInPandas(run, full)
