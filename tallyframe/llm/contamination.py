@@ -26,6 +26,7 @@ RUN = 12
 SHINGLE = 5
 #: Up to so many rows of item MinHashes, or of candidates, are broadcast (counted first); more join by shuffle.
 BROADCAST_ROWS = 200_000
+BROADCAST_CHARS = 10_000_000
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -68,8 +69,10 @@ def contained_passages(documents: DataFrame, doc_id: str, text_col: str, items:
     hits = min_hashes(docs, run).join(small_or_plain(item_hashes, BROADCAST_ROWS), "mh")
     candidates = cut(hits.select("id", "item").distinct())
     by_item = parts.groupBy("id").agg(F.collect_list("text").alias("parts")).withColumnRenamed("id", "item")
-    asked = small_or_plain(candidates.join(by_item, "item"), BROADCAST_ROWS)
-    texts = docs.join(asked, "id")
+    # Candidates are ids only. Items are small texts, but their number and size are checked before they are broadcast.
+    size = by_item.select(F.aggregate("parts", F.lit(0), lambda n, t: n + F.length(t)).alias("n")).agg(F.sum("n").alias("n")).first().n or 0
+    by_item = F.broadcast(by_item) if size <= BROADCAST_CHARS else by_item
+    texts = docs.join(small_or_plain(candidates, BROADCAST_ROWS), "id").join(by_item, "item")
 
     def verify(frames):
         known: dict[tuple, set] = {}
