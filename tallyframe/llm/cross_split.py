@@ -8,8 +8,8 @@ Words have one global order, frequent ones first. A vector's leading words are l
 long as they can't reach T by themselves, by the smaller of two bounds: their norm (residual norm), or the
 sum of their weights times the largest weight each has in any vector. Two vectors of cosine T have their rarest
 common word in both index parts. For a match at some word, the dot product is at most the product of both norms up to
-that word if it is the rarest common one; matches below T are dropped inside the join. Survivors get exact
-dot products. Weights need only the frequent words' counts, a list bounded by average length / FREQUENT.
+that word if it is the rarest common one; matches below T are dropped inside the join, as are those whose sizes or
+parity bitmaps rule out the Jaccard similarity asked for. Survivors get exact dot products. Weights need only the frequent words' counts, a list bounded by average length / FREQUENT.
 Splits are joined with each other, never with themselves; equal sets are collapsed on each side first.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.textarrays import as_long, flat, mix
 from tallyframe.llm.near_duplicates import frequent_words
-from tallyframe.llm.sets import class_words, members, set_classes, word_sets
+from tallyframe.llm.sets import can_be_similar, class_words, members, set_classes, word_sets
 
 FREQUENT = 0.001
 EXPAND_LIMIT = 1000
@@ -54,7 +54,7 @@ class Weights:
 
 
 def inverted_lists(vectors: DataFrame, weights, threshold: float, least_norm: float) -> DataFrame:
-    """(term, id, size, upto): for each indexed word of each vector, the norm of the vector up to that word."""
+    """(term, id, size, b1, b2, upto): for each indexed word of each vector, the norm of the vector up to that word."""
 
     def run(batches):
         w = weights.value
@@ -75,9 +75,10 @@ def inverted_lists(vectors: DataFrame, weights, threshold: float, least_norm: fl
                 largest = upto / (np.sqrt(norm2) * least_norm)
                 index = np.minimum(residual, largest) >= threshold - 1e-9
                 ids = part["rep"].to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([as_long(values[index]), pa.array(ids[rows[index]]), pa.array(n[rows[index]].astype(np.int32)), pa.array(residual[index])], ["term", "id", "size", "upto"])
+                bits = [part[b].take(pa.array(rows[index])) for b in ("b1", "b2")]
+                yield pa.RecordBatch.from_arrays([as_long(values[index]), pa.array(ids[rows[index]]), pa.array(n[rows[index]].astype(np.int32)), *bits, pa.array(residual[index])], ["term", "id", "size", "b1", "b2", "upto"])
 
-    return vectors.select("rep", "words").mapInArrow(run, "term long, id long, size int, upto double")
+    return vectors.select("rep", "b1", "b2", "words").mapInArrow(run, "term long, id long, size int, b1 long, b2 long, upto double")
 
 
 def exact_similarity(pairs: DataFrame, left: DataFrame, right: DataFrame, weights) -> DataFrame:
@@ -122,12 +123,11 @@ def cross_split_pairs(rows: DataFrame, id_col: str, text_col: str, first_side: C
     classes = [set_classes(s) for s in sides]
     # Every squared weight is 1 at least, so a norm is at least the root of the smallest number of words.
     vectors = [class_words(s, c) for s, c in zip(sides, classes)]
-    least = [c.agg(F.min(F.size("words")).alias("n")).first().n or 1 for c in vectors]
+    least = [c.agg(F.min("size").alias("n")).first().n or 1 for c in vectors]
     lists = [inverted_lists(c, weights, bound, float(np.sqrt(n))) for c, n in zip(vectors, reversed(least))]
     x, y = lists[0].alias("x"), lists[1].alias("y")
-    fits = (F.col("x.size") >= F.ceil(threshold * F.col("y.size") - 1e-9)) & (F.col("y.size") >= F.ceil(threshold * F.col("x.size") - 1e-9))
     near = F.col("x.upto") * F.col("y.upto") >= bound - 1e-9
-    pairs = x.join(y, (F.col("x.term") == F.col("y.term")) & fits & near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    pairs = x.join(y, (F.col("x.term") == F.col("y.term")) & near & can_be_similar("x", "y", threshold)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     good = exact_similarity(pairs, *vectors, weights).where((F.col("cosine") >= bound - 1e-9) & (F.col("jaccard") >= threshold))
     copies = [members(s, c) for s, c in zip(sides, classes)]
     out = good

@@ -2,10 +2,9 @@
 
 Each of K hash functions is evaluated once per word and gives two signature values, its minimum and its
 maximum over the record, so that 2K values cost K evaluations. Six values (more beyond a million rows) make a band; records that share a
-band are candidates. One bit of each of 128 signature values makes a sketch that discards most false
-candidates, and exact Jaccard similarity decides about the others. At similarity 0.75 a pair shares none of
-its bands with a chance of about 0.6 %, at 0.8 of 0.05 %, at 0.9 of none in a billion; a true pair fails the sketch in
-less than one case in 100,000.
+band are candidates. Sizes and 128-bit parity bitmaps rule out most false candidates (and no true one), and exact
+Jaccard similarity decides about the others. At similarity 0.75 a pair shares none of its bands with a chance of about
+0.6 %, at 0.8 of 0.05 %, at 0.9 of none in a billion.
 
 Hot bands: words of more than ``frequent`` of all records are known beforehand (at most average length /
 ``frequent`` of them, a bounded list). A band of only such words (boilerplate that a third of the rows may have) would
@@ -23,15 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.functions.textarrays import as_long, chunks, flat, mix, word_hashes, distinct_per_row
+from tallyframe.functions.textarrays import as_long, chunks, flat, mix, word_hashes
 from tallyframe.llm.graph import connected_components
-from tallyframe.llm.sets import class_words, expanded, members, set_classes, verified, word_sets
+from tallyframe.llm.sets import can_be_similar, class_words, expanded, members, set_classes, verified, word_sets
 from tallyframe.session import cut
 
 #: The chance that a pair just at the threshold shares no band.
 MISSED = 0.006
 FREQUENT = 0.1
-SKETCH_BITS = 128
+EXPAND_LIMIT = 1000
 
 
 def band_parameters(n: int, threshold: float) -> tuple[int, int]:
@@ -42,14 +41,7 @@ def band_parameters(n: int, threshold: float) -> tuple[int, int]:
     while size > 1_000_000:
         per_band, size = per_band + 2, size // 10
     hit = 0.95 * threshold**per_band
-    return max(math.ceil(math.log(MISSED) / math.log1p(-hit)), math.ceil(SKETCH_BITS / per_band)), per_band
-
-
-def sketch_differ(threshold: float) -> int:
-    """Of 128 bits, those that may differ: five standard deviations above the mean at the threshold."""
-    p = (1 - threshold) / 2
-    return int(SKETCH_BITS * p + 5 * (SKETCH_BITS * p * (1 - p)) ** 0.5)
-EXPAND_LIMIT = 1000
+    return math.ceil(math.log(MISSED) / math.log1p(-hit)), per_band
 
 
 def frequent_words(rows: DataFrame, text_cols: list[str], share: float, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,34 +119,12 @@ def candidate_pairs(vectors: DataFrame, common: np.ndarray, counts: np.ndarray,
     return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
-def sketches(vectors: DataFrame, bands: int, per_band: int, seed: int = 7) -> DataFrame:
-    """(id, size, s1, s2): number of words, and one bit of each of 128 min-max signature values."""
-
-    def run(batches):
-        odd = odd_numbers(bands, per_band, seed)
-        for b in batches:
-            for at in range(0, b.num_rows, 5000):
-                part = b.slice(at, 5000)
-                values, offsets = flat(part["words"])
-                values = values.view(np.uint64)
-                out, low = np.zeros((2, part.num_rows), np.uint64), np.zeros(len(values), np.uint64)
-                for k in range(SKETCH_BITS // 2):
-                    for j, v in enumerate(signature(values, offsets, k, odd, low)):
-                        bit = 2 * k + j
-                        out[bit // 64] |= (mix(v) & np.uint64(1)) << np.uint64(bit % 64)
-                size = pa.array(np.diff(offsets).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([part["rep"], size, as_long(out[0]), as_long(out[1])], ["id", "size", "s1", "s2"])
-
-    return vectors.select("rep", "words").mapInArrow(run, "id long, size int, s1 long, s2 long")
-
-
-def likely_pairs(pairs: DataFrame, sketch: DataFrame, threshold: float) -> DataFrame:
-    """The candidate pairs whose sizes allow the threshold and whose sketches don't differ too much for it."""
-    left = sketch.select(F.col("id").alias("a"), F.col("size").alias("a0"), F.col("s1").alias("a1"), F.col("s2").alias("a2"))
-    right = sketch.select(F.col("id").alias("b"), F.col("size").alias("b0"), F.col("s1").alias("b1"), F.col("s2").alias("b2"))
-    apart = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
-    fits = F.least("a0", "b0") >= F.ceil(threshold * F.greatest("a0", "b0") - 1e-9)
-    return pairs.join(left, "a").join(right, "b").where(fits & (apart <= sketch_differ(threshold))).select("a", "b")
+def likely_pairs(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
+    """The candidate pairs that sizes and bitmaps don't rule out; no true pair is dropped."""
+    bits = vectors.select("rep", "size", "b1", "b2")
+    x, y = bits.alias("x"), bits.alias("y")
+    both = pairs.join(x, F.col("a") == F.col("x.rep")).join(y, F.col("b") == F.col("y.rep"))
+    return both.where(can_be_similar("x", "y", threshold)).select("a", "b")
 
 
 def near_duplicate_classes(rows: DataFrame, id_col: str, text_cols: list[str], threshold: float = 0.75, frequent: float = FREQUENT) -> tuple[DataFrame, DataFrame]:
@@ -165,7 +135,7 @@ def near_duplicate_classes(rows: DataFrame, id_col: str, text_cols: list[str], t
     sets = word_sets(rows, id_col, text_cols)
     classes = set_classes(sets)
     vectors = class_words(sets, classes)
-    likely = likely_pairs(candidate_pairs(vectors, common, counts, threshold, *shape), sketches(vectors, *shape), threshold)
+    likely = likely_pairs(candidate_pairs(vectors, common, counts, threshold, *shape), vectors, threshold)
     pairs = verified(likely, vectors, threshold)
     return pairs, members(sets, classes)
 
