@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.textarrays import as_long, flat, mix
 from tallyframe.llm.near_duplicates import frequent_words
-from tallyframe.llm.sets import can_be_similar, class_words, members, set_classes, word_sets
+from tallyframe.llm.sets import can_be_similar, class_words, members, parity_bitmaps, set_classes, word_sets
 
 FREQUENT = 0.001
 EXPAND_LIMIT = 1000
@@ -75,10 +75,10 @@ def inverted_lists(vectors: DataFrame, weights, threshold: float, least_norm: fl
                 largest = upto / (np.sqrt(norm2) * least_norm)
                 index = np.minimum(residual, largest) >= threshold - 1e-9
                 ids = part["rep"].to_numpy(zero_copy_only=False)
-                bits = [part[b].take(pa.array(rows[index])) for b in ("b1", "b2")]
+                bits = [as_long(b[rows[index]]) for b in parity_bitmaps(values, offsets)]
                 yield pa.RecordBatch.from_arrays([as_long(values[index]), pa.array(ids[rows[index]]), pa.array(n[rows[index]].astype(np.int32)), *bits, pa.array(residual[index])], ["term", "id", "size", "b1", "b2", "upto"])
 
-    return vectors.select("rep", "b1", "b2", "words").mapInArrow(run, "term long, id long, size int, b1 long, b2 long, upto double")
+    return vectors.select("rep", "words").mapInArrow(run, "term long, id long, size int, b1 long, b2 long, upto double")
 
 
 def exact_similarity(pairs: DataFrame, left: DataFrame, right: DataFrame, weights) -> DataFrame:
@@ -123,7 +123,7 @@ def cross_split_pairs(rows: DataFrame, id_col: str, text_col: str, first_side: C
     classes = [set_classes(s) for s in sides]
     # Every squared weight is 1 at least, so a norm is at least the root of the smallest number of words.
     vectors = [class_words(s, c) for s, c in zip(sides, classes)]
-    least = [c.agg(F.min("size").alias("n")).first().n or 1 for c in vectors]
+    least = [c.agg(F.min(F.size("words")).alias("n")).first().n or 1 for c in vectors]
     lists = [inverted_lists(c, weights, bound, float(np.sqrt(n))) for c, n in zip(vectors, reversed(least))]
     x, y = lists[0].alias("x"), lists[1].alias("y")
     near = F.col("x.upto") * F.col("y.upto") >= bound - 1e-9

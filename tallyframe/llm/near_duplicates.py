@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.textarrays import as_long, chunks, flat, mix, word_hashes
 from tallyframe.llm.graph import connected_components
-from tallyframe.llm.sets import can_be_similar, class_words, expanded, members, set_classes, verified, word_sets
+from tallyframe.llm.sets import bitmaps, can_be_similar, class_words, expanded, members, set_classes, verified, word_sets
 from tallyframe.session import cut
 
 #: The chance that a pair just at the threshold shares no band.
@@ -121,7 +121,7 @@ def candidate_pairs(vectors: DataFrame, common: np.ndarray, counts: np.ndarray,
 
 def likely_pairs(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
     """The candidate pairs that sizes and bitmaps don't rule out; no true pair is dropped."""
-    bits = vectors.select("rep", "size", "b1", "b2")
+    bits = bitmaps(vectors)
     x, y = bits.alias("x"), bits.alias("y")
     both = pairs.join(x, F.col("a") == F.col("x.rep")).join(y, F.col("b") == F.col("y.rep"))
     return both.where(can_be_similar("x", "y", threshold)).select("a", "b")

@@ -7,22 +7,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.functions.textarrays import as_long, chunks, distinct_per_row, lists, mix, set_keys, word_hashes
+from tallyframe.functions.textarrays import as_long, chunks, distinct_per_row, flat, lists, mix, set_keys, word_hashes
 
 
 def word_sets(rows: DataFrame, id_col: str, text_cols: list[str]) -> DataFrame:
-    """(id, k1, k2, size, b1, b2, words): the distinct words of the text columns together, as sorted 64-bit hashes, with a 128-bit
-    key of that set, its size and its parity bitmap. Rows without a word have no set and don't come out."""
+    """(id, k1, k2, words): the distinct words of the text columns together, as sorted 64-bit hashes,
+    and a 128-bit key of that set. Rows without a word have no set and don't come out."""
     picked = rows.select(F.col(id_col).cast("long").alias("id"), F.concat_ws(" ", *[F.col(c) for c in text_cols]).alias("text"))
 
     def run(batches):
         for b in chunks(batches, "text"):
             values, offsets = distinct_per_row(*word_hashes(b["text"].to_pylist()))
-            keys, bits, size = set_keys(values, offsets), parity_bitmaps(values, offsets), pa.array(np.diff(offsets).astype(np.int32))
-            out = pa.RecordBatch.from_arrays([b["id"], *map(as_long, keys), size, *map(as_long, bits), lists(as_long(values), offsets)], ["id", "k1", "k2", "size", "b1", "b2", "words"])
+            k1, k2 = set_keys(values, offsets)
+            out = pa.RecordBatch.from_arrays([b["id"], as_long(k1), as_long(k2), lists(as_long(values), offsets)], ["id", "k1", "k2", "words"])
             yield out.filter(pa.array(np.diff(offsets) > 0))
 
-    return picked.where(F.col("id").isNotNull()).mapInArrow(run, "id long, k1 long, k2 long, size int, b1 long, b2 long, words array<long>")
+    return picked.where(F.col("id").isNotNull()).mapInArrow(run, "id long, k1 long, k2 long, words array<long>")
 
 
 def parity_bitmaps(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -37,6 +37,18 @@ def parity_bitmaps(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     return half(place < 64), half(place >= 64)
 
 
+def bitmaps(vectors: DataFrame) -> DataFrame:
+    """(rep, size, b1, b2) of (rep, words); it reads the exchange that other uses of the words read."""
+
+    def run(batches):
+        for b in batches:
+            values, offsets = flat(b["words"])
+            b1, b2 = parity_bitmaps(values.view(np.uint64), offsets)
+            yield pa.RecordBatch.from_arrays([b["rep"], pa.array(np.diff(offsets).astype(np.int32)), as_long(b1), as_long(b2)], ["rep", "size", "b1", "b2"])
+
+    return vectors.select("rep", "words").mapInArrow(run, "rep long, size int, b1 long, b2 long")
+
+
 def can_be_similar(x: str, y: str, threshold: float) -> Column:
     """A condition on (size, b1, b2) of two rows that every pair of Jaccard similarity ``threshold`` fulfils: sizes allow it, and
     bitmaps differ in no more bits than the sets may differ in words."""
@@ -53,9 +65,9 @@ def set_classes(sets: DataFrame) -> DataFrame:
 
 
 def class_words(sets: DataFrame, classes: DataFrame) -> DataFrame:
-    """(rep, size, b1, b2, words) of every distinct set: the rows of the representatives, partitioned by rep. Every later join on rep
+    """(rep, words) of every distinct set: the rows of the representatives, partitioned by rep. Every later join on rep
     reads this one exchange."""
-    return sets.select(F.col("id").alias("rep"), "size", "b1", "b2", "words").join(classes.select("rep"), "rep", "left_semi")
+    return sets.select(F.col("id").alias("rep"), "words").join(classes.select("rep"), "rep", "left_semi")
 
 
 def members(sets: DataFrame, classes: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm import cross_split, near_duplicates
 from tallyframe.llm.graph import connected_components
-from tallyframe.llm.sets import can_be_similar, word_sets
+from tallyframe.llm.sets import bitmaps, can_be_similar, word_sets
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -136,7 +136,7 @@ def test_cross_split_of_many_equal_texts_is_a_star(spark):
 def test_bitmaps_never_rule_out_a_similar_pair(spark):
     texts = varied(150, 21)
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t string")
-    rows = word_sets(df, "id", ["t"]).select("id", "size", "b1", "b2")
+    rows = bitmaps(word_sets(df, "id", ["t"]).withColumnRenamed("id", "rep")).withColumnRenamed("rep", "id")
     kept = rows.alias("x").join(rows.alias("y"), F.col("x.id") < F.col("y.id")).where(can_be_similar("x", "y", 0.75)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).collect()
     want = brute([(i, t) for i, t in enumerate(texts)])
     assert want <= {(r.a, r.b) for r in kept} and len(kept) < 0.1 * 150 * 149 / 2
