@@ -175,14 +175,14 @@ def rubric_form(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(f"""with {S.NORMALISED}, doc as (select criterion_id as id, rubric_source || '|' || run_name || '|' || uid as g, body as text from n where uid is not null and domain = 'rar_medicine'),
+@query(f"""with {S.NORMALISED}, doc as (select criterion_id as id, rubric_source || '|' || run_name || '|' || uid as g, body as text from n where uid is not null),
 tf as (select id, g, t, 1 + ln(count(*)) as tf from (select id, g, unnest(regexp_extract_all(lower(text), '\\b\\w\\w+\\b')) as t from doc) group by 1, 2, 3), df as (select g, t, count(*) as df from tf group by 1, 2), nd as (select g, count(*) as nd from doc group by 1),
 raw as (select id, g, t, tf * (ln((1 + nd) / (1 + df)) + 1) as x from tf join df using (g, t) join nd using (g)), vec as (select id, g, t, x / sqrt(sum(x * x) over (partition by id)) as x from raw),
 s as (select a.g, a.id as a, b.id as b, sum(a.x * b.x) as s from vec a join vec b using (g, t) where a.id < b.id group by 1, 2, 3) select a, b, round(s, 5) as similarity from s where s > 0.5""")
 def redundant_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Items of one rubric with TF-IDF cosine above one half, document frequencies within the rubric (medicine)."""
+    """Items of one rubric with TF-IDF cosine above one half, document frequencies within the rubric."""
     from tallyframe.operators.similarity import cosine_pairs, tfidf_vectors
 
-    doc = criteria(spark, d).where("uid is not null and domain = 'rar_medicine'").select(F.col("criterion_id").alias("id"), *RUBRIC, F.col("body").alias("text"))
+    doc = criteria(spark, d).where("uid is not null").select(F.col("criterion_id").alias("id"), *RUBRIC, F.col("body").alias("text"))
     pairs = cosine_pairs(tfidf_vectors(doc, "id", "text", RUBRIC), "id", RUBRIC, 0.5)
     return pairs.select("a", "b", F.round("s", 5).alias("similarity"))

@@ -34,10 +34,10 @@ def answer_fingerprints(spark: SparkSession, d: str) -> DataFrame:
 _MARKS = "list_sort(list_distinct(list_concat(regexp_extract_all(lower(coalesce(body,'')), '\\d+(?:[.,]\\d+)?'), regexp_extract_all(lower(coalesce(body,'')), '[^\\w\\s]'), regexp_extract_all(lower(coalesce(body,'')), '\\(([a-e])\\)', 1))))"
 
 
-@query(f"select array_to_string({_MARKS}, ' ') as marks, count(*) as n from criteria where regexp_matches(coalesce(body,''), '^[\\x00-\\x7F]*$') group by 1 having count(*) > 1")
+@query(f"select array_to_string({_MARKS}, ' ') as marks, count(*) as n from criteria group by 1 having count(*) > 1")
 def shared_marks(spark: SparkSession, d: str) -> DataFrame:
-    """Criteria (of plain ASCII) that numbers, punctuation and options don't tell apart."""
-    c = table(spark, d, "criteria").where(T.or_empty(F.col("body")).rlike(r"^[\x00-\x7F]*$"))
+    """Criteria that numbers, punctuation and options don't tell apart."""
+    c = table(spark, d, "criteria")
     return c.groupBy(F.array_join(T.marks(F.col("body")), " ").alias("marks")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
@@ -50,15 +50,16 @@ def eligible_sample(spark: SparkSession, d: str) -> DataFrame:
     return merging.sample_per_group(first, ["domain"], "ex_id", 25, seed=11).select("domain", "ex_id")
 
 
-@query("""with v as (select run_name, uid, rubric_source, title, min(category) as c from criteria where uid is not null and title is not null and category is not null group by 1, 2, 3, 4), j as (select a.rubric_source, a.c = 'Essential' as x, b.c = 'Essential' as y from v a join v b using (uid, rubric_source, title) where a.run_name = 'run_00_000' and b.run_name = 'run_00_001'),
-t as (select rubric_source, sum(case when x and y then 1 else 0 end) as n11, sum(case when x and not y then 1 else 0 end) as n10, sum(case when not x and y then 1 else 0 end) as n01, sum(case when not x and not y then 1 else 0 end) as n00 from j group by 1) select * from t""")
+@query("""with v as (select rubric_source, uid, title, run_name, min(category) = 'Essential' as e from criteria where uid is not null and title is not null and category is not null group by 1, 2, 3, 4),
+i as (select rubric_source, uid, title, sum(case when e then 1 else 0 end) as k, sum(case when e then 0 else 1 end) as m from v group by 1, 2, 3) select rubric_source, sum(k * (k - 1) / 2) as n_both, sum(m * (m - 1) / 2) as n_neither, sum(k * m) as n_differ from i group by 1""")
 def run_agreement(spark: SparkSession, d: str) -> DataFrame:
-    """Two runs as two judges: items that meet on question, source and title, and whether both call them essential."""
-    v = table(spark, d, "criteria").where("uid is not null and title is not null and category is not null and run_name in ('run_00_000', 'run_00_001')").groupBy("run_name", "uid", "rubric_source", "title").agg(F.min("category").alias("c"))
-    side = lambda r, n: v.where(F.col("run_name") == r).select("uid", "rubric_source", "title", (F.col("c") == "Essential").alias(n))
-    x, y = F.col("x"), F.col("y")
-    j = side("run_00_000", "x").join(side("run_00_001", "y"), ["uid", "rubric_source", "title"])
-    return j.groupBy("rubric_source").agg(F.count_if(x & y).alias("n11"), F.count_if(x & ~y).alias("n10"), F.count_if(~x & y).alias("n01"), F.count_if(~x & ~y).alias("n00"))
+    """Runs as judges: over all pairs of runs that have an item (question, source, title), whether both call it essential. From counts
+    of runs, so no pair is made."""
+    base = table(spark, d, "criteria").where("uid is not null and title is not null and category is not null")
+    v = base.groupBy("rubric_source", "uid", "title", "run_name").agg((F.min("category") == "Essential").alias("e"))
+    i = v.groupBy("rubric_source", "uid", "title").agg(F.count_if("e").alias("k"), F.count_if(~F.col("e")).alias("m"))
+    k, m = F.col("k"), F.col("m")
+    return i.groupBy("rubric_source").agg(F.sum(k * (k - 1) / 2).alias("n_both"), F.sum(m * (m - 1) / 2).alias("n_neither"), F.sum(k * m).alias("n_differ"))
 
 
 _NN = f"""doc as (select criterion_id as id, uid, {S.content_tokens('body')} as ts from criteria where uid is not null), tf as (select id, uid, t, 1 + ln(count(*)) as tf from (select id, uid, unnest(ts) as t from doc) group by 1, 2, 3), df as (select t, count(*) as df from tf group by 1), nd as (select count(*) as nd from doc),
@@ -276,15 +277,19 @@ def overlap_by_length(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy("rubric_source", "n").agg(F.count(F.lit(1)).alias("n_criteria"), R6(F.avg("o")).alias("mean_overlap"))
 
 
-@query("""select entry_id, coalesce(json_extract_string(p, '$.title'), '') as title, case when p is null or json_type(p) <> 'OBJECT' then payload else json_extract_string(p, '$.description') end as description from (select entry_id, payload, case when json_valid(payload) and not regexp_matches(payload, ',\\s*[}\\]]') and json_type(payload) = 'OBJECT' then payload end as p from raw_entries where not contains(payload, '"Title"'))""")
+_FIELD = "coalesce(json_extract_string(p, '$.{0}'), json_extract_string(p, '$.{1}'))"
+
+
+@query(f"""select entry_id, case when p is null then '' else coalesce({_FIELD.format('title', 'Title')}, '') end as title, case when p is null then payload else {_FIELD.format('description', 'Description')} end as description
+ from (select entry_id, payload, case when json_valid(payload) and not regexp_matches(payload, ',\\s*[}}\\]]') and json_type(payload) = 'OBJECT' then payload end as p from raw_entries)""")
 def entry_items(spark: SparkSession, d: str) -> DataFrame:
-    """Entries of a nested array may be JSON texts; what isn't an object is a description without title (keys in lower case)."""
-    r = table(spark, d, "raw_entries").where(~F.col("payload").contains('"Title"'))
+    """Entries of a nested array may be JSON texts; what isn't an object is a description without title."""
     v = F.try_parse_json("payload")
     # Spark's parser stops after the first value, so nothing may follow it.
     is_object = F.startswith(F.schema_of_variant(v), F.lit("OBJECT")) & F.endswith(T.strip(F.col("payload")), F.lit("}"))
-    text = lambda k: F.try_variant_get(v, f"$.{k}", "string")
-    return r.select("entry_id", F.when(is_object, F.coalesce(text("title"), F.lit(""))).otherwise("").alias("title"), F.when(is_object, text("description")).otherwise(F.col("payload")).alias("description"))
+    text = lambda k: F.coalesce(F.try_variant_get(v, f"$.{k}", "string"), F.try_variant_get(v, f"$.{k.title()}", "string"))
+    is_object = F.coalesce(is_object, F.lit(False))
+    return table(spark, d, "raw_entries").select("entry_id", F.when(is_object, F.coalesce(text("title"), F.lit(""))).otherwise("").alias("title"), F.when(is_object, text("description")).otherwise(F.col("payload")).alias("description"))
 
 
 @query("select 'examples' as name, count(*) as n_rows, count(distinct uid) as n_uids from examples union all select 'criteria', count(*), count(distinct uid) from criteria union all select 'rollouts', count(*), count(distinct uid) from rollouts union all select 'documents', count(*), count(distinct uid) from documents")

@@ -162,7 +162,7 @@ def top_skeletons(spark: SparkSession, d: str) -> DataFrame:
     return m.groupBy("skeleton").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "skeleton").limit(15)
 
 
-_Q = "(select uid, arg_min(domain, ex_id) as domain, arg_min(split, ex_id) as split, arg_min(question, ex_id) as question, arg_min(reference_answer, ex_id) as reference_answer from examples where uid is not null group by 1)"
+_Q = "(select uid, min(ex_id) as ex_id, arg_min(domain, ex_id) as domain, arg_min(split, ex_id) as split, arg_min(question, ex_id) as question, arg_min(reference_answer, ex_id) as reference_answer from examples where uid is not null group by 1)"
 _ANCHORS = f"""q as (select * from {_Q}), tok as (select uid, domain, unnest(list_distinct({S.content_tokens("concat(coalesce(question,''), ' ', coalesce(reference_answer,''))")})) as t from q),
 cut as (select domain, greatest(2, cast(floor(0.01 * count(*)) as bigint)) as cutoff from q group by 1),
 rare as (select domain, t from tok group by 1, 2 having count(*) <= (select cutoff from cut where cut.domain = tok.domain)),
