@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions import lexicon as L
+from tallyframe.session import cut
 
 
 def tfidf_vectors(docs: DataFrame, id_col: str, text_col: str, group: list[str], min_df: int = 1, tokens: Column | None = None) -> DataFrame:
@@ -63,7 +66,71 @@ def nearest_vectors(rows: DataFrame, queries: DataFrame, id_col: str, vector_col
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = rows.sparkSession.createDataFrame([], "query long, id long, s double")
-    from pyspark.sql import Window
+    r = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("s", 9)), "id"))
+    return found.withColumn("rank", r).where(F.col("rank") <= k).select("query", "id", "rank", "s")
+
+
+class SetBlock:
+    """A block of query sets as inverted lists: every distinct element has the queries that hold it."""
+
+    def __init__(self, queries: list):
+        self.names = np.array([q.id for q in queries], object)
+        self.groups = pa.array([q.g for q in queries])
+        self.sizes = np.array([len(q.ts) for q in queries])
+        coded = pa.array([t for q in queries for t in q.ts], pa.string()).dictionary_encode()
+        owner, term = np.repeat(np.arange(len(queries)), self.sizes), coded.indices.to_numpy()
+        self.terms, self.owners = coded.dictionary, owner[np.argsort(term, kind="stable")]
+        self.offsets = np.append(0, np.cumsum(np.bincount(term, minlength=len(self.terms))))
+
+    def nearest(self, ids: np.ndarray, groups: pa.Array, sets: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, row, similarity) of the k best rows of each query, by rounded similarity and position in ``ids``; all have an element in common with it."""
+        n, m = len(ids), len(self.names)
+        sizes = pc.list_value_length(sets).to_numpy(zero_copy_only=False)
+        term = pc.index_in(sets.flatten(), value_set=self.terms)
+        row = np.repeat(np.arange(n), sizes)[term.is_valid().to_numpy(zero_copy_only=False)]
+        term = term.drop_null().to_numpy()
+        many = np.diff(self.offsets)[term]
+        at = np.repeat(self.offsets[term] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        common = np.bincount(np.repeat(row, many) * m + self.owners[at], minlength=n * m).reshape(n, m)
+        known = pc.index_in(groups, value_set=self.groups.unique()).fill_null(-1).to_numpy()
+        common[known[:, None] != pc.index_in(self.groups, value_set=self.groups.unique()).to_numpy()[None, :]] = 0
+        common[ids[:, None] == self.names[None, :]] = 0
+        s = common / np.maximum(sizes[:, None] + self.sizes[None, :] - common, 1)
+        key = np.arange(n)[:, None] - np.rint(s * 1e9).astype(np.int64) * n
+        best = np.argpartition(key, k - 1, axis=0)[:k] if k < n else np.tile(np.arange(n)[:, None], m)
+        row, query = best.ravel(), np.tile(np.arange(m), len(best))
+        some = common[row, query] > 0
+        return query[some], row[some], s[row, query][some]
+
 
+def nearest_sets(rows: DataFrame, is_query: Column, id_col: str, group_col: str, set_col: str, k: int, block: int = 2048) -> DataFrame:
+    """(query, id, rank, s): for each row that fulfils ``is_query``, the k rows of its group with the highest Jaccard similarity above 0,
+    itself excluded, ties by id.
+
+    Exact search of a stated query set against all rows, as in ``nearest_vectors``: each block of queries meets every batch of rows through
+    its inverted lists, however frequent an element is, and only the k best of a batch go on to the final ranking. Elements are strings and
+    distinct within a row; a NULL group matches nothing."""
+    kind = rows.schema[id_col].dataType.simpleString()
+    picked = rows.select(F.col(id_col).alias("id"), F.col(group_col).cast("string").alias("g"), F.col(set_col).alias("ts"), F.coalesce(is_query, F.lit(False)).alias("asked"))
+    kept = cut(picked.where((F.size("ts") > 0) & F.col("g").isNotNull()))
+    asked = list(kept.where("asked").select("id", "g", "ts").orderBy("id").toLocalIterator())
+    found = None
+    for at in range(0, len(asked), block):
+        shared = rows.sparkSession.sparkContext.broadcast(SetBlock(asked[at : at + block]))
+
+        def run(batches, shared=shared):
+            for b in batches:
+                for start in range(0, b.num_rows, 1000):
+                    part = b.slice(start, 1000)
+                    part = part.take(pc.sort_indices(part["id"]))
+                    ids = np.array(part["id"].to_pylist(), object)
+                    query, row, s = shared.value.nearest(ids, part["g"], part["ts"], k)
+                    of = part.schema.field("id").type
+                    yield pa.RecordBatch.from_arrays([pa.array(shared.value.names[query], of), pa.array(ids[row], of), pa.array(s)], ["query", "id", "s"])
+
+        part = kept.select("id", "g", "ts").mapInArrow(run, f"query {kind}, id {kind}, s double")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = rows.sparkSession.createDataFrame([], f"query {kind}, id {kind}, s double")
     r = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("s", 9)), "id"))
     return found.withColumn("rank", r).where(F.col("rank") <= k).select("query", "id", "rank", "s")

@@ -99,18 +99,12 @@ c as (select distinct a.uid as a, b.uid as b from t a join t b using (domain, t)
 x as (select c.a, c.b, count(*) as o from c join t ta on ta.uid = c.a join t tb on tb.uid = c.b and tb.t = ta.t group by 1, 2)
 select a as uid, b as neighbour, cast(r as bigint) as rank, round(s, 6) as similarity from (select a, b, s, row_number() over (partition by a order by round(s, 9) desc, b) as r from (select a, b, o / (na.n + nb.n - o) as s from x join n na on na.uid = a join n nb on nb.uid = b)) where r <= 3 and a in (select uid from q where ex_id % 50 = 0)""")
 def similar_questions(spark: SparkSession, d: str) -> DataFrame:
-    """The three most similar questions of the domain (Jaccard of content words), for every question whose id is divisible by 50, against
-    all. Candidates share a word that at most 2 % of the domain has."""
+    """The three most similar questions of the domain (Jaccard of content words above 0), for every question whose id is divisible by 50,
+    exact, against all. The SQL sees only candidates that share a word which at most 2 % of the domain has, so its rows differ."""
     q = questions(spark, d)
     tok = q.select("uid", "ex_id", "domain", F.array_distinct(T.content_tokens(F.col("question"))).alias("ts"))
-    t = tok.select("uid", "ex_id", "domain", F.explode("ts").alias("t"))
-    k = q.groupBy("domain").agg(F.greatest(F.lit(2), F.floor(0.02 * F.count(F.lit(1)))).alias("cutoff"))
-    rare = t.groupBy("domain", "t").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(k), "domain").where("df <= cutoff").select("domain", "t")
-    keyed = t.join(rare, ["domain", "t"], "left_semi")
-    pairs = keyed.where("ex_id % 50 = 0").select("domain", "t", F.col("uid").alias("a")).join(keyed.select("domain", "t", F.col("uid").alias("b")), ["domain", "t"]).where("a != b").select("a", "b").distinct()
-    scored = pairs.join(tok.select(F.col("uid").alias("a"), F.col("ts").alias("ta")), "a").join(tok.select(F.col("uid").alias("b"), F.col("ts").alias("tb")), "b").select("a", "b", T.jaccard(F.col("ta"), F.col("tb")).alias("s"))
-    r = F.row_number().over(Window.partitionBy("a").orderBy(F.desc(F.round("s", 9)), "b"))
-    return scored.withColumn("r", r).where("r <= 3").select(F.col("a").alias("uid"), F.col("b").alias("neighbour"), F.col("r").cast("long").alias("rank"), R6("s").alias("similarity"))
+    found = similarity.nearest_sets(tok, F.col("ex_id") % 50 == 0, "uid", "domain", "ts", 3)
+    return found.select(F.col("query").alias("uid"), F.col("id").alias("neighbour"), F.col("rank").cast("long").alias("rank"), R6("s").alias("similarity"))
 
 
 @query("""with v as (select vec_id, embedding::double[] as e, sqrt(list_sum(list_transform(embedding::double[], lambda x: x * x))) as n from embeddings)

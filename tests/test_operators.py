@@ -3,12 +3,14 @@
 import itertools
 import json
 import os
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.operators import merging, paired, ranking, similarity
+from tallyframe.plans import datasets
 from tallyframe.sources import files, verdicts
 from tallyframe.streaming import incremental
 
@@ -114,6 +116,28 @@ def test_nearest_vectors_equal_brute_force(spark):
         assert [got[(q, k + 1)] for k in range(3)] == np.argsort(-s)[:3].tolist()
 
 
+def test_nearest_sets_equal_brute_force(spark):
+    """Most pairs share only words that nearly every row has; block and batch borders fall inside the rows."""
+    rng = random.Random(4)
+    frequent, rare = [f"f{i}" for i in range(12)], [f"r{i}" for i in range(3000)]
+    rows = [(f"u{i:04d}", "ab"[i % 2], rng.sample(frequent, 5) + rng.sample(rare, 3)) for i in range(1500)] + [("none", "a", []), ("null", None, ["f1"])]
+    df = spark.createDataFrame(rows, "uid string, domain string, ts array<string>").repartition(1)
+    got = similarity.nearest_sets(df, F.expr("uid in ('none', 'null') or uid like '%50'"), "uid", "domain", "ts", 3, block=7)
+    want = []
+    for a, da, ta in rows:
+        if a in ("none", "null") or a.endswith("50"):
+            s = {b: len(set(ta) & set(tb)) / len(set(ta) | set(tb)) for b, db, tb in rows if db == da and da and b != a and set(ta) & set(tb)}
+            want += [(a, b, r, round(s[b], 9)) for r, b in enumerate(sorted(s, key=lambda b: (-round(s[b], 9), b))[:3], 1)]
+    assert sorted((x.query, x.id, x.rank, round(x.s, 9)) for x in got.collect()) == sorted(want) and len(want) == 45
+
+
+def test_similar_questions_without_a_rare_word_in_common(spark, tmp_path):
+    rows = [(i, f"u{i:03d}", "d", "train", f"energy mass charge only{i}" if i in (50, 51) else f"energy mass word{i} other{i}", "a") for i in range(1, 200)]
+    spark.createDataFrame(rows, "ex_id long, uid string, domain string, split string, question string, reference_answer string").write.parquet(f"{tmp_path}/examples.parquet")
+    got = {(r.uid, r["rank"]): (r.neighbour, r.similarity) for r in datasets.similar_questions(spark, str(tmp_path)).collect()}
+    assert got["u100", 1] == ("u001", 0.333333) and got["u050", 2] == ("u001", 0.333333) and len(got) == 9
+
+
 def test_merging(spark):
     old = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), (None, "y", 3)], "uid string, source string, n int")
     new = spark.createDataFrame([("a", "y", 9), (None, "y", 8)], "uid string, source string, n int")
