@@ -106,14 +106,9 @@ def exact_similarity(pairs: DataFrame, left: DataFrame, right: DataFrame, weight
     return both.mapInArrow(run, "a long, b long, cosine double, jaccard double")
 
 
-def cross_split_pairs(rows: DataFrame, id_col: str, text_col: str, first_side: Column, threshold: float = 0.75, expand_limit: int = EXPAND_LIMIT) -> DataFrame:
-    """(id_1, id_2, cosine, jaccard): rows of which id_1 fulfils ``first_side`` and id_2 doesn't and whose distinct words
-    have Jaccard similarity of at least ``threshold``.
-
-    Defined cases: a NULL text or a text without words is in no pair; a NULL side counts as not fulfilled; NULL
-    ids are left out; equal texts pair like any others, but more than ``expand_limit`` equal texts of a side each pair with one
-    representative of the other side's equal texts only (no link between different texts is lost); an empty table, or only one side, gives no rows; other
-    columns are ignored; texts are used whole."""
+def cross_split_classes(rows: DataFrame, id_col: str, text_col: str, first_side: Column, threshold: float = 0.75) -> tuple[DataFrame, list[DataFrame], list[DataFrame]]:
+    """(a, b, cosine, jaccard) of the representatives of alike sets, a of the first side and b of the other, and of both sides the
+    word sets of the rows and the classes of equal sets."""
     picked = rows.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(first_side, F.lit(False)).alias("side"))
     total = picked.count()
     common, counts = frequent_words(picked, ["text"], FREQUENT, total)
@@ -129,6 +124,18 @@ def cross_split_pairs(rows: DataFrame, id_col: str, text_col: str, first_side: C
     near = F.col("x.upto") * F.col("y.upto") >= bound - 1e-9
     pairs = x.join(y, (F.col("x.term") == F.col("y.term")) & near & can_be_similar("x", "y", threshold)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     good = exact_similarity(pairs, *vectors, weights).where((F.col("cosine") >= bound - 1e-9) & (F.col("jaccard") >= threshold))
+    return good, sides, classes
+
+
+def cross_split_pairs(rows: DataFrame, id_col: str, text_col: str, first_side: Column, threshold: float = 0.75, expand_limit: int = EXPAND_LIMIT) -> DataFrame:
+    """(id_1, id_2, cosine, jaccard): rows of which id_1 fulfils ``first_side`` and id_2 doesn't and whose distinct words
+    have Jaccard similarity of at least ``threshold``.
+
+    Defined cases: a NULL text or a text without words is in no pair; a NULL side counts as not fulfilled; NULL
+    ids are left out; equal texts pair like any others, but more than ``expand_limit`` equal texts of a side each pair with one
+    representative of the other side's equal texts only (no link between different texts is lost); an empty table, or only one side, gives no rows; other
+    columns are ignored; texts are used whole."""
+    good, sides, classes = cross_split_classes(rows, id_col, text_col, first_side, threshold)
     copies = [members(s, c) for s, c in zip(sides, classes)]
     out = good
     for side, rows_of in zip("ab", copies):
@@ -142,7 +149,12 @@ def cross_split_pairs(rows: DataFrame, id_col: str, text_col: str, first_side: C
     return out
 
 
-def overlap_counts(pairs: DataFrame, rows: DataFrame, id_col: str, split_col: str, source_col: str) -> DataFrame:
-    """(split, source, n_pairs, n_records): overlaps of records outside the first side, by split and source."""
-    info = rows.select(F.col(id_col).alias("id_2"), F.col(split_col).alias("split"), F.col(source_col).alias("source"))
-    return pairs.join(info, "id_2").groupBy("split", "source").agg(F.count(F.lit(1)).alias("n_pairs"), F.count_distinct("id_2").alias("n_records"))
+def overlap_counts(rows: DataFrame, id_col: str, text_col: str, first_side: Column, split_col: str, source_col: str, threshold: float = 0.75) -> DataFrame:
+    """(split, source, n_pairs, n_records): overlaps of records outside the first side, by split and source. Every pair of rows counts,
+    from the sizes of their classes, so none is expanded however many equal texts there are."""
+    good, (_, held), (first, second) = cross_split_classes(rows, id_col, text_col, first_side, threshold)
+    matched = good.join(first.select(F.col("rep").alias("a"), "n"), "a").groupBy("b").agg(F.sum("n").alias("n"))
+    info = rows.select(F.col(id_col).cast("long").alias("id"), F.col(split_col).alias("split"), F.col(source_col).alias("source"))
+    shares = held.select("id", "k1", "k2").join(info, "id").groupBy("k1", "k2", "split", "source").agg(F.count(F.lit(1)).alias("m"))
+    found = shares.join(second.select("k1", "k2", F.col("rep").alias("b")), ["k1", "k2"]).join(matched, "b")
+    return found.groupBy("split", "source").agg(F.sum(F.col("m") * F.col("n")).alias("n_pairs"), F.sum("m").alias("n_records"))

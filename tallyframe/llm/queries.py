@@ -89,9 +89,7 @@ def p5_overlaps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_counts(spark: SparkSession, d: str) -> DataFrame:
-    examples = table(spark, d, "examples")
-    pairs = cross_split.cross_split_pairs(examples, "ex_id", "question", F.col("split") == "train", 0.75)
-    return cross_split.overlap_counts(pairs, examples, "ex_id", "split", "question_source")
+    return cross_split.overlap_counts(table(spark, d, "examples"), "ex_id", "question", F.col("split") == "train", "split", "question_source", 0.75)
 
 
 def _p6_records(spark: SparkSession, d: str) -> DataFrame:

@@ -133,6 +133,16 @@ def test_cross_split_of_many_equal_texts_is_a_star(spark):
     assert got == {(1, 101), (1, 102), (1, 103), (1, 200)} | {(i, 101) for i in range(2, 31)} | {(i, 200) for i in range(2, 31)}
 
 
+def test_overlap_counts_of_many_equal_texts(spark):
+    text = ["one two three four", "Four, three two one!"]
+    rows = [(i, text[i % 2], "train", "x") for i in range(1200)] + [(2000 + i, text[i % 2], ["val", "test"][i % 3 == 0], ["s", None][i % 5 == 0]) for i in range(1100)]
+    rows += [(5000, "one two three four five", "val", "s"), (5001, "one two three four five", "train", "s"), (5002, "other words", "val", "s")]
+    df = spark.createDataFrame(rows, "id long, q string, split string, source string")
+    got = {(r.split, r.source): (r.n_pairs, r.n_records) for r in cross_split.overlap_counts(df, "id", "q", F.col("split") == "train", "split", "source").collect()}
+    held = [(s, o) for i, _, s, o in rows if 2000 <= i <= 5000]
+    assert got == {k: (1201 * held.count(k), held.count(k)) for k in set(held)}
+
+
 def test_bitmaps_never_rule_out_a_similar_pair(spark):
     texts = varied(150, 21)
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t string")
