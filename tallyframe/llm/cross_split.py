@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.textarrays import as_long, flat, mix
 from tallyframe.llm.near_duplicates import frequent_words
-from tallyframe.llm.sets import can_be_similar, class_words, members, parity_bitmaps, set_classes, word_sets
+from tallyframe.llm.sets import can_be_similar, class_words, members, parity_bitmaps, set_classes, shortened, word_sets
 
 FREQUENT = 0.001
 EXPAND_LIMIT = 1000
@@ -132,18 +132,18 @@ def cross_split_pairs(rows: DataFrame, id_col: str, text_col: str, first_side: C
     have Jaccard similarity of at least ``threshold``.
 
     Defined cases: a NULL text or a text without words is in no pair; a NULL side counts as not fulfilled; NULL
-    ids are left out; equal texts pair like any others, but more than ``expand_limit`` equal texts of a side each pair with one
-    representative of the other side's equal texts only (no link between different texts is lost); an empty table, or only one side, gives no rows; other
+    ids are left out; equal texts pair like any others, but of more than ``expand_limit`` exactly equal texts of a side all but the
+    first pair with one representative of each set of words of the other side only (no link between different texts is lost); an empty table, or only one side, gives no rows; other
     columns are ignored; texts are used whole."""
     good, sides, classes = cross_split_classes(rows, id_col, text_col, first_side, threshold)
-    copies = [members(s, c) for s, c in zip(sides, classes)]
+    split = [shortened(members(s, c), expand_limit) for s, c in zip(sides, classes)]
     out = good
-    for side, rows_of in zip("ab", copies):
-        few = rows_of.where(F.col("n") <= expand_limit).select(F.col("rep").alias(side), F.col("id").alias(f"id_{side}"))
-        out = out.join(few, side, "left").withColumn(f"id_{side}", F.coalesce(f"id_{side}", side))
+    for side, (small, big, _) in zip("ab", split):
+        kept = small.unionByName(big.select("rep", "id")).select(F.col("rep").alias(side), F.col("id").alias(f"id_{side}"))
+        out = out.join(kept, side, "left").withColumn(f"id_{side}", F.coalesce(f"id_{side}", side))
     out = out.select(F.col("id_a").alias("id_1"), F.col("id_b").alias("id_2"), "cosine", "jaccard")
-    for side, rows_of in zip("ab", copies):
-        many = rows_of.where((F.col("n") > expand_limit) & (F.col("id") != F.col("rep"))).select(F.col("rep").alias(side), "id")
+    for side, (_, _, copies) in zip("ab", split):
+        many = copies.select(F.col("rep").alias(side), "id")
         ids = ["id", "b"] if side == "a" else ["a", "id"]
         out = out.unionByName(good.join(many, side).select(F.col(ids[0]).alias("id_1"), F.col(ids[1]).alias("id_2"), "cosine", "jaccard"))
     return out

@@ -9,20 +9,24 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.textarrays import as_long, chunks, distinct_per_row, flat, lists, mix, set_keys, word_hashes
 
+#: Parts of a large set's join with itself.
+SALTS = 256
+
 
 def word_sets(rows: DataFrame, id_col: str, text_cols: list[str]) -> DataFrame:
-    """(id, k1, k2, words): the distinct words of the text columns together, as sorted 64-bit hashes,
-    and a 128-bit key of that set. Rows without a word have no set and don't come out."""
-    picked = rows.select(F.col(id_col).cast("long").alias("id"), F.concat_ws(" ", *[F.col(c) for c in text_cols]).alias("text"))
+    """(id, k1, k2, exact, words): the distinct words of the text columns together, as sorted 64-bit hashes,
+    a 128-bit key of that set, and a hash of the texts as they are. Rows without a word have no set and don't come out."""
+    exact = F.xxhash64(*[F.coalesce(F.col(c), F.lit("")) for c in text_cols])
+    picked = rows.select(F.col(id_col).cast("long").alias("id"), F.concat_ws(" ", *[F.col(c) for c in text_cols]).alias("text"), exact.alias("exact"))
 
     def run(batches):
         for b in chunks(batches, "text"):
             values, offsets = distinct_per_row(*word_hashes(b["text"].to_pylist()))
             k1, k2 = set_keys(values, offsets)
-            out = pa.RecordBatch.from_arrays([b["id"], as_long(k1), as_long(k2), lists(as_long(values), offsets)], ["id", "k1", "k2", "words"])
+            out = pa.RecordBatch.from_arrays([b["id"], as_long(k1), as_long(k2), b["exact"], lists(as_long(values), offsets)], ["id", "k1", "k2", "exact", "words"])
             yield out.filter(pa.array(np.diff(offsets) > 0))
 
-    return picked.where(F.col("id").isNotNull()).mapInArrow(run, "id long, k1 long, k2 long, words array<long>")
+    return picked.where(F.col("id").isNotNull()).mapInArrow(run, "id long, k1 long, k2 long, exact long, words array<long>")
 
 
 def parity_bitmaps(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,9 +75,20 @@ def class_words(sets: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def members(sets: DataFrame, classes: DataFrame) -> DataFrame:
-    """(rep, n, id) for the rows of every set that more than one row has."""
+    """(rep, n, id, exact) for the rows of every set that more than one row has."""
     many = classes.where("n > 1").select("k1", "k2", "rep", "n")
-    return sets.select("id", "k1", "k2").join(many, ["k1", "k2"]).select("rep", "n", "id")
+    return sets.select("id", "k1", "k2", "exact").join(many, ["k1", "k2"]).select("rep", "n", "id", "exact")
+
+
+def shortened(member_rows: DataFrame, expand_limit: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rep, id) of the sets of at most ``expand_limit`` rows; of larger ones, (rep, n, id) of the rows that pair with all others, and
+    (rep, first, id) of those left to a star: rows whose texts are equal to more than ``expand_limit`` rows, but for the first of them.
+    Texts of the same words in another order or writing are different texts."""
+    big = member_rows.where(F.col("n") > expand_limit)
+    texts = big.groupBy("rep", "exact").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("equal"))
+    both = big.join(texts, ["rep", "exact"])
+    is_copy = (F.col("equal") > expand_limit) & (F.col("id") != F.col("first"))
+    return member_rows.where(F.col("n") <= expand_limit).select("rep", "id"), both.where(~is_copy).select("rep", "n", "id"), both.where(is_copy).select("rep", "first", "id")
 
 
 def jaccard(a: str = "words_a", b: str = "words_b"):
@@ -91,14 +106,20 @@ def verified(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFram
 
 def expanded(pairs: DataFrame, member_rows: DataFrame, expand_limit: int) -> DataFrame:
     """(id_a, id_b), id_a < id_b: every pair of rows behind the pairs of representatives and within a set.
-    A set of more than ``expand_limit`` equal rows is given as a star instead: each copy with its representative,
-    and the representative alone in pairs with other sets; no link between different texts is lost."""
-    small = member_rows.where(F.col("n") <= expand_limit).select("rep", "id")
+    More than ``expand_limit`` rows of exactly the same texts are given as a star instead: each copy with the first of them,
+    and the first alone in pairs with other texts; no link between different texts is lost."""
+    small, big, copies = shortened(member_rows, expand_limit)
+    kept = small.unionByName(big.select("rep", "id"))
+    between = pairs.select("a", "b").join(kept.select(F.col("rep").alias("a"), F.col("id").alias("id_a")), "a", "left").join(kept.select(F.col("rep").alias("b"), F.col("id").alias("id_b")), "b", "left")
+    between = between.select(F.coalesce("id_a", "a").alias("x"), F.coalesce("id_b", "b").alias("y"))
     left = small.select(F.col("rep").alias("a"), F.col("id").alias("id_a"))
     right = small.select(F.col("rep").alias("b"), F.col("id").alias("id_b"))
-    between = pairs.select("a", "b").join(left, "a", "left").join(right, "b", "left")
-    between = between.select(F.coalesce("id_a", "a").alias("x"), F.coalesce("id_b", "b").alias("y"))
     within = left.join(right, F.col("a") == F.col("b")).where("id_a < id_b").select(F.col("id_a").alias("x"), F.col("id_b").alias("y"))
-    star = member_rows.where((F.col("n") > expand_limit) & (F.col("id") != F.col("rep"))).select(F.col("rep").alias("x"), F.col("id").alias("y"))
-    both = between.unionByName(within).unionByName(star)
+    # A large set is one hot key: its rows meet in up to SALTS parts.
+    salts = F.least(F.lit(SALTS), F.ceil(F.col("n") / expand_limit))
+    left = big.select(F.col("rep").alias("a"), F.col("id").alias("id_a"), F.pmod(F.xxhash64("id"), salts).alias("salt_a"))
+    right = big.select(F.col("rep").alias("b"), F.col("id").alias("id_b"), F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt_b"))
+    large = left.join(right, (F.col("a") == F.col("b")) & (F.col("salt_a") == F.col("salt_b"))).where("id_a < id_b").select(F.col("id_a").alias("x"), F.col("id_b").alias("y"))
+    star = copies.select(F.col("first").alias("x"), F.col("id").alias("y"))
+    both = between.unionByName(within).unionByName(large).unionByName(star)
     return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))

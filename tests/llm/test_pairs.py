@@ -143,6 +143,28 @@ def test_overlap_counts_of_many_equal_texts(spark):
     assert got == {k: (1201 * held.count(k), held.count(k)) for k in set(held)}
 
 
+def reordered():
+    """30 orders of one set of words, 15 exact copies of the first, and a neighbour."""
+    orders = [" ".join(p) for p in itertools.islice(itertools.permutations("one two three four".split()), 24)] + ["one, two; three four" + "!" * k for k in range(6)]
+    return [(i, t) for i, t in enumerate(orders + orders[:1] * 15, 1)] + [(99, "one two three four five")]
+
+
+def test_only_exact_copies_become_a_star(spark):
+    df = spark.createDataFrame(reordered(), "id long, t string")
+    got = [(r.id_a, r.id_b) for r in near_duplicates.near_duplicate_pairs(df, "id", ["t"], expand_limit=10).collect()]
+    kept = [*range(1, 31), 99]
+    assert sorted(got) == sorted([*itertools.combinations(kept, 2)] + [(1, i) for i in range(31, 46)])
+
+
+def test_cross_split_keeps_links_between_orders_of_words(spark):
+    rows = [(i, t, "train") for i, t in reordered()] + [(1000 + i, t, "val") for i, t in reordered()]
+    df = spark.createDataFrame(rows, "id long, q string, split string")
+    got = [(r.id_1, r.id_2) for r in cross_split.cross_split_pairs(df, "id", "q", F.col("split") == "train", expand_limit=10).collect()]
+    kept, copies = [*range(1, 31), 99], range(31, 46)
+    want = [(a, 1000 + b) for a in kept for b in kept] + [p for i in copies for b in (1, 99) for p in ((i, 1000 + b), (b, 1000 + i))]
+    assert sorted(got) == sorted(want)
+
+
 def test_bitmaps_never_rule_out_a_similar_pair(spark):
     texts = varied(150, 21)
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t string")
