@@ -130,6 +130,16 @@ def p7_records(spark: SparkSession, d: str) -> DataFrame:
     return canonical_copies.copy_groups(prints).select("first_id", "copies")
 
 
+def p7_copy_counts(spark: SparkSession, d: str) -> DataFrame:
+    """One record for each canonical text of criteria and of raw_entries, with its number of copies in that table."""
+    rows = [
+        ("criteria", canonical_copies.fingerprints(table(spark, d, "criteria"), "criterion_id", "title", "description")),
+        ("raw_entries", canonical_copies.fingerprints(canonical_copies.parsed_entries(table(spark, d, "raw_entries")), "id", "title", "description")),
+    ]
+    first, second = [canonical_copies.copy_groups(prints).select(F.lit(src).alias("src"), "first_id", "copies") for src, prints in rows]
+    return first.unionByName(second)
+
+
 def p8_sequences(spark: SparkSession, d: str) -> DataFrame:
     return packing.packed_sequences(packing.token_counts(table(spark, d, "documents"), "doc_id", "text"))
 
@@ -164,7 +174,7 @@ def p10_agreement(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     p1_found, p1_groups, p2_found, p2_labels, p3_found, p3_frequencies, p3_ngrams, p3_list_check, p4_found, p4_rates, p4_spikes,
-    p5_found, p5_overlaps, p5_counts, p6_found, p6_shared_part, p7_found, p7_records, p8_sequences, p9_found, p9_leaks,
+    p5_found, p5_overlaps, p5_counts, p6_found, p6_shared_part, p7_found, p7_records, p7_copy_counts, p8_sequences, p9_found, p9_leaks,
     p10_found, p10_levels, p10_agreement,
 ]
 

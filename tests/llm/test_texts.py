@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.functions import textarrays as X
-from tallyframe.llm import canonical_copies, contamination, defects, ngram_counts, packing, reading_level, shared_spans, truncation
+from tallyframe.llm import canonical_copies, contamination, defects, ngram_counts, packing, queries, reading_level, shared_spans, truncation
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -80,6 +80,14 @@ def test_copies(spark):
     assert canonical_copies.copies(hot, "id", "title", "description").count() == 499
 
 
+def test_copy_counts_of_both_tables(spark, tmp_path):
+    spark.createDataFrame([(1, "A b", "c."), (2, "a B!", "C"), (3, "x", None)], "criterion_id long, title string, description string").write.parquet(f"{tmp_path}/criteria.parquet")
+    payloads = ['{"title": "A b", "description": "c"}', '{"Description":"C!","TITLE":"a  b"}', '"alone"', "{broken", '{"description": "Alone", "weight": 2}', '{"title": "x"}']
+    spark.createDataFrame(list(enumerate(payloads, 1)), "entry_id long, payload string").write.parquet(f"{tmp_path}/raw_entries.parquet")
+    got = {(r.src, r.first_id): r.copies for r in queries.p7_copy_counts(spark, str(tmp_path)).collect()}
+    assert got == {("criteria", 1): 2, ("criteria", 3): 1, ("raw_entries", 1): 2, ("raw_entries", 3): 2, ("raw_entries", 6): 1}
+
+
 def test_parsed_entries(spark):
     good = [json.dumps({"Description": "d", "TITLE": "t"}), json.dumps("only"), '{"title": null, "description": 5}', "  {}  "]
     bad = ['{"title" = "t"}', "```json\n{}\n```", '{"title": "t",}', "", None, "[1]", "7", '{"a": 1};']
