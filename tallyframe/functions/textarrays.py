@@ -139,6 +139,14 @@ def distinct_per_row(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarra
     return values, np.searchsorted(rows, np.arange(len(offsets)))
 
 
+def rows_of(values: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values and offsets of some of the rows."""
+    n = np.diff(offsets)[rows]
+    ends = np.zeros(len(rows) + 1, np.int64)
+    np.cumsum(n, out=ends[1:])
+    return values[np.repeat(offsets[rows] - ends[:-1], n) + np.arange(ends[-1])], ends
+
+
 def set_keys(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """128 bits for each row's set of values, whatever their order: two sums of independent hashes."""
 
