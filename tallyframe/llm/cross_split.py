@@ -21,8 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.textarrays import as_long, flat, mix
-from tallyframe.llm.near_duplicates import frequent_words
-from tallyframe.llm.sets import can_be_similar, class_words, members, parity_bitmaps, set_classes, shortened, word_sets
+from tallyframe.llm.sets import can_be_similar, class_words, frequent_words, members, parity_bitmaps, set_classes, shortened, word_sets
+from tallyframe.session import cut
 
 FREQUENT = 0.001
 EXPAND_LIMIT = 1000
@@ -109,16 +109,17 @@ def exact_similarity(pairs: DataFrame, left: DataFrame, right: DataFrame, weight
 def cross_split_classes(rows: DataFrame, id_col: str, text_col: str, first_side: Column, threshold: float = 0.75) -> tuple[DataFrame, list[DataFrame], list[DataFrame]]:
     """(a, b, cosine, jaccard) of the representatives of alike sets, a of the first side and b of the other, and of both sides the
     word sets of the rows and the classes of equal sets."""
-    picked = rows.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(first_side, F.lit(False)).alias("side"))
-    total = picked.count()
-    common, counts = frequent_words(picked, ["text"], FREQUENT, total)
+    # Every later step reads the words from here, so that the rows are read and cut into words once.
+    sets = cut(word_sets(rows, id_col, [text_col], first_side))
+    total = sets.count()
+    common, counts = frequent_words(sets, FREQUENT, total)
     weights = rows.sparkSession.sparkContext.broadcast(Weights(common, counts, total))
     bound = cosine_bound(threshold)
-    sides = [word_sets(picked.where(F.col("side") == flag), "id", ["text"]) for flag in (True, False)]
+    sides = [sets.where(F.col("side") == flag) for flag in (True, False)]
     classes = [set_classes(s) for s in sides]
     # Every squared weight is 1 at least, so a norm is at least the root of the smallest number of words.
     vectors = [class_words(s, c) for s, c in zip(sides, classes)]
-    least = [c.agg(F.min(F.size("words")).alias("n")).first().n or 1 for c in vectors]
+    least = [s.agg(F.min(F.size("words")).alias("n")).first().n or 1 for s in sides]
     lists = [inverted_lists(c, weights, bound, float(np.sqrt(n))) for c, n in zip(vectors, reversed(least))]
     x, y = lists[0].alias("x"), lists[1].alias("y")
     near = F.col("x.upto") * F.col("y.upto") >= bound - 1e-9

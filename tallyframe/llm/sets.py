@@ -13,20 +13,42 @@ from tallyframe.functions.textarrays import as_long, chunks, distinct_per_row, f
 SALTS = 256
 
 
-def word_sets(rows: DataFrame, id_col: str, text_cols: list[str]) -> DataFrame:
-    """(id, k1, k2, exact, words): the distinct words of the text columns together, as sorted 64-bit hashes,
-    a 128-bit key of that set, and a hash of the texts as they are. Rows without a word have no set and don't come out."""
+def picked_texts(rows: DataFrame, id_col: str, text_cols: list[str], side: Column | None = None) -> DataFrame:
+    """(id, text, exact, side) of rows with an id: the text columns together, a hash of them as they are, and a yes-or-no mark."""
     exact = F.xxhash64(*[F.coalesce(F.col(c), F.lit("")) for c in text_cols])
-    picked = rows.select(F.col(id_col).cast("long").alias("id"), F.concat_ws(" ", *[F.col(c) for c in text_cols]).alias("text"), exact.alias("exact"))
+    mark = F.coalesce(side, F.lit(False)) if side is not None else F.lit(False)
+    picked = rows.select(F.col(id_col).cast("long").alias("id"), F.concat_ws(" ", *[F.col(c) for c in text_cols]).alias("text"), exact.alias("exact"), mark.alias("side"))
+    return picked.where(F.col("id").isNotNull())
+
+
+def word_sets(rows: DataFrame, id_col: str, text_cols: list[str], side: Column | None = None) -> DataFrame:
+    """(id, k1, k2, exact, side, words): the distinct words of the text columns together, as sorted 64-bit hashes,
+    a 128-bit key of that set, and a hash of the texts as they are. Rows without a word have no set and don't come out."""
 
     def run(batches):
         for b in chunks(batches, "text"):
             values, offsets = distinct_per_row(*word_hashes(b["text"].to_pylist()))
             k1, k2 = set_keys(values, offsets)
-            out = pa.RecordBatch.from_arrays([b["id"], as_long(k1), as_long(k2), b["exact"], lists(as_long(values), offsets)], ["id", "k1", "k2", "exact", "words"])
+            out = pa.RecordBatch.from_arrays([b["id"], as_long(k1), as_long(k2), b["exact"], b["side"], lists(as_long(values), offsets)], ["id", "k1", "k2", "exact", "side", "words"])
             yield out.filter(pa.array(np.diff(offsets) > 0))
 
-    return picked.where(F.col("id").isNotNull()).mapInArrow(run, "id long, k1 long, k2 long, exact long, words array<long>")
+    return picked_texts(rows, id_col, text_cols, side).mapInArrow(run, "id long, k1 long, k2 long, exact long, side boolean, words array<long>")
+
+
+def frequent_words(sets: DataFrame, share: float, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) and counts of the words that more than ``share`` times n sets have. No more than (average number of
+    words) / share of them can exist, whatever the number of rows."""
+
+    def run(batches):
+        for b in batches:
+            words, counts = np.unique(flat(b["words"])[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(counts)], ["w", "c"])
+
+    least = max(1, int(share * n))
+    found = sets.select("words").mapInArrow(run, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")).where(F.col("c") > least).collect()
+    words = np.array([r.w for r in found], np.int64).view(np.uint64)
+    order = np.argsort(words)
+    return words[order], np.array([r.c for r in found], np.int64)[order]
 
 
 def parity_bitmaps(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -41,6 +63,27 @@ def parity_bitmaps(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     return half(place < 64), half(place >= 64)
 
 
+#: Bits of a digest that hold the size; larger sets count as the largest.
+SIZE_BITS = 12
+LARGEST = (1 << SIZE_BITS) - 1
+
+
+def digest(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """64 bits per row: a parity bitmap of its words above its size."""
+    flips = np.zeros(len(values) + 1, np.uint64)
+    np.bitwise_xor.accumulate(np.uint64(1) << (mix(values, 21) % np.uint64(64 - SIZE_BITS) + np.uint64(SIZE_BITS)), out=flips[1:])
+    return (flips[offsets[1:]] ^ flips[offsets[:-1]]) | np.minimum(np.diff(offsets), LARGEST).astype(np.uint64)
+
+
+def compatible(x: str, y: str, threshold: float) -> Column:
+    """A condition on the digests of two rows that every pair of Jaccard similarity ``threshold`` fulfils."""
+    x, y = F.col(x), F.col(y)
+    m, n = x.bitwiseAND(LARGEST), y.bitwiseAND(LARGEST)
+    apart = F.bit_count(F.shiftrightunsigned(x.bitwiseXOR(y), SIZE_BITS))
+    fits = F.least(m, n) >= F.ceil(threshold * F.greatest(m, n) - 1e-9)
+    return (F.greatest(m, n) == LARGEST) | (fits & (apart <= (1 - threshold) / (1 + threshold) * (m + n) + 1e-9))
+
+
 def bitmaps(vectors: DataFrame) -> DataFrame:
     """(rep, size, b1, b2) of (rep, words); it reads the exchange that other uses of the words read."""
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm import cross_split, near_duplicates
 from tallyframe.llm.graph import connected_components
-from tallyframe.llm.sets import bitmaps, can_be_similar, word_sets
+from tallyframe.llm.sets import bitmaps, can_be_similar, compatible, digest, word_sets
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -172,3 +172,53 @@ def test_bitmaps_never_rule_out_a_similar_pair(spark):
     kept = rows.alias("x").join(rows.alias("y"), F.col("x.id") < F.col("y.id")).where(can_be_similar("x", "y", 0.75)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).collect()
     want = brute([(i, t) for i, t in enumerate(texts)])
     assert want <= {(r.a, r.b) for r in kept} and len(kept) < 0.1 * 150 * 149 / 2
+
+
+def boilerplate(n, share, seed=9):
+    """(id, text) of n unrelated texts, a share of them with 25 words in common out of 37; some pairs of true near copies."""
+    rng = random.Random(seed)
+    lead = [f"common{i}" for i in range(25)]
+    rows = []
+    for i in range(n):
+        own = [f"u{rng.randrange(10**9)}" for _ in range(12)]
+        rows.append((i, " ".join(lead + own if rng.random() < share else own + [f"v{rng.randrange(10**9)}" for _ in range(25)])))
+        if i % 50 == 49:
+            rows[-1] = (i, rows[-2][1] + " more")
+    return rows
+
+
+def test_hot_buckets_are_split_without_loss(spark):
+    rows = boilerplate(1500, 0.3)
+    df = spark.createDataFrame(rows, "id long, t string")
+    want = brute(rows)
+    for bucket in (5, 10_000):
+        pairs, _ = near_duplicates.near_duplicate_classes(df, "id", ["t"], bucket=bucket, window=300)
+        assert {(r.a, r.b) for r in pairs.collect()} == want and len(want) >= 30
+
+
+def test_candidates_of_boilerplate_grow_with_the_rows(spark):
+    """A bucket of 3 % of the rows that share 25 of 37 words (and "more" in the near copies): twice the rows, about twice the rows that meet in the join."""
+    met = []
+    for n in (6000, 12000):
+        df = spark.createDataFrame(boilerplate(n, 0.03), "id long, t string")
+        passed = near_duplicates.first_pass(df, "id", ["t"], near_duplicates.FREQUENT, 3000).cache()
+        hot = near_duplicates.counts_above(passed, near_duplicates.KEY, 50, 10_000)[0]
+        common, counts = near_duplicates.counts_above(passed, near_duplicates.WORD, 0.001 * n, 10_000)
+        assert len(hot) and len(common) == 26
+        keys = []
+        for r in word_sets(df, "id", ["t"]).select("words").toLocalIterator():
+            values = np.array(r.words, np.int64).view(np.uint64)
+            keys.append(near_duplicates.band_rows(values, np.array([0, len(values)]), hot, common, counts, 0.75)[1])
+        sizes = np.unique(np.concatenate(keys), return_counts=True)[1]
+        met.append(int((sizes * (sizes - 1) // 2).sum()))
+    assert met[1] < 3 * met[0]
+
+
+def test_digests_never_rule_out_a_similar_pair(spark):
+    texts = varied(150, 22) + [" ".join(f"x{i}" for i in range(k)) for k in (4090, 4100, 5000)]
+    sets = word_sets(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), "id", ["t"]).select("id", "words").collect()
+    values = np.concatenate([np.array(r.words, np.int64).view(np.uint64) for r in sets])
+    sig = digest(values, np.cumsum([0] + [len(r.words) for r in sets])).view(np.int64)
+    df = spark.createDataFrame([(r.id, int(x)) for r, x in zip(sets, sig)], "id long, sig long")
+    kept = df.alias("x").join(df.alias("y"), F.col("x.id") < F.col("y.id")).where(compatible("x.sig", "y.sig", 0.75)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).collect()
+    assert brute(list(enumerate(texts))) <= {(r.a, r.b) for r in kept} and len(kept) < 0.15 * 150 * 149 / 2
