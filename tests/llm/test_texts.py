@@ -162,6 +162,18 @@ def test_truncated_rows(spark):
     assert truncation.truncated(df.limit(0), "id", "src", "t", "n").count() == 0
 
 
+def test_only_the_spike_tells_a_cut_item_from_a_whole_one(spark):
+    """Items at a field limit are cut although they look whole; without the histogram they wouldn't come out."""
+    item = "Values so far:\n- speed: 12.3 m"
+    rng = random.Random(2)
+    rest = [("a", "x" * rng.randrange(20, 80) + ".") for _ in range(400)]
+    filler = lambda n: "y" * (n - len(item) - 1) + "\n" + item
+    rows = [(i, *r) for i, r in enumerate(rest + [("a", filler(100))] * 30 + [("a", filler(90)), ("b", filler(100))] + [("a", "z" * 99 + ".")] * 5)]
+    df = spark.createDataFrame(rows, "id long, s string, t string")
+    got = {r.id: r.evidence for r in truncation.truncated(df, "id", "s", "t").collect()}
+    assert got == {i: "limit" for i in range(400, 430)}
+
+
 def test_spikes(spark):
     rng = random.Random(1)
     rows = [("a", "x" * min(rng.randrange(20, 140), 100)) for _ in range(600)] + [("b", "é" * rng.randrange(20, 120)) for _ in range(600)] + [("a", "y" * 130), (None, None)]
@@ -264,7 +276,70 @@ def test_packing_is_complete_and_within_capacity(spark):
     assert packing.packed_sequences(df.limit(0), capacity=100).count() == 0
 
 
+def triplets(k, capacity, seed=1):
+    """Sizes that fit exactly three to a bin: each between a quarter and a half of it."""
+    rng, out = random.Random(seed), []
+    for _ in range(k):
+        a = rng.randrange(capacity * 38 // 100, capacity * 49 // 100)
+        b = rng.randrange(capacity * 25 // 100 + 1, (capacity - a) // 2 + 1)
+        out += [a, b, capacity - a - b]
+    rng.shuffle(out)
+    return out
+
+
+def test_genetic_packing_where_best_fit_misses_the_bound(spark):
+    sizes = triplets(100, 1000)
+    alone = len(packing.best_fit([], list(range(300)), sizes, 1000))
+    df = spark.createDataFrame(list(enumerate(sizes)), "doc_id long, tokens long")
+    packed = packing.packed_sequences(df, 1000)
+    assert alone >= 112 and packed.select("sequence").distinct().count() <= 104
+    assert packing.packing_faults(df, packed, 1000).first()[1:] == (0, 0, 0, 0)
+    got = {r.method: (r.bins, r.least) for r in packing.packing_report(df, 1000).collect()}
+    assert got["best-fit decreasing"] == (alone, 100) and got["grouping genetic"][0] <= 104
+    wrong = packed.withColumn("position", F.col("position") + 1).withColumn("sequence", F.lit("one"))
+    assert packing.packing_faults(df, wrong, 1000).first()[2] == 1
+
+
 def test_token_counts(spark):
     df = spark.createDataFrame([(1, "Hello world"), (2, None), (3, ""), (None, "x"), (4, "a " * 5000)], "doc_id long, text string")
     got = {r.doc_id: r.tokens for r in packing.token_counts(df, "doc_id", "text").collect()}
     assert got[1] == 2 and got[2] == got[3] == 0 and got[4] >= 5000 and set(got) == {1, 2, 3, 4}
+
+
+#: Refusals that no pattern or planted list was written after, and answers that only look like some.
+HELD_OUT_REFUSALS = [
+    "That is something I am not in a position to answer.", "I have chosen not to respond to this.", "Sorry, no answer from me on this one.", "I'm sorry, but I cannot continue with this request.", "Unfortunately I am unable to assist with that.",
+    "I apologize, I can't provide this information.", "I will not be answering that.", "As a language model, I am not able to comment on this.", "I'd prefer not to discuss the matter.", "My apologies, I must decline to answer.",
+    "Désolé, je ne suis pas en mesure de vous aider.", "Leider darf ich diese Frage nicht beantworten.", "Lamento no poder contestar; no puedo dar esa información.", "Infelizmente não consigo responder a essa pergunta.", "К сожалению, я не могу помочь с этим вопросом.",
+]
+NO_REFUSALS = [
+    "We cannot neglect the mass of the rotor here, so the ratio is not constant.", "It is unable to reach the lens because the pump is dense.", "The pump can't help the vapor, and sorry data would follow.", "Unfortunately, the value drops to a half of the first one.", "The rotor will not provide the heat that the lens needs.",
+]
+
+
+def test_refusals_worded_otherwise():
+    """A share of unseen refusals is found by at least one of the first two functions, and no answer by both."""
+    found = [defects.votes(QUESTION, t, None, None)[1] for t in HELD_OUT_REFUSALS]
+    assert sum(1 in v[:2] for v in found) >= 12
+    assert all(v[0] != 1 for v in (defects.votes(QUESTION, t, None, None)[1] for t in NO_REFUSALS))
+
+
+def test_copied_runs_equal_brute_force():
+    rng = random.Random(3)
+
+    def slow(answer, question, least=5):
+        text, total, longest, at = " " + " ".join(question) + " ", 0, 0, 0
+        while at + least <= len(answer):
+            end = at + least
+            if f" {' '.join(answer[at:end])} " not in text:
+                at += 1
+                continue
+            while end < len(answer) and f" {' '.join(answer[at : end + 1])} " in text:
+                end += 1
+            total, longest, at = total + end - at, max(longest, end - at), end
+        return total, longest
+
+    for _ in range(300):
+        q, a = rng.choices("abc", k=rng.randrange(40)), rng.choices("abc", k=rng.randrange(60))
+        assert defects.copied(a, q) == slow(a, q)
+    assert defects.copied(["a"] * 20_000, ["a"] * 20_000) == (20_000, 20_000)
