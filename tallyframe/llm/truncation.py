@@ -1,9 +1,12 @@
 """Problem 4: texts cut off by field limits, by length histograms and endings.
 
 Per source (here the setting) the lengths of all values are counted, in characters and in bytes. A field limit shows as a
-spike at the maximum: far more values than neighbouring lengths let expect, and none beyond. A value at a spike
-length, or shorter than its recorded length, or without either, is truncated if its ending isn't complete: no
-terminal punctuation, and no result, option or list item that needs none.
+spike at the maximum: far more values than neighbouring lengths let expect, and none beyond. The rule that lets a row in is its evidence:
+
+* ``limit``: at a spike length and without terminal punctuation. A result, option or list item that would do without a full stop
+  elsewhere doesn't count here, since the limit may have cut ``12.3 mm`` to ``12.3 m``.
+* ``transfer``: shorter than recorded, and no complete ending: neither terminal punctuation nor such a result, option or item.
+* ``ending``: no evidence from lengths, and no complete ending. Values cut mid-transfer without a record can't be found by lengths.
 """
 
 from __future__ import annotations
@@ -44,8 +47,8 @@ def has_content(text: Column) -> Column:
 
 
 def complete_ending(text: Column) -> Column:
-    """Whether the last sentence, result, option or list item is complete."""
-    out = bare(text).rlike(TERMINAL)
+    """Whether the last result, option or list item is complete without a full stop."""
+    out = F.lit(False)
     for pattern in COMPLETE:
         out = out | bare(text).rlike(pattern)
     return out
@@ -82,11 +85,12 @@ def truncated(rows: DataFrame, id_col: str, source: str, text_col: str, chars_co
     limits = small_or_plain(cut(limits), BROADCAST_SOURCES)
     recorded = F.col(chars_col) if chars_col else F.lit(None)
     base = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(source).alias("source"), F.col(text_col).alias("text"), recorded.cast("long").alias("recorded"))
-    open_ = base.where(has_content(F.col("text")) & ~complete_ending(F.col("text")))
-    open_ = open_.select("id", "source", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), "recorded").alias("o")
+    open_ = base.where(has_content(F.col("text")) & ~bare(F.col("text")).rlike(TERMINAL))
+    open_ = open_.select("id", "source", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), "recorded", complete_ending(F.col("text")).alias("complete")).alias("o")
     joined = open_.join(limits.alias("l"), F.col("o.source").eqNullSafe(F.col("l.source")), "left")
-    evidence = F.when((F.col("chars") == F.col("at_chars")) | (F.col("bytes") == F.col("at_bytes")), "limit").when(F.col("recorded") > F.col("chars") + slack, "transfer").otherwise("ending")
-    return joined.select("id", F.col("o.source").alias("source"), evidence.alias("evidence"))
+    at_limit = F.coalesce((F.col("chars") == F.col("at_chars")) | (F.col("bytes") == F.col("at_bytes")), F.lit(False))
+    evidence = F.when(at_limit, "limit").when(F.col("recorded") > F.col("chars") + slack, "transfer").otherwise("ending")
+    return joined.where(at_limit | ~F.col("complete")).select("id", F.col("o.source").alias("source"), evidence.alias("evidence"))
 
 
 def truncation_rates(rows: DataFrame, found: DataFrame, source: str) -> DataFrame:
