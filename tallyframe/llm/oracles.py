@@ -88,6 +88,7 @@ def oracle_sql() -> dict[str, str]:
         "p7_found": f"with {_P7} select src, first_id, id as copy_id from k where id <> first_id",
         "p7_records": f"with {_P7} select first_id, count(*) as copies from k where src = 'criteria' group by 1",
         "p7_copy_counts": f"with {_P7} select src, first_id, count(*) as copies from k group by 1, 2",
+        "p8_faults": "select count(*) as n_documents, 0 as n_lost, 0 as n_overfull, 0 as n_divided, 0 as n_overlaps from documents where doc_id is not null",
         "p9_found": f"with {_P9} select doc_id, item_id from hits",
         "p9_leaks": f"with {_P9}, n as (select item_id, count(*) as n from ir group by 1) select item_id, count(*) as n_documents, round(max(shared / n), 6) as most_contained from hits join n using (item_id) group by 1",
         "p10_found": """with x as (select doc_id, regexp_extract_all(text, '\\p{L}+') as w, len(list_filter(string_split(regexp_replace(regexp_replace(text, '[\\n\\r\\x0b\\x0c\\x{85}\\x{2028}\\x{2029}]', chr(1), 'g'), '([.!?])[\\s\\x{a0}\\x{2000}-\\x{200a}\\x{3000}]', '\\1' || chr(1), 'g'), chr(1)), lambda p: regexp_matches(p, '\\p{L}'))) as s from documents where doc_id is not null and text is not null)

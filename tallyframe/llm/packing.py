@@ -3,7 +3,8 @@
 Sizes are token counts. A text longer than the capacity is divided into whole sequences and a rest. The other items
 are spread over blocks of bounded size by hash. In each block several islands evolve packings whose genes are whole
 bins: crossover injects well-filled bins of one parent into the other, bins that share an item with them are
-dissolved, and displaced items go where they fit best; mutation dissolves poorly filled bins. After each epoch an
+dissolved, and displaced items first replace one or two items of a bin that they fill better, then go where they fit best; mutation
+dissolves poorly filled bins. The first packing of a population is best-fit decreasing alone. After each epoch an
 island's elite migrates to the next island of its block; then the islands of a block meet, and items of bins
 still poorly filled migrate into new blocks with those of other blocks. A block stops as soon as it needs
 no more bins than its total size does. Nothing but item sizes is shuffled, and no group exceeds a block.
@@ -13,10 +14,11 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.session import cut
@@ -28,6 +30,8 @@ EPOCHS = 2
 GENERATIONS = 5
 POPULATION = 4
 WELL_FILLED = 0.995
+#: Up to so many displaced items are tried as replacements.
+SWAPPED = 60
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The published split pattern of this byte-level vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -79,6 +83,35 @@ def best_fit(bins: list[list[int]], items: list[int], sizes: list[int], capacity
     return bins
 
 
+def swapped_in(bins: list[list[int]], loose: list[int], sizes: list[int], capacity: int) -> list[int]:
+    """Puts one or two loose items in place of one or two items of a bin wherever that fills it better; gives back what is loose then."""
+    loose = sorted(loose, key=lambda i: sizes[i])
+    for b in bins:
+        room = capacity - sum(sizes[i] for i in b)
+        if room == 0 or not loose:
+            continue
+        best, change = 0, None
+        for out in [(i,) for i in b] + list(combinations(b, 2)):
+            gone = sum(sizes[i] for i in out)
+            most = gone + room
+            own = [sizes[i] for i in loose]
+            for k, x in enumerate(own[: bisect_left(own, most + 1)]):
+                j = bisect_left(own, most - x + 1) - 1
+                j -= j == k
+                found, taken = (x + own[j], (k, j)) if j >= 0 else (x, (k,))
+                if x > found or found > most:
+                    found, taken = x, (k,)
+                if found - gone > best:
+                    best, change = found - gone, (out, taken)
+            if best == room:
+                break
+        if change:
+            out, taken = change
+            b[:] = [i for i in b if i not in out] + [loose[k] for k in taken]
+            loose = sorted([i for k, i in enumerate(loose) if k not in taken] + list(out), key=lambda i: sizes[i])
+    return loose
+
+
 def crossover(a: Packing, b: Packing, sizes: list[int], capacity: int, rng: np.random.Generator) -> Packing:
     """Well-filled bins of b go whole into a; a's bins that share an item with them are dissolved."""
     ranked = sorted(range(len(b.bins)), key=lambda k: -b.loads[k])[: max(1, len(b.bins) // 2)]
@@ -90,14 +123,23 @@ def crossover(a: Packing, b: Packing, sizes: list[int], capacity: int, rng: np.r
             kept.append(list(x))
         else:
             loose += [i for i in x if i not in injected]
+    loose = swapped_in(kept[len(chosen) :], loose, sizes, capacity) if len(loose) <= SWAPPED else loose
     return Packing(best_fit(kept, loose, sizes, capacity), sizes, capacity)
 
 
 def mutated(a: Packing, sizes: list[int], capacity: int, rng: np.random.Generator) -> Packing:
-    """The emptiest bins and a few random ones are dissolved and their items placed anew, in part by chance."""
+    """The emptiest bins and a few random ones are dissolved, as far as their items can be tried as replacements, and their items placed anew."""
     order = sorted(range(len(a.bins)), key=lambda k: a.loads[k])
-    gone = set(order[: max(2, len(order) // 20)]) | set(rng.choice(len(order), min(3, len(order)), replace=False).tolist())
-    return Packing(best_fit([list(x) for k, x in enumerate(a.bins) if k not in gone], [i for k in gone for i in a.bins[k]], sizes, capacity), sizes, capacity)
+    some = rng.choice(len(order), min(3, len(order)), replace=False).tolist()
+    gone, n = set(), 0
+    for k in dict.fromkeys(order[:2] + some + order[: max(2, len(order) // 20)]):
+        if len(gone) >= 2 and n + len(a.bins[k]) > SWAPPED:
+            break
+        gone.add(k)
+        n += len(a.bins[k])
+    kept, loose = [list(x) for k, x in enumerate(a.bins) if k not in gone], [i for k in sorted(gone) for i in a.bins[k]]
+    loose = swapped_in(kept, loose, sizes, capacity) if len(loose) <= SWAPPED else loose
+    return Packing(best_fit(kept, loose, sizes, capacity), sizes, capacity)
 
 
 def evolve(sizes: list[int], capacity: int, seeds: list[list[list[int]]], generations: int, population: int, seed: int) -> Packing:
@@ -166,6 +208,41 @@ def packed_blocks(items: DataFrame, blocks: int, capacity: int, islands: int, ep
     return state.groupBy("block").applyInPandas(island_step(capacity, generations, population, salt + epochs), STEP).drop("island")
 
 
+def packing_report(tokens: DataFrame, capacity: int = CAPACITY, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """(method, bins, least, free_share) of the packing as it is, and of best-fit decreasing alone in the same blocks: sequences, the fewest
+    that all tokens need, and the share of space left free."""
+    pieces = divided(tokens, capacity).where(F.col("size") > 0)
+    n, total = pieces.agg(F.count(F.lit(1)), F.sum("size")).first()
+
+    def plain(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"bins": [len(best_fit([], list(range(len(frame))), frame["size"].tolist(), capacity))]})
+
+    block = F.pmod(F.xxhash64(F.lit(1), "doc_id", "piece"), F.lit(-(-n // block_items) or 1))
+    alone = pieces.withColumn("block", block).groupBy("block").applyInPandas(plain, "bins long").agg(F.lit("best-fit decreasing").alias("method"), F.coalesce(F.sum("bins"), F.lit(0)).alias("bins"))
+    genetic = packed_sequences(tokens, capacity, block_items).agg(F.lit("grouping genetic").alias("method"), F.count_distinct("sequence").alias("bins"))
+    least = F.lit(-(-(total or 0) // capacity)).cast("long").alias("least")
+    return alone.unionByName(genetic).select("method", "bins", least, F.try_divide(F.col("bins") * capacity - (total or 0), F.col("bins") * capacity).alias("free_share"))
+
+
+def packing_faults(tokens: DataFrame, packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """(n_documents, n_lost, n_overfull, n_divided, n_overlaps): documents, those whose tokens don't all come out once, sequences beyond the
+    capacity, documents divided without need, and pieces that don't begin where the one before ends. All but the first must be 0."""
+    own = packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("got"), F.count(F.lit(1)).alias("pieces"))
+    need = F.greatest(F.ceil(F.col("tokens") / capacity), F.lit(1))
+    by_doc = tokens.join(own, "doc_id", "left").agg(F.count(F.lit(1)).alias("n_documents"), F.count_if(F.coalesce(F.col("got"), F.lit(-1)) != F.col("tokens")).alias("n_lost"), F.count_if(F.col("pieces") > need).alias("n_divided"))
+    w = Window.partitionBy("sequence").orderBy("position")
+    begins = packed.where("sequence is not null").select("sequence", "n_tokens", (F.col("position") != F.coalesce(F.lag(F.col("position") + F.col("n_tokens")).over(w), F.lit(0))).alias("off"))
+    by_bin = begins.groupBy("sequence").agg(F.sum("n_tokens").alias("load"), F.count_if("off").alias("off")).agg(F.count_if(F.col("load") > capacity).alias("n_overfull"), F.coalesce(F.sum("off"), F.lit(0)).alias("n_overlaps"))
+    return by_doc.join(by_bin).select("n_documents", "n_lost", "n_overfull", "n_divided", "n_overlaps")
+
+
+def divided(tokens: DataFrame, capacity: int) -> DataFrame:
+    """(doc_id, piece, size): whole sequences and a rest of texts longer than one, all others as they are."""
+    whole = F.greatest(F.floor((F.col("tokens") - 1) / capacity), F.lit(0)).cast("int")
+    pieces = tokens.select("doc_id", "tokens", F.explode(F.sequence(F.lit(0), whole)).alias("piece"))
+    return pieces.select("doc_id", "piece", F.least(F.col("tokens") - F.col("piece") * capacity, F.lit(capacity)).cast("long").alias("size"))
+
+
 def packed_sequences(tokens: DataFrame, capacity: int = CAPACITY, block_items: int = BLOCK_ITEMS, islands: int = ISLANDS, epochs: int = EPOCHS, generations: int = GENERATIONS, population: int = POPULATION) -> DataFrame:
     """(doc_id, piece, first_token, n_tokens, sequence, position) of (doc_id, tokens), doc_id unique: which sequence each text, or
     each piece of a longer one, belongs to, and at which token of it.
@@ -173,9 +250,7 @@ def packed_sequences(tokens: DataFrame, capacity: int = CAPACITY, block_items: i
     Defined cases: only texts of more than ``capacity`` tokens are divided, into full pieces and a rest; a text without tokens
     comes out with NULL sequence, since it takes no space; an empty table gives no rows; sequence names are unique and stable
     for the same input."""
-    whole = F.greatest(F.floor((F.col("tokens") - 1) / capacity), F.lit(0)).cast("int")
-    pieces = tokens.select("doc_id", "tokens", F.explode(F.sequence(F.lit(0), whole)).alias("piece"))
-    pieces = cut(pieces.select("doc_id", "piece", F.least(F.col("tokens") - F.col("piece") * capacity, F.lit(capacity)).cast("long").alias("size")))
+    pieces = cut(divided(tokens, capacity))
     full, empty, open_ = pieces.where(F.col("size") == capacity), pieces.where("size = 0"), pieces.where((F.col("size") > 0) & (F.col("size") < capacity))
     n = open_.count()
     first = cut(packed_blocks(open_, -(-n // block_items) or 1, capacity, islands, epochs, generations, population, 1))
@@ -185,8 +260,6 @@ def packed_sequences(tokens: DataFrame, capacity: int = CAPACITY, block_items: i
     name = lambda kind: F.concat_ws("-", F.lit(kind), "block", "bin")
     placed = first.where(~poor).select("doc_id", "piece", "size", name("a").alias("sequence")).unionByName(second.select("doc_id", "piece", "size", name("b").alias("sequence")))
     # A bin holds at most ``capacity`` items, so this window is bounded.
-    from pyspark.sql import Window
-
     before = Window.partitionBy("sequence").orderBy(F.desc("size"), "doc_id", "piece").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("position", F.coalesce(F.sum("size").over(before), F.lit(0)))
     alone = full.withColumn("sequence", F.concat_ws("-", F.lit("f"), "doc_id", "piece")).withColumn("position", F.lit(0).cast("long"))

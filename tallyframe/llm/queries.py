@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm import canonical_copies, contamination, cross_split, defects, near_duplicates, ngram_counts, packing, reading_level, shared_spans, truncation
-from tallyframe.session import table
+from tallyframe.session import cut, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -144,6 +144,18 @@ def p8_sequences(spark: SparkSession, d: str) -> DataFrame:
     return packing.packed_sequences(packing.token_counts(table(spark, d, "documents"), "doc_id", "text"))
 
 
+def p8_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's tokens come out once, no sequence is beyond its capacity, and none but longer documents are divided."""
+    tokens = cut(packing.token_counts(table(spark, d, "documents"), "doc_id", "text"))
+    return packing.packing_faults(tokens, packing.packed_sequences(tokens))
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    """Sequences needed, beside those of best-fit decreasing alone and the fewest possible."""
+    tokens = cut(packing.token_counts(table(spark, d, "documents"), "doc_id", "text"))
+    return packing.packing_report(tokens).select("method", "bins", "least", F.round("free_share", 6).alias("free_share"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     found = contamination.contained_passages(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", ["question", "reference_answer"])
     return found.select("doc_id", F.col("item_id").cast("int").alias("item_id"))
@@ -174,7 +186,7 @@ def p10_agreement(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     p1_found, p1_groups, p2_found, p2_labels, p3_found, p3_frequencies, p3_ngrams, p3_list_check, p4_found, p4_rates, p4_spikes,
-    p5_found, p5_overlaps, p5_counts, p6_found, p6_shared_part, p7_found, p7_records, p7_copy_counts, p8_sequences, p9_found, p9_leaks,
+    p5_found, p5_overlaps, p5_counts, p6_found, p6_shared_part, p7_found, p7_records, p7_copy_counts, p8_sequences, p8_faults, p8_report, p9_found, p9_leaks,
     p10_found, p10_levels, p10_agreement,
 ]
 
