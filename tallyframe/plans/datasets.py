@@ -93,14 +93,12 @@ def distractor_partners(spark: SparkSession, d: str) -> DataFrame:
     return merging.shift_partner(table(spark, d, "eval_items").select("domain", "uid").distinct(), "domain", "uid", seed=5)
 
 
-@query(f"""with q as (select * from {_Q}), t as (select uid, domain, unnest(list_distinct({S.content_tokens('question')})) as t from q), n as (select uid, count(*) as n from t group by 1),
-df as (select domain, t, count(*) as df from t group by 1, 2), k as (select domain, greatest(2, cast(floor(0.02 * count(*)) as bigint)) as cutoff from q group by 1),
-c as (select distinct a.uid as a, b.uid as b from t a join t b using (domain, t) join df using (domain, t) join k using (domain) where df <= cutoff and a.uid <> b.uid),
-x as (select c.a, c.b, count(*) as o from c join t ta on ta.uid = c.a join t tb on tb.uid = c.b and tb.t = ta.t group by 1, 2)
-select a as uid, b as neighbour, cast(r as bigint) as rank, round(s, 6) as similarity from (select a, b, s, row_number() over (partition by a order by round(s, 9) desc, b) as r from (select a, b, o / (na.n + nb.n - o) as s from x join n na on na.uid = a join n nb on nb.uid = b)) where r <= 3 and a in (select uid from q where ex_id % 50 = 0)""")
+@query(f"""with q as (select * from {_Q}), t as (select uid, ex_id, domain, unnest(list_distinct({S.content_tokens('question')})) as t from q), n as (select uid, count(*) as n from t group by 1),
+x as (select ta.uid as a, tb.uid as b, count(*) as o from t ta join t tb on ta.domain = tb.domain and ta.t = tb.t and ta.uid <> tb.uid where ta.ex_id % 50 = 0 group by 1, 2)
+select a as uid, b as neighbour, cast(r as bigint) as rank, round(s, 6) as similarity from (select a, b, s, row_number() over (partition by a order by round(s, 9) desc, b) as r from (select a, b, o / (na.n + nb.n - o) as s from x join n na on na.uid = a join n nb on nb.uid = b)) where r <= 3""")
 def similar_questions(spark: SparkSession, d: str) -> DataFrame:
     """The three most similar questions of the domain (Jaccard of content words above 0), for every question whose id is divisible by 50,
-    exact, against all. The SQL sees only candidates that share a word which at most 2 % of the domain has, so its rows differ."""
+    exact, against all."""
     q = questions(spark, d)
     tok = q.select("uid", "ex_id", "domain", F.array_distinct(T.content_tokens(F.col("question"))).alias("ts"))
     found = similarity.nearest_sets(tok, F.col("ex_id") % 50 == 0, "uid", "domain", "ts", 3)
