@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.operators.ranking import first_per_key, largest_remainder
+from tallyframe.operators.ranking import first_per_key, largest_remainder, running_totals
+from tallyframe.session import small_or_plain
 
 
 def last_wins(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -50,16 +51,23 @@ def sample_per_group(df: DataFrame, group: list[str], key: str, k: int, seed: in
     return df.withColumn("_r", r).where(F.col("_r") <= k).drop("_r")
 
 
+def positions(df: DataFrame, group: list[str], key: str, seed: int = 0) -> DataFrame:
+    """Adds _i, the place of each row in its group's hash order from 0, and _n, the size of the group; a group may hold all rows."""
+    out = running_totals(df, group, [hash_order(seed, key), F.col(key)], F.lit(1))
+    return out.withColumnRenamed("_before", "_i").withColumnRenamed("_total", "_n")
+
+
 def stratified_sample(df: DataFrame, group: str, key: str, target: int, seed: int = 0) -> DataFrame:
     """About ``target`` rows in the proportions of the groups, each with its largest-remainder quota."""
     quota = largest_remainder(df.groupBy(group).agg(F.count(F.lit(1)).alias("size")), group, "size", target)
+    # No group takes more than the target, so that each task passes on no more of a group than that.
+    first = sample_per_group(df, [group], key, target, seed)
     r = F.row_number().over(Window.partitionBy(group).orderBy(hash_order(seed, key), key))
-    return df.withColumn("_r", r).join(F.broadcast(quota.select(group, "quota")), group).where(F.col("_r") <= F.col("quota")).drop("_r", "quota")
+    return first.withColumn("_r", r).join(small_or_plain(quota.select(group, "quota"), 10_000), group).where(F.col("_r") <= F.col("quota")).drop("_r", "quota")
 
 
 def shift_partner(df: DataFrame, group: str, key: str, seed: int = 0, offset: int = 1) -> DataFrame:
     """(key, partner): each row's neighbour ``offset`` places on in its group's hash order, around the end; never itself."""
-    w = Window.partitionBy(group)
-    r = df.select(group, key).withColumn("_i", F.row_number().over(w.orderBy(hash_order(seed, key), key)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
+    r = positions(df.select(group, key), [group], key, seed)
     other = r.select(group, F.col("_i").alias("_j"), F.col(key).alias("partner"))
     return r.where(F.col("_n") > 1).withColumn("_j", (F.col("_i") + offset) % F.col("_n")).join(other, [group, "_j"]).where(F.col(key) != F.col("partner")).select(key, "partner")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyframe.session import cut
+
 
 def finite(c: Column) -> Column:
     """NaN and infinities as NULL, so that aggregates skip them."""
@@ -12,7 +14,7 @@ def finite(c: Column) -> Column:
 
 
 def average_rank(group: list[str], value: str) -> Column:
-    """1-based ranks; ties share the mean of theirs."""
+    """1-based ranks as a window, for groups that fit a task; ties share the mean of theirs. ``value_ranks`` has no such bound."""
     ties = F.count(F.lit(1)).over(Window.partitionBy(*group, value))
     return F.rank().over(Window.partitionBy(*group).orderBy(value)) + (ties - 1) / 2.0
 
@@ -31,14 +33,54 @@ def top_k(df: DataFrame, group: list[str], order: list[Column], k: int) -> DataF
     return df.withColumn("_n", n).where(F.col("_n") <= k).drop("_n")
 
 
+def running_totals(df: DataFrame, group: list[str], order: list[Column], amount: Column) -> DataFrame:
+    """Adds _before, the sum of ``amount`` over the rows of the group that come earlier in ``order``, and _total, the sum over the group.
+
+    A group may hold all rows: they are sorted across all tasks by range, added up within each, and shifted by the sums of the ranges
+    before, of which there is one for each task and group. The order must tell rows of a group apart."""
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keyed = df.withColumn("_g", F.xxhash64(F.lit(0), *group)).withColumn("_o", F.struct(*order)).withColumn("_a", amount)
+    ranged = cut(keyed.repartitionByRange(parts, "_g", "_o").withColumn("_p", F.spark_partition_id()))
+    sums = ranged.groupBy("_g", "_p").agg(F.sum("_a").alias("_s"))
+    earlier = Window.partitionBy("_g").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sums.select("_g", "_p", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_shift"), F.sum("_s").over(Window.partitionBy("_g")).alias("_total"))
+    inside = Window.partitionBy("_g", "_p").orderBy("_o").rowsBetween(Window.unboundedPreceding, -1)
+    local = ranged.withColumn("_in", F.coalesce(F.sum("_a").over(inside), F.lit(0)))
+    return local.join(shifts, ["_g", "_p"]).withColumn("_before", F.col("_shift") + F.col("_in")).select(*df.columns, "_before", "_total")
+
+
+def value_ranks(counts: DataFrame, group: list[str], value: str, n: str) -> DataFrame:
+    """Adds _r, the rank that ties of a value share, and _total to (group, value, n): distinct values and how often each occurs."""
+    ranked = running_totals(counts, group, [F.col(value)], F.col(n))
+    return ranked.withColumn("_r", F.col("_before") + (F.col(n) + 1) / 2.0)
+
+
 def rank_auc(df: DataFrame, group: list[str], score: str, positive: Column) -> DataFrame:
-    """(group, n_pos, n_neg, auc): Mann-Whitney with ties at one half; NULL if a class is empty. NULL scores are left out."""
-    ranked = df.where(F.col(score).isNotNull() & positive.isNotNull()).withColumn("_p", positive).withColumn("_r", average_rank(group, score))
-    out = ranked.groupBy(*group).agg(F.count_if("_p").alias("n_pos"), F.count_if(~F.col("_p")).alias("n_neg"), F.sum(F.when(F.col("_p"), F.col("_r"))).alias("_s"))
+    """(group, n_pos, n_neg, auc): Mann-Whitney with ties at one half; NULL if a class is empty. NULL scores are left out. Ranks come from the
+    counts of distinct scores."""
+    counts = df.where(F.col(score).isNotNull() & positive.isNotNull()).groupBy(*group, score).agg(F.count(F.lit(1)).alias("_c"), F.count_if(positive).alias("_k"))
+    out = value_ranks(counts, group, score, "_c").groupBy(*group).agg(F.sum("_k").alias("n_pos"), F.sum(F.col("_c") - F.col("_k")).alias("n_neg"), F.sum(F.col("_k") * F.col("_r")).alias("_s"))
     auc = F.try_divide(F.col("_s") - F.col("n_pos") * (F.col("n_pos") + 1) / 2, F.col("n_pos") * F.col("n_neg"))
     return out.select(*group, "n_pos", "n_neg", auc.alias("auc"))
 
 
+def correlations(df: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
+    """(group, n, pearson, spearman) of rows with both values; from the counts of distinct pairs, whose ranks come from those of distinct values."""
+    counts = cut(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*group, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count(F.lit(1)).alias("_c")))
+    rank = lambda v, r: value_ranks(counts.groupBy(*group, v).agg(F.sum("_c").alias("_k")), group, v, "_k").select(*group, v, (F.col("_r") - (F.col("_total") + 1) / 2.0).alias(r))
+    same = lambda v: [F.col(f"c.{g}").eqNullSafe(F.col(f"r.{g}")) for g in group] + [F.col(f"c.{v}") == F.col(f"r.{v}")]
+    both = counts
+    for v, r in (("_x", "_rx"), ("_y", "_ry")):
+        both = both.alias("c").join(rank(v, r).alias("r"), same(v)).select("c.*", r)
+    c, total = F.col("_c"), F.sum("_c")
+    product = lambda a, b: F.sum(c * F.col(a) * F.col(b))
+    cov = lambda a, b: product(a, b) / total - F.sum(c * F.col(a)) * F.sum(c * F.col(b)) / (total * total)
+    pearson = F.try_divide(cov("_x", "_y"), F.sqrt(cov("_x", "_x") * cov("_y", "_y")))
+    spearman = F.try_divide(product("_rx", "_ry"), F.sqrt(product("_rx", "_rx") * product("_ry", "_ry")))
+    return both.groupBy(*group).agg(total.alias("n"), F.when(total >= 3, pearson).alias("pearson"), F.when(total >= 3, spearman).alias("spearman"))
+
+
 def bh_adjusted(df: DataFrame, family: list[str], p: str) -> DataFrame:
     """Adds q, the Benjamini-Hochberg adjusted p within each family: a running minimum from the largest p down. NULL stays NULL
     and doesn't count. A family is a declared set of tests, so its window is small."""

@@ -125,8 +125,7 @@ select setting, count(*) as n, round(corr(x, y), 6) as pearson, round(corr(rx, r
 def length_correlation(spark: SparkSession, d: str) -> DataFrame:
     """Pearson and Spearman correlations of two lengths among wrong answers."""
     s = table(spark, d, "rollouts").where("n_chars is not null and text is not null and not coalesce(correct, true)").select("setting", F.col("n_chars").alias("x"), F.length("text").alias("y"))
-    r = s.withColumn("rx", ranking.average_rank(["setting"], "x")).withColumn("ry", ranking.average_rank(["setting"], "y"))
-    return r.groupBy("setting").agg(F.count(F.lit(1)).alias("n"), R6(ranking.correlation(F.col("x"), F.col("y"))).alias("pearson"), R6(ranking.correlation(F.col("rx"), F.col("ry"))).alias("spearman"))
+    return ranking.correlations(s, ["setting"], "x", "y").select("setting", "n", R6("pearson").alias("pearson"), R6("spearman").alias("spearman"))
 
 
 @query("""select setting, oracle_confidence, count(*) as n, sum(case when correct then 1 else 0 end) as n_correct, sum(case when correct is null then 1 else 0 end) as n_unlabelled, sum(case when oracle_agreement is not null then 1 else 0 end) as n_checked, sum(case when oracle_agreement then 1 else 0 end) as n_agreed, sum(case when error is not null then 1 else 0 end) as n_errors from rollouts group by grouping sets ((setting), (oracle_confidence))""")
@@ -136,19 +135,20 @@ def oracle_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 _CELL = "c as (select user_id, event_type, arg_min(value, event_id) as value from events where isfinite(value) group by 1, 2)"
-_TYPES = ["click", "error", "purchase", "signup", "view"]
 
 
-def event_types(spark: SparkSession, d: str) -> list[str]:
-    return sorted(r.event_type for r in table(spark, d, "events").select("event_type").distinct().limit(100).collect())
+def complete_cells(spark: SparkSession, d: str) -> DataFrame:
+    """(user_id, event_type, value) of the keys that have a finite value in every group, however many groups there are."""
+    e = table(spark, d, "events").select("user_id", "event_type", "event_id", ranking.finite(F.col("value")).alias("value"))
+    n = e.agg(F.count_distinct("event_type").alias("n")).first().n
+    cells = e.where("value is not null").groupBy("user_id", "event_type").agg(F.min_by("value", "event_id").alias("value"))
+    return cells.join(paired.complete_keys(cells, "user_id", "event_type", n), "user_id", "left_semi")
 
 
 @query(f"with {_CELL} select user_id, count(*) as n_groups, round(sum(value), 4) as total from c group by 1 having count(*) = (select count(distinct event_type) from events)")
 def complete_cases(spark: SparkSession, d: str) -> DataFrame:
-    """Keys with a value in every group: pivot and drop incomplete rows."""
-    types = event_types(spark, d)
-    t = paired.paired_table(table(spark, d, "events"), "user_id", "event_type", "value", types, ["event_id"])
-    return t.select("user_id", F.lit(len(types)).cast("long").alias("n_groups"), F.round(sum(F.col(x) for x in types), 4).alias("total"))
+    """Keys with a value in every group."""
+    return complete_cells(spark, d).groupBy("user_id").agg(F.count(F.lit(1)).alias("n_groups"), F.round(F.sum("value"), 4).alias("total"))
 
 
 @query("select distinct l_orderkey as dropped from lineitem where l_orderkey not in (select l_orderkey from lineitem group by 1 having count(distinct l_returnflag) = 3)")
@@ -162,9 +162,10 @@ _DIFF = f"{_CELL}, full_ as (select user_id from c group by 1 having count(*) =
 
 
 def contrasts(spark: SparkSession, d: str) -> DataFrame:
-    types = event_types(spark, d)
-    t = paired.paired_table(table(spark, d, "events"), "user_id", "event_type", "value", types, ["event_id"])
-    return paired.differences(t, [(a, b) for i, a in enumerate(types) for b in types[i + 1 :]])
+    """(contrast, user_id, d): differences of each pair of groups on complete keys."""
+    c = complete_cells(spark, d)
+    other = c.select("user_id", F.col("event_type").alias("b"), F.col("value").alias("vb"))
+    return c.join(other, "user_id").where("event_type < b").select(F.concat("event_type", F.lit(" - "), "b").alias("contrast"), "user_id", (F.col("value") - F.col("vb")).alias("d"))
 
 
 @query(f"with {_DIFF} select contrast, count(*) as n, round(avg(d), 5) as mean, round(stddev_samp(d), 5) as sd, sum(case when d > 0 then 1 else 0 end) as n_wins, sum(case when d < 0 then 1 else 0 end) as n_losses from dd group by 1")
@@ -180,28 +181,85 @@ def wilcoxon(spark: SparkSession, d: str) -> DataFrame:
     return paired.signed_ranks(contrasts(spark, d), ["contrast"]).select("contrast", "n", "w_plus", "w_minus", R6(F.col("z")).alias("z"))
 
 
-@query()
+BOOT, FLIPS = 2000, 4000
+
+
+def _draw_sql(seed: int) -> str:
+    """The generator of ``paired.draws`` for draw r and unit j."""
+    p, (a, b, c, e, f, g, h) = paired.PRIME, paired.STEPS
+    x0 = f"((r * {a} + j * {b} + {seed * c + e}) % {p})"
+    x1 = f"(({x0} * {x0} + {f}) % {p})"
+    x2 = f"({x1} * {g} % {p})"
+    return f"(({x2} * {x2} + {h}) % {p})"
+
+
+def _units_sql(rows: str, group: str, key: str, sums: str) -> str:
+    """CTEs from a relation ``rows`` to u (group g, place j, number of units k, sums)."""
+    return f"""rw as ({rows}), sz as (select {group} as g, count(*) as size from rw group by 1), un as (select {group} as g, case when size <= {paired.UNITS} then md5({key}) else lpad(cast(('0x' || left(md5({key}), 8))::bigint % {paired.UNITS} as varchar), 4, '0') end as unit, {sums} from rw join sz on {group} is not distinct from g group by 1, 2),
+u as (select *, row_number() over (partition by g order by unit) - 1 as j, count(*) over (partition by g) as k from un)"""
+
+
+def _means_sql(name: str, iters: int, seed: int) -> str:
+    return f"{name} as (select d.g, r, sum(w.s) / sum(w.n) as m from (select g, r, {_draw_sql(seed)} % k as i from u, (select unnest(range({iters})) as r) q) d join u w on w.g is not distinct from d.g and w.j = d.i group by 1, 2)"
+
+
+def _tests_sql(group: str, seed: int = 0) -> str:
+    return f"""{_means_sql('bm', BOOT, seed + 1)}, bi as (select g, stddev_samp(m) as se, quantile_cont(m, 0.025) as lo, quantile_cont(m, 0.975) as hi from bm group by 1), tt as (select g, sum(n) as n, sum(s) / sum(n) as mean from u group by 1),
+fl as (select u.g, r, abs(sum(s * ({_draw_sql(seed)} % 2 * 2 - 1))) / any_value(t.n) as m, any_value(abs(t.mean)) as seen from u join tt t on t.g is not distinct from u.g, (select unnest(range({FLIPS})) as r) q group by 1, 2),
+ex as (select u.g, mask, abs(sum(s * (1 - 2 * ((mask >> j) & 1)))) / any_value(q.n) as m, any_value(abs(q.mean)) as seen from u join (select g, n, mean, unnest(range(cast(pow(2, n) as bigint))) as mask from tt where n <= 20) q on q.g is not distinct from u.g group by 1, 2),
+pp as (select g, (sum(case when m >= seen - 1e-9 * greatest(1.0, seen) then 1 else 0 end) + 1) / {FLIPS + 1} as p from fl where g not in (select g from tt where n <= 20) group by 1 union all select g, avg(case when m >= seen - 1e-12 * greatest(1.0, seen) then 1.0 else 0.0 end) from ex group by 1), res as (select tt.g, n, mean, se, lo, hi, p from tt join bi on bi.g is not distinct from tt.g join pp on pp.g is not distinct from tt.g)"""
+
+
+@query(f"""with {_DIFF}, {_units_sql("select contrast, user_id, d from dd", "contrast", "cast(user_id as varchar)", "count(*) as n, sum(d) as s")}, {_tests_sql('contrast')}, rk as (select *, row_number() over (order by p, g) as rn, count(*) over () as m from res)
+select g as contrast, cast(n as bigint) as n, round(mean, 5) as mean, round(se, 5) as se, round(lo, 5) as ci_low, round(hi, 5) as ci_high, round(p, 6) as p, round(least(1.0, min(p * m / rn) over (order by p desc range between unbounded preceding and current row)), 6) as q from rk""")
 def paired_contrasts(spark: SparkSession, d: str) -> DataFrame:
     """Every contrast with bootstrap interval, sign-flip p and q over the family."""
-    tests = paired.paired_tests(contrasts(spark, d), ["contrast"], ["user_id"], iters=10_000)
-    return ranking.bh_adjusted(tests.withColumn("family", F.lit("events")), ["family"], "p").drop("family")
+    tests = paired_summary(contrasts(spark, d), ["contrast"], ["user_id"]).withColumn("family", F.lit("events"))
+    return rounded_tests(ranking.bh_adjusted(tests, ["family"], "p").drop("family"))
 
 
-@query()
+def paired_summary(diffs: DataFrame, group: list[str], key: list[str]) -> DataFrame:
+    """Interval of BOOT draws and p of FLIPS sign vectors."""
+    n = paired.grouped(paired._value_units(diffs, group, "d", key), group, lambda f: (*paired.unit_interval(f, BOOT, 1), *paired.unit_flips(f, FLIPS, 0)), "n long, mean double, se double, ci_low double, ci_high double, p double, exact boolean")
+    return n.drop("exact")
+
+
+def rounded_tests(t: DataFrame) -> DataFrame:
+    keep = [c for c in t.columns if c not in ("n", "mean", "se", "ci_low", "ci_high", "p", "q")]
+    return t.select(*keep, "n", *[(F.round(c, 5) + 0.0).alias(c) for c in ("mean", "se", "ci_low", "ci_high")], R6("p").alias("p"), R6("q").alias("q"))
+
+
+@query(f"""with {_units_sql("select event_type, event_id, value from events where isfinite(value)", "event_type", "cast(event_id as varchar)", "count(*) as n, sum(value) as s")}, {_means_sql('bm', BOOT, 0)}, bi as (select g, stddev_samp(m) as se, quantile_cont(m, 0.025) as lo, quantile_cont(m, 0.975) as hi from bm group by 1), tt as (select g, sum(n) as n, sum(s) / sum(n) as mean from u group by 1)
+select tt.g as event_type, cast(n as bigint) as n, round(mean, 5) as mean, round(se, 5) as se, round(lo, 5) as ci_low, round(hi, 5) as ci_high from tt join bi using (g)""")
 def metric_intervals(spark: SparkSession, d: str) -> DataFrame:
-    return paired.mean_intervals(table(spark, d, "events").select("event_type", "event_id", "value"), ["event_type"], "value", ["event_id"])
+    out = paired.mean_intervals(table(spark, d, "events").select("event_type", "event_id", "value"), ["event_type"], "value", ["event_id"], BOOT)
+    return out.select("event_type", "n", *[F.round(c, 5).alias(c) for c in ("mean", "se", "ci_low", "ci_high")])
 
 
-@query()
+_CLUSTER_R = "case when saa / n - (sa / n) * (sa / n) > 1e-12 and sbb / n - (sb / n) * (sb / n) > 1e-12 then (sab / n - sa * sb / (n * n)) / sqrt((saa / n - (sa / n) * (sa / n)) * (sbb / n - (sb / n) * (sb / n))) end"
+
+
+@query(f"""with cl as (select setting, uid, count(*) as n, sum(x) as a, sum(y) as b, sum(x * x) as aa, sum(y * y) as bb, sum(x * y) as ab from (select setting, uid, cast(length(text) as double) as x, case when correct then 1.0 else 0.0 end as y from rollouts where setting is not null and uid is not null and text is not null and correct is not null) group by 1, 2),
+{_units_sql("select * from cl", "setting", "uid", "sum(n) as n, sum(a) as a, sum(b) as b, sum(aa) as aa, sum(bb) as bb, sum(ab) as ab").replace("select *, row_number()", "select un.*, row_number()")},
+su as (select d.g, r, sum(w.n) as n, sum(w.a) as sa, sum(w.b) as sb, sum(w.aa) as saa, sum(w.bb) as sbb, sum(w.ab) as sab from (select g, r, {_draw_sql(0)} % k as i from u, (select unnest(range(500)) as r) q) d join u w on w.g is not distinct from d.g and w.j = d.i group by 1, 2),
+wh as (select g, sum(n) as n, sum(a) as sa, sum(b) as sb, sum(aa) as saa, sum(bb) as sbb, sum(ab) as sab from u group by 1), ci as (select g, quantile_cont(c, 0.025) as lo, quantile_cont(c, 0.975) as hi from (select g, {_CLUSTER_R} as c from su) where c is not null group by 1)
+select wh.g as setting, cast(n as bigint) as n, round({_CLUSTER_R}, 5) as r, round(lo, 5) as ci_low, round(hi, 5) as ci_high from wh left join ci using (g)""")
 def clustered_correlations(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "rollouts").select("setting", "uid", F.length("text").cast("double").alias("x"), F.col("correct").cast("double").alias("y"))
-    return paired.clustered_correlation(r, ["setting"], "uid", "x", "y", iters=500)
+    out = paired.clustered_correlation(r, ["setting"], "uid", "x", "y", iters=500)
+    return out.select("setting", "n", *[F.round(c, 5).alias(c) for c in ("r", "ci_low", "ci_high")])
 
 
-@query()
+def _side_sql(side: str, seed: int) -> str:
+    rows = f"select setting, rollout_key, cast(length(text) as double) as value from rollouts where setting is not null and text is not null and {side}"
+    return f"select tt.g, tt.n, tt.mean, bm.r, bm.m from (with {_units_sql(rows, 'setting', 'cast(rollout_key as varchar)', 'count(*) as n, sum(value) as s')}, {_means_sql('bm', BOOT, seed)} select * from bm) bm join (select setting as g, count(*) as n, avg(length(text)) as mean from rollouts where setting is not null and text is not null and {side} group by 1) tt on tt.g = bm.g"
+
+
+@query(f"""with yes as ({_side_sql('correct', 0)}), no_ as ({_side_sql('not correct', 1)}) select y.g as setting, any_value(y.n) as n_true, any_value(n.n) as n_false, round(any_value(y.mean) - any_value(n.mean), 4) as gap, round(quantile_cont(y.m - n.m, 0.025), 4) as ci_low, round(quantile_cont(y.m - n.m, 0.975), 4) as ci_high from yes y join no_ n on y.g = n.g and y.r = n.r group by 1""")
 def correctness_gap(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, "rollouts").select("setting", F.col("correct").alias("side"), F.length("text").cast("double").alias("value"))
-    return paired.two_sample_gap(r, ["setting"], "side", "value")
+    r = table(spark, d, "rollouts").select("setting", "rollout_key", F.col("correct").alias("side"), F.length("text").cast("double").alias("value"))
+    out = paired.two_sample_gap(r, ["setting"], "side", "value", ["rollout_key"], BOOT)
+    return out.select("setting", "n_true", "n_false", *[F.round(c, 4).alias(c) for c in ("gap", "ci_low", "ci_high")])
 
 
 @query()

@@ -99,15 +99,15 @@ def attribution_rank(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""with {_CASE}, x as (select uid, domain, ln(greatest(chars_a, 1) / greatest(chars_b, 1)) as x from cases), n as (select a.uid, b.uid as other, row_number() over (partition by a.uid order by round(abs(a.x - b.x), 12), b.uid) as r from x a join x b on a.domain = b.domain and a.uid <> b.uid) select uid, other, cast(r as bigint) as rank from n where r <= 3""")
 def nearest_by_length_ratio(spark: SparkSession, d: str) -> DataFrame:
     """Three questions of the domain with the nearest log length ratio. The nearest three lie within three places in sorted order,
-    so neighbours come from windows, not from a join of the domain with itself; ties at the border are kept in reach by id order."""
+    so neighbours come from places in that order, not from a join of the domain with itself; ties at the border are kept in reach by id order."""
     x = preference_cases(spark, d).select("uid", "domain", F.log(F.greatest("chars_a", F.lit(1)) / F.greatest("chars_b", F.lit(1))).alias("x"))
     key = F.round("x", 12)
     # Of equal values only the three smallest ids can be among anyone's nearest three, besides the row itself.
     slim = x.withColumn("k", F.row_number().over(Window.partitionBy("domain", key).orderBy("uid"))).where("k <= 4")
     groups = slim.groupBy("domain", key.alias("v")).agg(F.array_sort(F.collect_list("uid")).alias("ids"))
-    w = Window.partitionBy("domain").orderBy("v")
-    around = F.array_compact(F.array(*[F.when(F.lag("v", k).over(w).isNotNull() if k > 0 else F.lead("v", -k).over(w).isNotNull() if k < 0 else F.lit(True), F.struct(F.lag("v", k).over(w).alias("v"), F.lag("ids", k).over(w).alias("ids")) if k > 0 else F.struct(F.lead("v", -k).over(w).alias("v"), F.lead("ids", -k).over(w).alias("ids")) if k < 0 else F.struct("v", "ids")) for k in range(-3, 4)]))
-    near = groups.select("domain", F.col("v").alias("own"), around.alias("near"))
+    placed = ranking.running_totals(groups, ["domain"], [F.col("v")], F.lit(1)).drop("_total")
+    around = placed.select("domain", F.col("v").alias("own"), F.explode(F.sequence(F.col("_before") - 3, F.col("_before") + 3)).alias("_before"))
+    near = around.join(placed.select("domain", "_before", F.struct("v", "ids").alias("n")), ["domain", "_before"]).groupBy("domain", "own").agg(F.collect_list("n").alias("near"))
     c = x.withColumn("own", key).join(near, ["domain", "own"]).select("uid", "x", F.explode("near").alias("n")).select("uid", "x", F.col("n.v").alias("v"), F.explode("n.ids").alias("other")).where("uid != other")
     r = F.row_number().over(Window.partitionBy("uid").orderBy(F.round(F.abs(F.col("x") - F.col("v")), 11), "other"))
     return c.withColumn("rank", r.cast("long")).where("rank <= 3").select("uid", "other", "rank")
@@ -181,8 +181,7 @@ select rubric_source, count(*) as n, round(corr(k, w), 6) as pearson, round(corr
 def items_by_question_length(spark: SparkSession, d: str) -> DataFrame:
     k = table(spark, d, "criteria").where("uid is not null").groupBy("rubric_source", "uid").agg(F.count(F.lit(1)).alias("k"))
     j = k.join(questions(spark, d).select("uid", F.size(T.words(F.col("question"))).alias("w")), "uid")
-    r = j.withColumn("rk", ranking.average_rank(["rubric_source"], "k")).withColumn("rw", ranking.average_rank(["rubric_source"], "w"))
-    return r.groupBy("rubric_source").agg(F.count(F.lit(1)).alias("n"), R6(ranking.correlation(F.col("k"), F.col("w"))).alias("pearson"), R6(ranking.correlation(F.col("rk"), F.col("rw"))).alias("spearman"))
+    return ranking.correlations(j, ["rubric_source"], "k", "w").select("rubric_source", "n", R6("pearson").alias("pearson"), R6("spearman").alias("spearman"))
 
 
 _SPLIT = f"""{_CASE}, s as (select domain, count(*) as size, row_number() over (order by domain) as i from cases group by 1), e as (select domain, size, floor(size * 0.25) as b, size * 0.25 - floor(size * 0.25) as f from s),
@@ -200,8 +199,7 @@ def dev_holdout_split(spark: SparkSession, d: str) -> DataFrame:
     short = int(total * 0.25) - F.sum(F.floor(exact)).over(Window.partitionBy())
     place = F.row_number().over(Window.orderBy(F.desc(exact - F.floor(exact)), "domain"))
     quota = sizes.select("domain", (F.floor(exact) + F.when(place <= short, 1).otherwise(0)).alias("quota"))
-    r = F.row_number().over(Window.partitionBy("domain").orderBy(merging.hash_order(20, "uid"), "uid"))
-    return c.withColumn("r", r).join(F.broadcast(quota), "domain").select("uid", F.when(F.col("r") <= F.col("quota"), "dev").otherwise("holdout").alias("half"))
+    return merging.positions(c, ["domain"], "uid", 20).join(F.broadcast(quota), "domain").select("uid", F.when(F.col("_i") < F.col("quota"), "dev").otherwise("holdout").alias("half"))
 
 
 @query(f"with {_SPLIT} select domain, half, count(*) as n, round(count(*) / sum(count(*)) over (partition by half), 6) as share from half group by 1, 2")
@@ -213,9 +211,8 @@ def split_balance(spark: SparkSession, d: str) -> DataFrame:
 @query(f"with {_CASE}, r as (select domain, uid, row_number() over (partition by domain order by chars_a, uid) as k, count(*) over (partition by domain) as n from cases) select domain, uid from r where k = floor(n / 2) + 1")
 def median_cases(spark: SparkSession, d: str) -> DataFrame:
     """The case of median length in each domain."""
-    w = Window.partitionBy("domain")
-    r = preference_cases(spark, d).select("domain", "uid", F.row_number().over(w.orderBy("chars_a", "uid")).alias("k"), F.count(F.lit(1)).over(w).alias("n"))
-    return r.where(F.col("k") == F.floor(F.col("n") / 2) + 1).select("domain", "uid")
+    r = ranking.running_totals(preference_cases(spark, d).select("domain", "uid", "chars_a"), ["domain"], [F.col("chars_a"), F.col("uid")], F.lit(1))
+    return r.where(F.col("_before") == F.floor(F.col("_total") / 2)).select("domain", "uid")
 
 
 @query("""with v as (select uid, correct, count(*) as c from rollouts where uid is not null and correct is not null group by 1, 2), m as (select uid, arg_max(correct, c * 2 + case when correct then 0 else 1 end) as vote, max(case when correct then 1 else 0 end) as any_right from v group by 1)

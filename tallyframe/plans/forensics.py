@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.functions import lexicon as L
 from tallyframe.functions import text as T
+from tallyframe.operators import merging
 from tallyframe.plans import sqltext as S
 from tallyframe.plans.registry import query
 from tallyframe.plans.views import criteria, questions
@@ -259,9 +260,7 @@ def permuted_grounding(spark: SparkSession, d: str) -> DataFrame:
     """Control: criteria against the anchors of another question of the domain, the next one in a seeded hash order."""
     a = anchors(spark, d)
     q = questions(spark, d).join(a.select("uid").distinct(), "uid", "left_semi").select("domain", "uid")
-    u = q.withColumn("i", F.row_number().over(Window.partitionBy("domain").orderBy(F.md5(F.concat(F.lit("0:"), "uid").cast("binary")))) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("domain")))
-    nxt = u.select("domain", F.col("uid").alias("other"), F.col("i").alias("j"))
-    o = u.where("n > 1").withColumn("j", (F.col("i") + 1) % F.col("n")).join(nxt, ["domain", "j"]).select("uid", "other")
+    o = merging.shift_partner(q, "domain", "uid", seed=0).withColumnRenamed("partner", "other")
     g = grounded_criteria(spark, d).join(o, "uid")
     tok = g.select("criterion_id", "other", F.explode(T.criterion_tokens(F.col("body"))).alias("t"))
     hits = tok.join(a.select(F.col("uid").alias("other"), "t"), ["other", "t"]).groupBy("criterion_id").agg(F.count(F.lit(1)).alias("n_other"))

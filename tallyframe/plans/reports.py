@@ -10,9 +10,10 @@ from tallyframe.functions import text as T
 from tallyframe.operators import merging, paired, ranking
 from tallyframe.plans import sqltext as S
 from tallyframe.plans.checklists import _TILT, _tilt
+from tallyframe.plans.evaluation import _tests_sql, _units_sql, paired_summary, rounded_tests
 from tallyframe.plans.forensics import _Q, R6
 from tallyframe.plans.lint import rubric_lint
-from tallyframe.plans.registry import query
+from tallyframe.plans.registry import SQL, query
 from tallyframe.plans.views import criteria, questions
 from tallyframe.session import table
 
@@ -104,15 +105,20 @@ def restraint_rates(spark: SparkSession, d: str) -> DataFrame:
 METRICS = ["compliance_rate", "negative_weight_rate", "pitfall_fraction", "unclassified_rate", "weight_band_rate", "n_items"]
 
 
-@query()
+_LONG = "lg as (select run_name || '|' || uid as key, rubric_source, x.m as metric, x.v as v from (select run_name, uid, rubric_source, unnest([" + ", ".join(f"{{'m': '{m}', 'v': cast({m} as double)}}" for m in METRICS) + "]) as x from rl))"
+
+
+@query(f"""with rl as ({SQL['rubric_lint']}), {_LONG}, df as (select a.metric || '#' || a.rubric_source || ' - ' || b.rubric_source as gg, a.key, round(a.v - b.v, 9) as d from lg a join lg b on a.key = b.key and a.metric = b.metric where a.rubric_source < b.rubric_source and a.v is not null and b.v is not null),
+{_units_sql("select gg, key, d from df", "gg", "key", "count(*) as n, sum(d) as s")}, {_tests_sql('gg')}, sp as (select *, split_part(g, '#', 1) as metric, split_part(g, '#', 2) as contrast from res), rk as (select *, row_number() over (partition by contrast order by p, metric) as rn, count(*) over (partition by contrast) as m from sp)
+select contrast, metric, cast(n as bigint) as n, round(mean, 5) as mean, round(se, 5) as se, round(lo, 5) as ci_low, round(hi, 5) as ci_high, round(p, 6) as p, round(least(1.0, min(p * m / rn) over (partition by contrast order by p desc range between unbounded preceding and current row)), 6) as q from rk""")
 def metric_contrasts(spark: SparkSession, d: str) -> DataFrame:
     """Checklist metrics of each pair of sources on common questions of a run: unpivoted to one table, then one grouped job with interval,
     permutation p and q over each pair's family."""
     wide = rubric_lint(spark, d)
     long = wide.select(F.concat_ws("|", "run_name", "uid").alias("key"), "rubric_source", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in METRICS])).alias("m")).select("key", "rubric_source", "m.*")
     b = long.select("key", "metric", F.col("rubric_source").alias("source_b"), F.col("value").alias("v"))
-    diffs = long.join(b, ["key", "metric"]).where("rubric_source < source_b").select("metric", F.concat("rubric_source", F.lit(" - "), "source_b").alias("contrast"), "key", (F.col("value") - F.col("v")).alias("d"))
-    return ranking.bh_adjusted(paired.paired_tests(diffs, ["contrast", "metric"], ["key"], iters=10_000), ["contrast"], "p")
+    diffs = long.join(b, ["key", "metric"]).where("rubric_source < source_b").select("metric", F.concat("rubric_source", F.lit(" - "), "source_b").alias("contrast"), "key", F.round(F.col("value") - F.col("v"), 9).alias("d"))
+    return rounded_tests(ranking.bh_adjusted(paired_summary(diffs, ["contrast", "metric"], ["key"]), ["contrast"], "p"))
 
 
 _DID = "c as (select user_id, event_type, arg_min(value, event_id) as value from events where isfinite(value) group by 1, 2), w as (select user_id, max(case when event_type = 'click' then value end) - max(case when event_type = 'view' then value end) as a, max(case when event_type = 'purchase' then value end) - max(case when event_type = 'error' then value end) as b from c group by 1)"
