@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from tallyframe.functions import lexicon as L
+from tallyframe.operators.ranking import top_k
 
 _OPENERS = [re.compile(p) for p in (L.NEGATIVE_OPENER, L.POSITIVE_OPENER)]
 
@@ -74,28 +76,18 @@ def with_best_missing(df: DataFrame, keys: list[str], text: str, weight: str, ow
 
 
 def within_bounds(df: DataFrame, keys: list[str], weight: str, order: list[str], target: int) -> DataFrame:
-    """At most ``target`` items: the lightest go first, later ones before earlier ones at a tie; order is kept."""
-
-    def one(f: pd.DataFrame) -> pd.DataFrame:
-        best = sorted(range(len(f)), key=lambda i: (-abs(f[weight].iat[i]), i))[:target]
-        return f.iloc[sorted(best)]
-
-    return _per_group(df, keys, one, order)
+    """At most ``target`` items: the lightest go first, later ones before earlier ones at a tie."""
+    return top_k(df, keys, [F.desc(F.abs(weight)), *order], target)
 
 
 def balanced_pitfalls(df: DataFrame, keys: list[str], category: str, weight: str, spare: str, order: list[str], share: float = 0.25) -> DataFrame:
     """Rows with ``spare`` false are the checklist, the others candidates: pitfalls above the share (one is always allowed) are swapped for
-    the heaviest candidates that are none; without candidates they stay, so the size never changes."""
-
-    def one(f: pd.DataFrame) -> pd.DataFrame:
-        own = f[~f[spare].astype(bool)]
-        pitfalls = own[own[category] == "Pitfall"]
-        extra = len(pitfalls) - max(1, int(len(own) * share))
-        pool = f[f[spare].astype(bool) & (f[category] != "Pitfall")].sort_values(weight, ascending=False, kind="stable")
-        n = min(extra, len(pool))
-        if n <= 0:
-            return own
-        gone = pitfalls.assign(_m=pitfalls[weight].abs()).sort_values("_m", kind="stable").index[:n]
-        return pd.concat([own.drop(gone), pool.head(n)])
-
-    return _per_group(df, keys, one, order)
+    the heaviest candidates that are none; without candidates they stay, so the size never changes. Counts first, then ranks."""
+    pit, extra_row = F.col(category) == "Pitfall", F.col(spare)
+    sizes = df.groupBy(*keys).agg(F.count_if(~extra_row).alias("_own"), F.count_if(~extra_row & pit).alias("_pit"), F.count_if(extra_row & ~pit).alias("_pool"))
+    n = F.greatest(F.lit(0), F.least(F.col("_pit") - F.greatest(F.lit(1), F.floor(F.col("_own") * share)), F.col("_pool")))
+    magnitude = F.when(extra_row, -F.col(weight)).otherwise(F.abs(weight))
+    r = F.row_number().over(Window.partitionBy(*keys, spare, pit).orderBy(magnitude, *order))
+    joined = df.withColumn("_r", r).join(sizes.withColumn("_n", n), keys)
+    kept = F.when(extra_row, ~pit & (F.col("_r") <= F.col("_n"))).otherwise(~pit | (F.col("_r") > F.col("_n")))
+    return joined.where(kept).select(*df.columns)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyframe.functions import lexicon as L
 from tallyframe.functions import parsing
 from tallyframe.functions import text as T
 from tallyframe.operators import greedy
@@ -15,21 +16,41 @@ from tallyframe.plans.views import RUBRIC, criteria, questions
 from tallyframe.session import table
 
 
-@query()
+def _labelled(name: str, find: str, label: str, labels: str) -> str:
+    """CTEs of the spans that begin at labels in order: name_s (uid, k, i) and name_p (uid, k, text, asking). White space is doubled before, so that
+    a match may take the blank after a label that the pattern only looks at."""
+    steps = [f"{name}_1 as (select uid, min(i) as i from {name} where label = '{labels[0]}' group by 1)"]
+    steps += [f"{name}_{k} as (select s.uid, min(p.i) as i from {name}_{k - 1} s join {name} p on p.uid = s.uid and p.label = '{c}' and p.i > s.i group by 1)" for k, c in enumerate(labels[1:], 2)]
+    union = " union all ".join(f"select uid, {k} as k, i from {name}_{k}" for k in range(1, len(labels) + 1))
+    return f"""{name}_x as (select uid, string_split(regexp_replace(tx, '{find}', chr(1) || '\\0', 'g'), chr(1)) as ps from tx), {name} as (select uid, i, piece, regexp_extract(piece, '{label}', 1) as label from (select uid, unnest(ps) as piece, generate_subscripts(ps, 1) as i from {name}_x) where i > 1),
+{', '.join(steps)}, {name}_s as (select *, lead(i) over (partition by uid order by k) as until from ({union})),
+{name}_p as (select s.uid, s.k, string_agg(p.piece, '' order by p.i) as text from {name}_s s join {name} p on p.uid = s.uid and p.i >= s.i and (s.until is null or p.i < s.until) where s.uid in (select uid from {name}_2) group by 1, 2)"""
+
+
+_PARTS = f"""q as (select * from {_Q}), tx as (select uid, regexp_replace(coalesce(question, ''), '(\\s)', '\\1\\1', 'g') as tx from q),
+{_labelled('lt', '(?m)(?:^|[\\s(])\\(?([a-h])[\\)\\.]\\s', '^(?:[\\s(])?\\(?([a-h])[\\)\\.]\\s', 'abcdefgh')}, {_labelled('nm', '(?:^|\\n)\\s*\\(?([1-9])[\\)\\.]\\s', '^\\s*\\(?([1-9])[\\)\\.]\\s', '123456789')},
+pa as (select *, contains(text, '?') or regexp_matches(text, {S.lit(L.TASK_CUE)}) as asking from (select * from lt_p union all select * from nm_p where uid not in (select uid from lt_p))),
+kd as (select uid, case when sum(cast(asking as int)) >= 2 then 'subquestions' else 'mcq' end as kind from pa group by 1), pt as (select pa.uid, kind, k, text from pa join kd using (uid) where kind = 'mcq' or asking),
+kn as (select q.uid, q.domain, q.question, q.reference_answer, coalesce(kind, 'none') as kind, coalesce(n, 0) as n_parts from q left join kd using (uid) left join (select uid, count(*) as n from pt group by 1) c using (uid))"""
+
+
+@query(f"with {_PARTS} select domain, kind, count(*) as n, round(avg(n_parts), 6) as mean_parts from kn group by 1, 2")
 def question_kinds(spark: SparkSession, d: str) -> DataFrame:
     """Enumerated questions by kind, with the number of parts."""
     q = questions(spark, d).select("domain", parsing.question_parts_column(F.col("question")).alias("p"))
     return q.groupBy("domain", F.col("p.kind").alias("kind")).agg(F.count(F.lit(1)).alias("n"), R6(F.avg(F.size("p.parts"))).alias("mean_parts"))
 
 
-@query()
+@query(f"with {_PARTS} select uid, domain, case when kind = 'subquestions' then n_parts else 0 end as n_subparts, kind = 'mcq' as is_mcq, len({S.words('question')}) as question_words, len({S.words('reference_answer')}) as reference_words from kn")
 def question_complexity(spark: SparkSession, d: str) -> DataFrame:
     p = parsing.question_parts_column(F.col("question"))
     q = questions(spark, d).select("uid", "domain", p.alias("p"), F.size(T.words(F.col("question"))).alias("question_words"), F.size(T.words(F.col("reference_answer"))).alias("reference_words"))
     return q.select("uid", "domain", F.when(F.col("p.kind") == "subquestions", F.size("p.parts")).otherwise(0).alias("n_subparts"), (F.col("p.kind") == "mcq").alias("is_mcq"), "question_words", "reference_words")
 
 
-@query()
+@query(f"""with {_PARTS}, {S.NORMALISED}, pw as (select uid, k, list_distinct({S.content_tokens('text')}) as pw from pt), cw as (select run_name, rubric_source, uid, list_distinct(list_concat({S.content_tokens('body')}, {S.content_tokens('title')})) as cw from n),
+be as (select run_name, rubric_source, uid, k, max(case when len(pw) > 0 and len(cw) > 0 then len(list_intersect(pw, cw)) / sqrt(len(pw) * len(cw)) else 0 end) as best from pw join cw using (uid) group by 1, 2, 3, 4)
+select run_name, rubric_source, uid, count(*) as n_parts, sum(case when best < 0.1 then 1 else 0 end) as n_orphans, round(avg(best), 6) as mean_best from be group by 1, 2, 3""")
 def part_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Share of a question's labelled parts that no criterion of a rubric covers (binary cosine of content words below 0.1). Parts and
     criteria meet on the question, a small product for each rubric."""
@@ -80,27 +101,42 @@ def self_agreement(spark: SparkSession, d: str) -> DataFrame:
     return i.groupBy("rubric_source").agg(F.sum(pairs("n")).alias("n_pairs"), R6(F.sum("agree") / F.sum(pairs("n"))).alias("self_agreement"))
 
 
-@query()
+_MIRRORED = f"regexp_replace(regexp_replace(coalesce(body, ''), {S.lit(L.NEGATIVE_OPENER)}, ''), {S.lit(L.POSITIVE_OPENER)}, '')"
+_OVERLAP = "case when len({0}) = 0 or len({1}) = 0 then 0 else len(list_intersect({0}, {1})) / (len({0}) + len({1}) - len(list_intersect({0}, {1}))) end"
+
+
+@query(f"""with recursive {S.NORMALISED}, it as (select criterion_id as id, concat_ws('|', run_name, rubric_source, uid) as g, row_number() over (partition by run_name, rubric_source, uid order by pos, criterion_id) as i, abs(w) as w, list_distinct(regexp_extract_all(lower({_MIRRORED}), '[a-z0-9]+')) as ws,
+ list_sort(list_distinct(list_concat(regexp_extract_all(lower(body), '\\d+(?:[.,]\\d+)?'), regexp_extract_all(lower(body), '\\(([a-e])\\)', 1)))) as sg from n where uid is not null),
+kp as (select g, i, [struct_pack(id := id, w := w, ws := ws, sg := sg)] as kept from it where i = 1 union all
+ select g, i, case when twin is null then list_append(kept, cur) when cur.w > kept[twin].w then list_transform(kept, lambda x, j: case when j = twin then cur else x end) else kept end from
+ (select g, i, kept, cur, list_position(list_transform(kept, lambda x: x.sg = cur.sg and {_OVERLAP.format('x.ws', 'cur.ws')} >= 0.6), true) as twin from (select kp.g, it.i, kept, struct_pack(id := it.id, w := it.w, ws := it.ws, sg := it.sg) as cur from kp join it on it.g = kp.g and it.i = kp.i + 1)))
+select unnest(list_transform(kept, lambda x: x.id)) as criterion_id from kp join (select g, max(i) as i from it group by 1) m using (g, i)""".replace("twin is null", "coalesce(twin, 0) = 0"))
 def without_mirrors(spark: SparkSession, d: str) -> DataFrame:
     """Rubrics without items that repeat an earlier one."""
     c = criteria(spark, d).where("uid is not null").select("criterion_id", *RUBRIC, "pos", "body", "w")
     return greedy.without_mirrors(c, RUBRIC, "body", "w", ["pos", "criterion_id"]).select("criterion_id")
 
 
-@query()
+@query(f"""with {S.NORMALISED}, it as (select criterion_id as id, concat_ws('|', run_name, uid) as g, rubric_source = 'framed' as own, w, pos, list_distinct(regexp_extract_all(lower(body), '[a-z0-9]+')) as ws from n where uid is not null and rubric_source in ('framed', 'shipped')),
+el as (select *, row_number() over (partition by g order by w desc, pos, id) as r from it c where not own and w > 0 and not exists (select 1 from it o where o.own and o.g = c.g and {_OVERLAP.format('o.ws', 'c.ws')} >= 0.5)),
+f1 as (select * from el where r = 1), f2 as (select c.g, min(c.r) as r from el c join f1 on f1.g = c.g where c.r > 1 and {_OVERLAP.format('f1.ws', 'c.ws')} < 0.5 group by 1)
+select id as criterion_id, own from it where own union all select id, own from f1 union all select id, own from el join f2 using (g, r)""")
 def with_upstream_items(spark: SparkSession, d: str) -> DataFrame:
     """Framed rubrics with up to two heavy shipped items they lack."""
     c = criteria(spark, d).where("uid is not null and rubric_source in ('framed', 'shipped')").select("criterion_id", "run_name", "uid", "pos", "body", "w", (F.col("rubric_source") == "framed").alias("own"))
     return greedy.with_best_missing(c, ["run_name", "uid"], "body", "w", "own", ["pos", "criterion_id"], 2).select("criterion_id", "own")
 
 
-@query()
+@query(f"with {S.NORMALISED} select criterion_id from (select criterion_id, row_number() over (partition by run_name, rubric_source, uid order by abs(w) desc, pos, criterion_id) as r from n where uid is not null) where r <= 7")
 def bounded_rubrics(spark: SparkSession, d: str) -> DataFrame:
     c = criteria(spark, d).where("uid is not null").select("criterion_id", *RUBRIC, "pos", "w")
     return greedy.within_bounds(c, RUBRIC, "w", ["pos", "criterion_id"], 7).select("criterion_id")
 
 
-@query()
+@query(f"""with {S.NORMALISED}, it as (select criterion_id as id, concat_ws('|', run_name, uid) as g, rubric_source = 'shipped' as spare, cat = 'Pitfall' as pit, w, pos from n where uid is not null and rubric_source in ('framed', 'shipped')),
+ow as (select *, row_number() over (partition by g, pit order by abs(w), pos, id) as r, count(*) over (partition by g) as k, sum(cast(pit as int)) over (partition by g) as p from it where not spare), pl as (select *, row_number() over (partition by g order by w desc, pos, id) as r, count(*) over (partition by g) as k from it where spare and not pit),
+sw as (select o.g, greatest(0, least(any_value(o.p) - greatest(1, floor(any_value(o.k) * 0.25)), coalesce(any_value(l.k), 0))) as n from ow o left join (select distinct g, k from pl) l using (g) group by 1)
+select id as criterion_id from ow join sw using (g) where not pit or r > n union all select id from pl join sw using (g) where r <= n""")
 def balanced_pitfalls(spark: SparkSession, d: str) -> DataFrame:
     """Framed rubrics whose pitfalls are at most a quarter, filled up from the shipped ones."""
     c = criteria(spark, d).where("uid is not null and rubric_source in ('framed', 'shipped')").select("criterion_id", "run_name", "uid", "pos", "cat", "w", (F.col("rubric_source") == "shipped").alias("spare"))
@@ -165,8 +201,6 @@ def word_tilt_by_rarity(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""with {S.NORMALISED} select rubric_source, count(*) as n, round(avg(len({S.words('body')})), 6) as mean_words, round(avg(case when contains(body, '?') then 1.0 else 0.0 end), 6) as question_share,
  round(avg(case when regexp_matches(body, '(?i)\\b(not|no|never|without|avoid\\w*)\\b') then 1.0 else 0.0 end), 6) as negation_share, round(avg(case when regexp_matches(coalesce(description,''), '(?i)\\(\\s*[a-eA-E]\\s*\\)|\\boption\\b|\\banswer\\b|\\bchoice\\b') then 1.0 else 0.0 end), 6) as option_share from n group by 1""")
 def rubric_form(spark: SparkSession, d: str) -> DataFrame:
-    from tallyframe.functions import lexicon as L
-
     share = lambda c: R6(F.avg(F.when(c, 1.0).otherwise(0.0)))
     body = F.col("body")
     return criteria(spark, d).groupBy("rubric_source").agg(
