@@ -150,11 +150,22 @@ def tolerant_payloads(spark: SparkSession, d: str) -> DataFrame:
     return r.groupBy("rubric_source").agg(F.count(F.lit(1)).alias("n"), F.count_if("strict").alias("n_strict"), F.count_if("repaired").alias("n_object_after_repair"))
 
 
-@query()
+#: Units of the answers at hand: what a prefix may stand before, with dimensions; words of time have none.
+_SQL_UNITS = {"m": "1,0,0,0,0,0", "g": "0,1,0,0,0,0", "s": "0,0,1,0,0,0", "A": "0,0,0,1,0,0", "K": "0,0,0,0,1,0", "mol": "0,0,0,0,0,1", "N": "1,1,-2,0,0,0", "J": "2,1,-2,0,0,0", "W": "2,1,-3,0,0,0", "Pa": "-1,1,-2,0,0,0", "C": "0,0,1,1,0,0", "V": "2,1,-3,-1,0,0", "Hz": "0,0,-1,0,0,0", "L": "3,0,0,0,0,0", "eV": "2,1,-2,0,0,0", "mmHg": "-1,1,-2,0,0,0"}
+_SQL_SCALE = {"g": 1e-3, "L": 1e-3, "eV": 1.602176634e-19, "mmHg": 133.322387415}
+_SQL_PREFIX = {"": 1, "k": 1e3, "d": 1e-1, "c": 1e-2, "m": 1e-3, "u": 1e-6, "n": 1e-9, "M": 1e6, "G": 1e9}
+_SIMPLE = "ut as (select * from (values " + ", ".join(f"('{p}{u}', '{dims}', {f * _SQL_SCALE.get(u, 1.0)!r})" for u, dims in _SQL_UNITS.items() for p, f in _SQL_PREFIX.items()) + ") t(name, dims, f))"
+
+
+@query(f"""with {_SIMPLE}, an as (select left(trim(regexp_replace(x[len(x)], '\\s+', ' ', 'g')), 400) as answer from (select regexp_extract_all(text, '(?i)final\\s*answer\\s*[:\\-]\\s*([^\\n]+)', 1) as x from rollouts) where len(x) > 0),
+un as (select regexp_extract(answer, '^[-+]?\\d[\\d.,]*(?:[eE][-+]?\\d+)?\\s+([A-Za-z]+)\\.?$', 1) as name from an) select dims as dimensions, count(*) as n, count(distinct round(log10(f), 6)) as n_scales from un join ut using (name) group by 1""")
 def answer_units(spark: SparkSession, d: str) -> DataFrame:
-    """Dimensions of the units of final answers."""
-    a = table(spark, d, "rollouts").select(T.final_answer(F.col("text")).alias("answer")).where("answer is not null").select(parsing.unit_column(F.regexp_replace("answer", r"\.$", "")).alias("u"))
-    return a.groupBy(F.array_join("u.dims", ",").alias("dimensions")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("u.scale").alias("n_scales"))
+    """Dimensions of final answers that are a number and one unit by its symbol."""
+    a = table(spark, d, "rollouts").select(T.final_answer(F.col("text")).alias("answer")).where(F.col("answer").rlike(r"^[-+]?\d[\d.,]*(?:[eE][-+]?\d+)?\s+[A-Za-z]+\.?$"))
+    name = F.regexp_extract("answer", r"([A-Za-z]+)\.?$", 1)
+    u = a.select(name.alias("name"), parsing.unit_column(F.regexp_replace("answer", r"\.$", "")).alias("u")).where("u.dims is not null")
+    known = u.where(F.col("name").isin([p + x for x in _SQL_UNITS for p in _SQL_PREFIX]))
+    return known.groupBy(F.array_join("u.dims", ",").alias("dimensions")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.round(F.log10("u.scale"), 6)).alias("n_scales"))
 
 
 def _tilt_words(c: str) -> str:

@@ -262,10 +262,19 @@ def correctness_gap(spark: SparkSession, d: str) -> DataFrame:
     return out.select("setting", "n_true", "n_false", *[F.round(c, 4).alias(c) for c in ("gap", "ci_low", "ci_high")])
 
 
-@query()
+def _newton_sql(steps: int) -> str:
+    out = ["b0 as (select setting as g, length(text) / 100.0 as x, case when correct then 1.0 else 0.0 end as y, count(*) as c from rollouts where setting is not null and text is not null and correct is not null group by 1, 2, 3)", "w0 as (select distinct g, 0.0 as a, 0.0 as b, 0.0 as v, 0 as n from b0)"]
+    for k in range(1, steps + 1):
+        sums = f"select b0.g, any_value(a) as a, any_value(b) as b, sum(c) as n, sum(c * p * (1 - p)) as h0, sum(c * p * (1 - p) * x) as h1, sum(c * p * (1 - p) * x * x) as h2, sum(c * (y - p)) as g0, sum(c * (y - p) * x) as g1 from (select b0.*, w.a, w.b, 1 / (1 + exp(-least(greatest(w.a + w.b * x, -30.0), 30.0))) as p from b0 join w{k - 1} w on w.g = b0.g) b0 group by 1"
+        out.append(f"w{k} as materialized (select g, a + (h2 * g0 - h1 * g1) / (h0 * h2 - h1 * h1) as a, b + (h0 * g1 - h1 * g0) / (h0 * h2 - h1 * h1) as b, h0 / (h0 * h2 - h1 * h1) as v, n from ({sums}))")
+    return ", ".join(out)
+
+
+@query(f"with {_newton_sql(9)} select g as setting, cast(n as bigint) as n, round(a, 5) as intercept, round(b, 5) as slope, round(sqrt(v), 5) as se from w9")
 def correctness_by_length(spark: SparkSession, d: str) -> DataFrame:
+    """Logistic regression of being right on the length, by setting."""
     r = table(spark, d, "rollouts").select("setting", (F.length("text") / 100).alias("x"), F.col("correct").cast("double").alias("y"))
-    return paired.logistic_slopes(r, ["setting"], "x", "y")
+    return paired.logistic_slopes(r.where("setting is not null"), ["setting"], "x", "y").select("setting", "n", *[F.round(c, 5).alias(c) for c in ("intercept", "slope", "se")])
 
 
 @query("""with p as (select l_returnflag as g, l_linenumber as i, least(1.0, (count(*) % 97) / 97.0) as p from lineitem group by 1, 2), r as (select *, row_number() over (partition by g order by p, i) as k, count(*) over (partition by g) as m from p)
@@ -308,14 +317,34 @@ def preference_accuracy(spark: SparkSession, d: str) -> DataFrame:
     return c.agg(F.count(F.lit(1)).alias("n"), share(a).alias("accuracy_a"), share(b).alias("accuracy_b"), F.count_if(a & ~b).alias("n10"), F.count_if(b & ~a).alias("n01"), share(F.col("chars_a") > F.col("chars_b")).alias("longer_a"))
 
 
-@query()
+_LOG_CHOOSE = "lgamma({0} + 1) - lgamma({1} + 1) - lgamma({0} - {1} + 1)"
+_TAIL = "list_sum(list_transform(range(cast({lo} as bigint), cast({hi} as bigint) + 1), lambda i: exp(" + _LOG_CHOOSE.format("n", "i") + " + i * ln({p}) + (n - i) * ln(1 - {p}))))"
+_HALF = "exp(" + _LOG_CHOOSE.format("m", "i") + " - m * ln(2))"
+_COUNTS = f"{_CASE}, ct as (select coalesce(domain, '(all)') as domain, count(*) as n, sum(cast(hit_a as int)) as ka, sum(cast(hit_b as int)) as kb, sum(cast(hit_a and not hit_b as int)) as n10, sum(cast(hit_b and not hit_a as int)) as n01 from cases group by grouping sets ((domain), ()))"
+#: Exact intervals of k of n by halving: where each tail holds a fortieth.
+_EXACT = f"""bs as (select id, n, k, 0.0::double as l0, 1.0::double as l1, 0.0::double as h0, 1.0::double as h1, 0 as i from ask union all select id, n, k, case when tl < 0.025 then (l0 + l1) / 2 else l0 end, case when tl < 0.025 then l1 else (l0 + l1) / 2 end, case when th > 0.025 then (h0 + h1) / 2 else h0 end, case when th > 0.025 then h1 else (h0 + h1) / 2 end, i + 1
+ from (select *, {_TAIL.format(lo='k', hi='n', p='((l0 + l1) / 2)')} as tl, {_TAIL.format(lo='0', hi='k', p='((h0 + h1) / 2)')} as th from bs where i < 50)),
+ci as (select id, case when k = 0 or n = 0 then 0.0 else (l0 + l1) / 2 end as lo, case when k = n or n = 0 then 1.0 else (h0 + h1) / 2 end as hi from bs where i = 50)"""
+
+
+@query(f"""with recursive {_COUNTS}, ask as (select 'a' || domain as id, n, ka as k from ct union all select 'd' || domain, n01 + n10, n01 from ct), {_EXACT},
+ts as (select *, n01 + n10 as m, least(n01, n10) as low_, ka + kb as kk from ct)
+select t.domain, t.n, round(case when m = 0 then 1.0 else least(1.0, 2 * list_sum(list_transform(range(0, cast(low_ as bigint) + 1), lambda i: {_HALF}))) end, 6) as p, round(c.lo, 6) as exact_low, round(c.hi, 6) as exact_high,
+ round((ka / n + 1.959963984540054 ^ 2 / (2 * n) - 1.959963984540054 * sqrt(ka / n * (1 - ka / n) / n + 1.959963984540054 ^ 2 / (4 * n * n))) / (1 + 1.959963984540054 ^ 2 / n), 6) as wilson_low, round((ka / n + 1.959963984540054 ^ 2 / (2 * n) + 1.959963984540054 * sqrt(ka / n * (1 - ka / n) / n + 1.959963984540054 ^ 2 / (4 * n * n))) / (1 + 1.959963984540054 ^ 2 / n), 6) as wilson_high,
+ round(list_sum(list_transform(list_filter(list_transform(range(cast(greatest(0, kk - n) as bigint), cast(least(kk, n) as bigint) + 1), lambda x: {_LOG_CHOOSE.format('n', 'x')} + {_LOG_CHOOSE.format('n', '(kk - x)')} - ({_LOG_CHOOSE.format('(2 * n)', 'kk')})), lambda v: v <= {_LOG_CHOOSE.format('n', 'ka')} + {_LOG_CHOOSE.format('n', 'kb')} - ({_LOG_CHOOSE.format('(2 * n)', 'kk')}) + 1e-9), lambda v: exp(v))), 6) as fisher_p,
+ round(coalesce((m - 2 * list_max(list_filter(range(0, cast(floor(m / 2) as bigint) + 1), lambda q: least(1.0, 2 * list_sum(list_transform(range(0, q + 1), lambda i: {_HALF}))) < 0.05))) / n, 'NaN'::double), 6) as least_gap,
+ round(case when m = 0 then 0.0 else (2 * e.lo - 1) * m / n end, 6) as delta_low, round(case when m = 0 then 0.0 else (2 * e.hi - 1) * m / n end, 6) as delta_high from ts t join ci c on c.id = 'a' || t.domain join ci e on e.id = 'd' || t.domain""")
 def preference_tests(spark: SparkSession, d: str) -> DataFrame:
-    """Exact tests of the accuracies by domain, with intervals and the least detectable difference."""
-    c = preference_accuracy(spark, d)
-    hits = F.round(F.col("accuracy_a") * F.col("n")).cast("long")
-    low, high = exact.clopper_pearson_columns(hits, F.col("n"))
-    w_low, w_high = exact.wilson(hits, F.col("n"))
-    return c.select("domain", "n", exact.mcnemar_p_column(F.col("n01"), F.col("n10")).alias("p"), low.alias("exact_low"), high.alias("exact_high"), w_low.alias("wilson_low"), w_high.alias("wilson_high"), exact.fisher_p_column(hits, F.col("n"), F.round(F.col("accuracy_b") * F.col("n")).cast("long"), F.col("n")).alias("fisher_p"), exact.least_gap_column(F.col("n01") + F.col("n10"), F.col("n")).alias("least_gap"))
+    """Exact tests of the accuracies by domain and over all, with intervals of the first, of the difference, and the least detectable one."""
+    g = preference_cases(spark, d).groupingSets([["domain"], []], "domain")
+    a, b = F.col("hit_a"), F.col("hit_b")
+    c = g.agg(F.count(F.lit(1)).alias("n"), F.count_if(a).alias("ka"), F.count_if(b).alias("kb"), F.count_if(a & ~b).alias("n10"), F.count_if(b & ~a).alias("n01")).where("n > 0")
+    n, n01, n10 = F.col("n"), F.col("n01"), F.col("n10")
+    low, high = exact.clopper_pearson_columns(F.col("ka"), n)
+    w_low, w_high = exact.wilson(F.col("ka"), n)
+    d_low, d_high = exact.paired_delta_columns(n01, n10, n)
+    parts = {"p": exact.mcnemar_p_column(n01, n10), "exact_low": low, "exact_high": high, "wilson_low": w_low, "wilson_high": w_high, "fisher_p": exact.fisher_p_column(F.col("ka"), n, F.col("kb"), n), "least_gap": exact.least_gap_column(n01 + n10, n), "delta_low": d_low, "delta_high": d_high}
+    return c.select(F.coalesce("domain", F.lit("(all)")).alias("domain"), "n", *[R6(v).alias(k) for k, v in parts.items()])
 
 
 @query(f"""with {_CASE}, t as (select domain, count(*) as n, sum(case when hit_a then 1 else 0 end) as k from cases group by 1), z as (select 1.959963984540054 as z)
