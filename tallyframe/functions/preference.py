@@ -51,6 +51,13 @@ def importances(text: Column, default: int = 3, least: int = 8) -> Column:
     return F.transform(long, lambda x: F.coalesce(F.regexp_extract(x, r"\(importance (\d)/5\)", 1).try_cast("int"), F.lit(default)))
 
 
+def rubric_items(text: Column, default: int = 3) -> Column:
+    """ARRAY<STRUCT<title, description, weight>> of the lines of a rubric text: "title: description (importance k/5)", or a bare description."""
+    pattern = r"^(?:([^:()]*):)?\s*(.*?)\s*(?:\(importance (\d)/5\))?\s*$"
+    part = lambda x, k: F.trim(F.regexp_extract(x, pattern, k))
+    return F.transform(rubric_lines(text), lambda x: F.struct(part(x, 1).alias("title"), part(x, 2).alias("description"), F.coalesce(part(x, 3).try_cast("int"), F.lit(default)).alias("weight")))
+
+
 def transformed(text: Column, kind: str) -> Column:
     """``strip_weights`` drops the importances, ``bare`` everything in brackets, ``top5`` keeps the first five lines."""
     lines = rubric_lines(text)

@@ -75,6 +75,13 @@ def jaccard(a: Column, b: Column) -> Column:
     return let(a, lambda x: let(b, lambda y: F.when((F.size(x) > 0) & (F.size(y) > 0), both(x, y)).otherwise(0.0)))
 
 
+def tokens_by(c: Column, pattern: str, least: int = 1, without_stop: bool = False, stemmed: bool = False) -> Column:
+    """Tokens of a text under a tokeniser: a pattern over the lower case, a least length, stems, and stop words left out."""
+    out = F.filter(F.regexp_extract_all(F.lower(or_empty(c)), F.lit(pattern), F.lit(0)), lambda t: F.length(t) >= least)
+    out = F.transform(out, stem) if stemmed else out
+    return F.filter(out, lambda t: ~t.isin(L.STOPWORDS)) if without_stop else out
+
+
 def binary_cosine(a: Column, b: Column) -> Column:
     both = lambda x, y: F.size(F.array_intersect(x, y)) / F.sqrt(F.size(x) * F.size(y))
     return let(a, lambda x: let(b, lambda y: F.when((F.size(x) > 0) & (F.size(y) > 0), both(x, y)).otherwise(0.0)))

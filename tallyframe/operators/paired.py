@@ -132,7 +132,7 @@ def drawn_means(n: np.ndarray, s: np.ndarray, iters: int, seed: int) -> np.ndarr
 
 
 def unit_interval(f: pd.DataFrame, iters: int, seed: int, alpha: float = 0.05) -> tuple:
-    n, s = f["n"].to_numpy(float), f["s"].to_numpy(float)
+    n, s = f["_n"].to_numpy(float), f["_s"].to_numpy(float)
     total = int(n.sum())
     if total < 2 or len(n) < 2:
         return total, float(s.sum() / total) if total else None, None, None, None
@@ -143,7 +143,7 @@ def unit_interval(f: pd.DataFrame, iters: int, seed: int, alpha: float = 0.05) -
 
 def unit_flips(f: pd.DataFrame, iters: int, seed: int, exact_up_to: int = 20) -> tuple[float | None, bool]:
     """``sign_flip`` on units: rows up to ``exact_up_to``, else random signs of units."""
-    n, s = f["n"].to_numpy(float), f["s"].to_numpy(float)
+    n, s = f["_n"].to_numpy(float), f["_s"].to_numpy(float)
     if n.sum() <= exact_up_to:
         return sign_flip(s, iters, seed, exact_up_to)
     seen = abs(s.sum() / n.sum())
@@ -154,7 +154,7 @@ def unit_flips(f: pd.DataFrame, iters: int, seed: int, exact_up_to: int = 20) ->
 
 def _value_units(df: DataFrame, group: list[str], value: str, key: list[str]) -> DataFrame:
     clean = df.withColumn("_v", finite(F.col(value).cast("double"))).where("_v is not null")
-    return units(clean, group, key, [F.count(F.lit(1)).alias("n"), F.sum("_v").alias("s")])
+    return units(clean, group, key, [F.count(F.lit(1)).alias("_n"), F.sum("_v").alias("_s")])
 
 
 def mean_intervals(df: DataFrame, group: list[str], value: str, key: list[str], iters: int = 2000, seed: int = 0) -> DataFrame:
@@ -172,7 +172,7 @@ def clustered_correlation(df: DataFrame, group: list[str], cluster: str, x: str,
     """(group, n, r, ci_low, ci_high): pooled correlation with an interval from resampling whole clusters; sums per cluster suffice."""
     a, b = F.col(x).cast("double"), F.col(y).cast("double")
     clean = df.select(*group, cluster, a.alias("_x"), b.alias("_y")).dropna()
-    parts = {"n": F.lit(1.0), "a": F.col("_x"), "b": F.col("_y"), "aa": F.col("_x") * F.col("_x"), "bb": F.col("_y") * F.col("_y"), "ab": F.col("_x") * F.col("_y")}
+    parts = {"_n": F.lit(1.0), "_a": F.col("_x"), "_b": F.col("_y"), "_aa": F.col("_x") * F.col("_x"), "_bb": F.col("_y") * F.col("_y"), "_ab": F.col("_x") * F.col("_y")}
     clusters = clean.groupBy(*group, cluster).agg(*[F.sum(c).alias(k) for k, c in parts.items()])
     names = list(parts)
 
@@ -198,7 +198,7 @@ def two_sample_gap(df: DataFrame, group: list[str], side: str, value: str, key:
     picked = rows.select(*group, side, value, *(key or ["_key"])).dropna(subset=[side, value])
 
     def one(f: pd.DataFrame) -> tuple:
-        (na, sa), (nb, sb) = ((f.loc[f[side] == s, "n"].to_numpy(float), f.loc[f[side] == s, "s"].to_numpy(float)) for s in (True, False))
+        (na, sa), (nb, sb) = ((f.loc[f[side] == s, "_n"].to_numpy(float), f.loc[f[side] == s, "_s"].to_numpy(float)) for s in (True, False))
         if na.sum() < 2 or nb.sum() < 2:
             return int(na.sum()), int(nb.sum()), None, None, None
         gaps = drawn_means(na, sa, iters, seed) - drawn_means(nb, sb, iters, seed + 1)

@@ -25,6 +25,21 @@ def tfidf_vectors(docs: DataFrame, id_col: str, text_col: str, group: list[str],
     return raw.join(norm, id_col).select(id_col, *group, "t", (F.col("x") / F.col("norm")).alias("x"))
 
 
+def with_pairs(words: Column) -> Column:
+    """The words of an array and its pairs of neighbours."""
+    pairs = lambda w: F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat(F.element_at(w, i), F.lit(" "), F.element_at(w, i + 1)))).otherwise(F.array().cast("array<string>"))
+    return F.concat(words, pairs(words))
+
+
+def vocabulary(docs: DataFrame, id_col: str, terms: Column, min_df: int = 1, most: int | None = None) -> DataFrame:
+    """(term, tf, df, idf) of the terms in at least ``min_df`` documents, the ``most`` frequent of them, ties by term. Joined to ``tfidf_vectors`` it bounds
+    their features."""
+    n = docs.count()
+    by_doc = docs.select(id_col, F.explode(terms).alias("term")).groupBy("term", id_col).agg(F.count(F.lit(1)).alias("c"))
+    f = by_doc.groupBy("term").agg(F.sum("c").alias("tf"), F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df).withColumn("idf", F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1)
+    return f if most is None else f.orderBy(F.desc("tf"), "term").limit(most)
+
+
 def cosine_pairs(vectors: DataFrame, id_col: str, within: list[str], threshold: float) -> DataFrame:
     """(within..., a, b, s): pairs a < b of one group with cosine above the threshold."""
     a = vectors.select(*within, "t", F.col(id_col).alias("a"), F.col("x").alias("xa"))

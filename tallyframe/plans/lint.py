@@ -46,6 +46,7 @@ def checked_criteria(spark: SparkSession, d: str) -> DataFrame:
         F.when(pitfall, F.col("w").isin(-1, -2)).otherwise(F.col("w").between(1, 5)).alias("weight_in_range"), F.when(medicine, in_category(L.WEIGHT_BAND)).alias("weight_in_band"),
         F.when(medicine & pitfall, body.rlike(L.PITFALL_OPENER)).alias("pitfall_opener"), ((T.strip(T.or_empty(F.col("title"))) != "") & (T.strip(body) != "")).alias("fields_present"),
         F.when(F.size("g") > 0, shared / F.size("g") < 0.5).alias("no_verbatim_copy"), (~T.contains_any(body, L.NOT_SELF_CONTAINED)).alias("self_contained"),
+        F.size(T.words(F.col("title"))).alias("n_title_words"), T.sentence_count(body).alias("n_sentences"),
     )
 
 
@@ -68,6 +69,23 @@ def check_breakdown(spark: SparkSession, d: str) -> DataFrame:
     return long.groupBy("check_name").agg(F.count("passed").alias("n_applicable"), F.count_if("passed").alias("n_passed"), R6(F.avg(F.when(F.col("passed"), 1.0).when(~F.col("passed"), 0.0))).alias("pass_rate"))
 
 
+_REASON = f"case check_name when 'title_words' then 'title has ' || len({S.words('title')}) || ' words' when 'single_sentence' then {_SENTENCES} || ' sentences' when 'weight_in_range' then 'weight ' || w || ' for ' || cat when 'weight_in_band' then 'weight ' || w || ' for ' || cat else cat end"
+
+
+@query(f"""with {_CHECKED}, ff as (""" + " union all ".join(f"select '{c}' as check_name, title, body, w, cat from k where not {c}" for c in CHECKS) + f"""), rs as (select check_name, {_REASON} as reason, count(*) as n from ff group by 1, 2),
+rr as (select *, row_number() over (partition by check_name order by n desc, reason) as rank from rs) select check_name, reason, n, cast(rank as bigint) as rank from rr where rank <= 5""")
+def failure_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """The five commonest reasons for which each check fails."""
+    k = checked_criteria(spark, d)
+    text = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    weight = text("weight ", F.col("w").cast("string"), " for ", F.col("cat"))
+    reason = {"title_words": text("title has ", F.col("n_title_words").cast("string"), " words"), "single_sentence": text(F.col("n_sentences").cast("string"), " sentences"), "weight_in_range": weight, "weight_in_band": weight}
+    failed = F.array_compact(F.array(*[F.when(~F.col(c), F.struct(F.lit(c).alias("check_name"), reason.get(c, F.col("cat")).alias("reason"))) for c in CHECKS]))
+    n = k.select(F.explode(failed).alias("x")).groupBy("x.check_name", "x.reason").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.row_number().over(Window.partitionBy("check_name").orderBy(F.desc("n"), "reason"))
+    return n.withColumn("rank", rank.cast("long")).where("rank <= 5")
+
+
 @query(f"""with {_CHECKED} select run_name, rubric_source, uid, count(*) as n_items, count(*) between 7 and 20 as item_count_ok, round(avg(case when {_ALL} then 1.0 else 0.0 end), 6) as compliance_rate,
  count(*) between 7 and 20 and bool_and({_ALL}) as fully_compliant, round(avg(case when w < 0 then 1.0 else 0.0 end), 6) as negative_weight_rate, round(avg(case when cat = 'Pitfall' then 1.0 else 0.0 end), 6) as pitfall_fraction,
  round(avg(case when method = 'unclassified' then 1.0 else 0.0 end), 6) as unclassified_rate, count(distinct method = 'failure') = 1 as single_polarity, round(avg(case when {_BAND} then 1.0 else 0.0 end), 6) as weight_band_rate

@@ -215,3 +215,50 @@ def test_streams(spark, tmp_path):
     assert sorted(r.k for r in spark.read.parquet(str(tmp_path / "table" / latest)).collect()) == ["a", "b", "c"]
     broken = incremental.breaker(stream.withColumn("bad", F.col("n") > 2), "k", "bad", limit=2)
     assert {r.k: r.open for r in run(broken, "breaker", "update").collect()} == {"a": False, "b": False, "c": True}
+
+
+def test_running_totals_and_positions_equal_windows(spark):
+    rng = random.Random(5)
+    rows = [("hot" if rng.random() < 0.9 else rng.choice(["a", None]), i, rng.randrange(40)) for i in range(600)]
+    df = spark.createDataFrame(rows, "g string, id int, v int")
+    got = {r.id: (r._before, r._total) for r in ranking.running_totals(df, ["g"], [F.col("v"), F.col("id")], F.col("v")).collect()}
+    for g in ("hot", "a", None):
+        own, total = sorted((v, i) for h, i, v in rows if h == g), 0
+        for v, i in own:
+            assert got[i] == (total, sum(x for x, _ in own))
+            total += v
+    p = merging.positions(df.where("g is not null"), ["g"], "id", 3).collect()
+    assert sorted(r._i for r in p if r.g == "hot") == list(range(sum(r[0] == "hot" for r in rows)))
+    assert ranking.running_totals(df.limit(0), ["g"], [F.col("id")], F.lit(1)).count() == 0
+
+
+def test_correlations_with_ties(spark):
+    rng = np.random.default_rng(1)
+    x, y = rng.integers(0, 9, 300), rng.integers(0, 9, 300)
+    y = (x + y) // 2
+    df = spark.createDataFrame([("g", int(a), int(b)) for a, b in zip(x, y)] + [("g", None, 1), ("h", 1, 1), ("c", 1, 2), ("c", 1, 3), ("c", 1, 4)], "g string, x int, y int")
+    got = {r.g: r for r in ranking.correlations(df, ["g"], "x", "y").collect()}
+    ranks = lambda v: np.array([(v < a).sum() + ((v == a).sum() + 1) / 2 for a in v])
+    assert got["g"].n == 300 and got["g"].pearson == pytest.approx(np.corrcoef(x, y)[0, 1]) and got["g"].spearman == pytest.approx(np.corrcoef(ranks(x), ranks(y))[0, 1])
+    assert got["h"].pearson is None and got["c"].spearman is None
+
+
+def test_draws_and_units(spark):
+    d = paired.draws(200, 300, 1) % 300
+    assert abs(np.bincount(d.ravel(), minlength=300) / d.size * 300 - 1).max() < 0.4 and len(np.unique(d[:50], axis=0)) == 50
+    df = spark.createDataFrame([("big", i, float(i)) for i in range(5000)] + [("small", i, float(i)) for i in range(30)], "g string, id int, v double")
+    sizes = {r.g: r["count"] for r in paired.units(df, ["g"], ["id"], [F.sum("v").alias("s")]).groupBy("g").count().collect()}
+    assert sizes["small"] == 30 and sizes["big"] <= paired.UNITS
+    got = {r.g: r for r in paired.mean_intervals(df, ["g"], "v", ["id"]).collect()}
+    assert got["big"].mean == 2499.5 and got["big"].se == pytest.approx(np.arange(5000).std() / 5000**0.5, rel=0.15) and got["big"].ci_low < 2499.5 < got["big"].ci_high
+    t = paired.paired_tests(df.select("g", "id", (F.col("v") - 14.5).alias("d")), ["g"], ["id"], 2000).where("g = 'small'").first()
+    assert t.mean == 0 and t.p > 0.9
+
+
+def test_complete_cells_beyond_a_hundred_groups(spark, tmp_path):
+    from tallyframe.plans import evaluation
+
+    rows = [(1000 * u + t, u, f"type{t:03d}", float(t), None) for u in range(3) for t in range(130) if (u, t) != (1, 129)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.user_id: r.n_groups for r in evaluation.complete_cases(spark, str(tmp_path)).collect()}
+    assert got == {0: 130, 2: 130}
