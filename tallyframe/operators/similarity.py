@@ -13,16 +13,19 @@ from tallyframe.functions import lexicon as L
 from tallyframe.session import cut
 
 
-def tfidf_vectors(docs: DataFrame, id_col: str, text_col: str, group: list[str], min_df: int = 1, tokens: Column | None = None) -> DataFrame:
-    """(id, group..., t, x): sublinear term frequency times smoothed inverse document frequency within the group, of unit length.
-    Documents without a term of ``min_df`` documents have no rows."""
+def tfidf_vectors(docs: DataFrame, id_col: str, text_col: str, group: list[str], min_df: int = 1, tokens: Column | None = None, carry: list[str] | None = None) -> DataFrame:
+    """(id, group..., carry..., t, x): sublinear term frequency times smoothed inverse document frequency within the group, of unit length.
+    Documents without a term of ``min_df`` documents have no rows; the columns to carry belong to the document. The length comes from a window over
+    one document's terms."""
     tokens = tokens if tokens is not None else F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(L.VECTOR_TOKEN), F.lit(0))
-    tf = docs.select(id_col, *group, F.explode(tokens).alias("t")).groupBy(id_col, *group, "t").agg((1 + F.log(F.count(F.lit(1)))).alias("tf"))
-    df = tf.groupBy(*group, "t").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df)
+    own = [id_col, *group, *(carry or [])]
+    tf = docs.select(*own, F.explode(tokens).alias("t")).groupBy(*own, "t").agg((1 + F.log(F.count(F.lit(1)))).alias("tf"))
+    df = docs.select(*group, F.explode(F.array_distinct(tokens)).alias("t")).groupBy(*group, "t").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df)
     nd = docs.groupBy(*group).agg(F.count(F.lit(1)).alias("nd"))
-    raw = tf.join(df, [*group, "t"]).join(nd, group).withColumn("x", F.col("tf") * (F.log((1 + F.col("nd")) / (1 + F.col("df"))) + 1))
-    norm = raw.groupBy(id_col).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return raw.join(norm, id_col).select(id_col, *group, "t", (F.col("x") / F.col("norm")).alias("x"))
+    idf = df.join(nd, group).select(*group, "t", (F.log((1 + F.col("nd")) / (1 + F.col("df"))) + 1).alias("idf"))
+    raw = tf.join(idf, [*group, "t"]).withColumn("x", F.col("tf") * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(id_col)))
+    return raw.select(*own, "t", (F.col("x") / norm).alias("x"))
 
 
 def with_pairs(words: Column) -> Column:

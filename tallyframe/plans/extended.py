@@ -71,9 +71,8 @@ select id as criterion_id, other, round(s, 5) as similarity from k where r = 1""
 def nearest_other_question(spark: SparkSession, d: str) -> DataFrame:
     """For every criterion whose id is divisible by 50: the most similar criterion of another question, by TF-IDF cosine over all rows.
     Vectors meet in inverted lists; the exact sum of products is the cosine."""
-    doc = table(spark, d, "criteria").where("uid is not null").select(F.col("criterion_id").alias("id"), "uid", "body")
-    everything = doc.withColumn("g", F.lit(1))
-    vec = similarity.tfidf_vectors(everything, "id", "body", ["g"], tokens=T.content_tokens(F.col("body"))).join(doc.select("id", "uid"), "id")
+    doc = table(spark, d, "criteria").where("uid is not null").select(F.col("criterion_id").alias("id"), "uid", "body", F.lit(1).alias("g"))
+    vec = similarity.tfidf_vectors(doc, "id", "body", ["g"], tokens=T.content_tokens(F.col("body")), carry=["uid"])
     a = vec.where("id % 50 = 0").select("t", F.col("id").alias("a"), F.col("uid").alias("ua"), F.col("x").alias("xa"))
     b = vec.select("t", F.col("id").alias("b"), F.col("uid").alias("ub"), F.col("x").alias("xb"))
     s = a.join(b, "t").where("ua != ub").groupBy("a", "b").agg(F.sum(F.col("xa") * F.col("xb")).alias("s"))

@@ -136,31 +136,31 @@ df as (select t, count(distinct criterion_id) as n from e group by 1), k as (sel
 m as (select criterion_id, string_agg(case when df.n < (select cutoff from k) and t <> '<NUM>' then '<X>' else t end, ' ' order by i) as template from e join df using (t) group by 1)
 select template, count(*) as n, count(distinct uid) as n_questions from m join b using (criterion_id) group by 1 having count(*) >= 2""")
 def templates(spark: SparkSession, d: str) -> DataFrame:
-    """Bodies with numbers and rare words masked, those used twice or more. Rare words come from a join of words, not from a set in
-    memory; the order is restored from positions."""
-    b = table(spark, d, "criteria").select("criterion_id", "uid", T.template_tokens(F.col("body")).alias("ts"))
+    """Bodies with numbers and rare words masked, those used twice or more. The words that aren't rare are at most a thousand times the mean length
+    of a body, whatever the rows, and are looked up in the row."""
+    b = table(spark, d, "criteria").select("uid", T.template_tokens(F.col("body")).alias("ts"))
     cutoff = max(2, int(0.001 * b.count()))
-    e = b.select("criterion_id", "uid", F.posexplode("ts").alias("i", "t"))
-    df = b.select(F.explode(F.array_distinct("ts")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
-    rare = df.where((F.col("n") < cutoff) & (F.col("t") != "<NUM>")).select("t", F.lit("<X>").alias("x"))
-    m = e.join(rare, "t", "left").groupBy("criterion_id", "uid").agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("x", "t").alias("t")))).alias("l"))
-    m = m.select("uid", F.array_join(F.transform("l", lambda s: s["t"]), " ").alias("template"))
+    common = _frequent_tokens(b, cutoff)
+    m = b.select("uid", F.array_join(F.transform("ts", lambda t: F.when(t.isin(*common, "<NUM>"), t).otherwise("<X>")), " ").alias("template")).where(F.size("ts") > 0)
     return m.groupBy("template").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("uid").alias("n_questions")).where("n >= 2")
 
 
+def _frequent_tokens(b: DataFrame, cutoff: int) -> list[str]:
+    """The tokens that at least ``cutoff`` rows have, a share of all rows: no more than mean length over that share, so a list of them fits the plan."""
+    df = b.select(F.explode(F.array_distinct("ts")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    return [r.t for r in df.where(F.col("n") >= cutoff).select("t").collect()]
+
+
 @query(f"""with b as (select criterion_id, {_SQL_TEMPLATE} as ts from criteria), e as (select criterion_id, unnest(ts) as t, generate_subscripts(ts, 1) as i from b),
 df as (select t, count(distinct criterion_id) as n from e group by 1), k as (select cast(floor(0.02 * count(*)) as bigint) as cutoff from criteria),
 m as (select criterion_id, string_agg(t, ' ' order by i) as skeleton from e join df using (t) where df.n >= (select cutoff from k) group by 1)
 select skeleton, count(*) as n from m group by 1 order by n desc, skeleton limit 15""")
 def top_skeletons(spark: SparkSession, d: str) -> DataFrame:
     """What is left of bodies when only words of 2 % of all criteria or more are kept."""
-    b = table(spark, d, "criteria").select("criterion_id", T.template_tokens(F.col("body")).alias("ts"))
-    cutoff = int(0.02 * b.count())
-    e = b.select("criterion_id", F.posexplode("ts").alias("i", "t"))
-    common = b.select(F.explode(F.array_distinct("ts")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= cutoff).select("t")
-    kept = e.join(F.broadcast(common), "t", "left_semi")  # at most 50 times the mean length of a body in words
-    m = kept.groupBy("criterion_id").agg(F.array_sort(F.collect_list(F.struct("i", "t"))).alias("l")).select(F.array_join(F.transform("l", lambda s: s["t"]), " ").alias("skeleton"))
-    return m.groupBy("skeleton").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "skeleton").limit(15)
+    b = table(spark, d, "criteria").select(T.template_tokens(F.col("body")).alias("ts"))
+    common = _frequent_tokens(b, int(0.02 * b.count()))
+    kept = b.select(F.filter("ts", lambda t: t.isin(*common)).alias("k")).where(F.size("k") > 0).select(F.array_join("k", " ").alias("skeleton"))
+    return kept.groupBy("skeleton").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "skeleton").limit(15)
 
 
 _Q = "(select uid, min(ex_id) as ex_id, arg_min(domain, ex_id) as domain, arg_min(split, ex_id) as split, arg_min(question, ex_id) as question, arg_min(reference_answer, ex_id) as reference_answer from examples where uid is not null group by 1)"
@@ -182,6 +182,12 @@ def anchors(spark: SparkSession, d: str) -> DataFrame:
     return tok.join(rare, ["domain", "t"], "left_semi").select("uid", "t").unionByName(number).distinct()
 
 
+def anchor_lists(spark: SparkSession, d: str) -> DataFrame:
+    """(uid, anchors) of every question: no more than its words, so a criterion is compared in its row."""
+    lists = anchors(spark, d).groupBy("uid").agg(F.collect_list("t").alias("anchors"))
+    return questions(spark, d).select("uid").join(lists, "uid", "left").select("uid", F.coalesce("anchors", F.array().cast("array<string>")).alias("anchors"))
+
+
 @query(f"with {_ANCHORS} select uid, count(*) as n_anchors from anch group by 1")
 def question_anchors(spark: SparkSession, d: str) -> DataFrame:
     return anchors(spark, d).groupBy("uid").agg(F.count(F.lit(1)).alias("n_anchors"))
@@ -206,14 +212,11 @@ g as (select n.*, coalesce(n_anchors, 0) as n_anchors, coalesce(n_anchors, 0) =
 def grounded_criteria(spark: SparkSession, d: str) -> DataFrame:
     """Each criterion of a known question with its anchors found, whether it is generic, subjective or about style, and how often
     its title is used by its source and domain."""
-    c = criteria(spark, d)
-    tok = c.select("criterion_id", "uid", F.explode(T.criterion_tokens(F.col("body"))).alias("t"))
-    hits = tok.join(anchors(spark, d), ["uid", "t"]).groupBy("criterion_id").agg(F.count(F.lit(1)).alias("n_anchors"))
-    c = c.withColumn("nt", T.normalised_title(F.col("title"))).join(questions(spark, d).select("uid"), "uid", "left_semi")
+    c = criteria(spark, d).withColumn("nt", T.normalised_title(F.col("title"))).join(anchor_lists(spark, d), "uid")
+    out = c.withColumn("n_anchors", F.size(F.array_intersect(T.criterion_tokens(F.col("body")), F.col("anchors")))).drop("anchors")
     all_titles = criteria(spark, d).select("rubric_source", "domain", T.normalised_title(F.col("title")).alias("nt"))
     reuse = all_titles.groupBy("rubric_source", "domain", "nt").agg(F.count(F.lit(1)).alias("reuse"))
-    out = c.join(hits, "criterion_id", "left").join(reuse, ["rubric_source", "domain", "nt"])
-    out = out.withColumn("n_anchors", F.coalesce("n_anchors", F.lit(0))).withColumn("generic", F.col("n_anchors") == 0)
+    out = out.join(reuse, ["rubric_source", "domain", "nt"]).withColumn("generic", F.col("n_anchors") == 0)
     return out.withColumn("subjective", T.contains_any(F.col("body"), L.SUBJECTIVE_TERMS)).withColumn("style", T.contains_any(F.col("body"), L.STYLE_TERMS))
 
 
@@ -258,14 +261,14 @@ select rubric_source, round(avg(case when n_other is null then 1.0 else 0.0 end)
 from g join o using (uid) left join h2 using (criterion_id) group by 1""")
 def permuted_grounding(spark: SparkSession, d: str) -> DataFrame:
     """Control: criteria against the anchors of another question of the domain, the next one in a seeded hash order."""
-    a = anchors(spark, d)
-    q = questions(spark, d).join(a.select("uid").distinct(), "uid", "left_semi").select("domain", "uid")
+    lists = anchor_lists(spark, d)
+    q = questions(spark, d).select("domain", "uid").join(lists.where(F.size("anchors") > 0), "uid", "left_semi")
     o = merging.shift_partner(q, "domain", "uid", seed=0).withColumnRenamed("partner", "other")
-    g = grounded_criteria(spark, d).join(o, "uid")
-    tok = g.select("criterion_id", "other", F.explode(T.criterion_tokens(F.col("body"))).alias("t"))
-    hits = tok.join(a.select(F.col("uid").alias("other"), "t"), ["other", "t"]).groupBy("criterion_id").agg(F.count(F.lit(1)).alias("n_other"))
-    rate = F.avg(F.when(F.col("n_other").isNull(), 1.0).otherwise(0.0))
-    return g.join(hits, "criterion_id", "left").groupBy("rubric_source").agg(R6(rate).alias("generic_rate_permuted"), R6(rate - F.avg(F.when(F.col("generic"), 1.0).otherwise(0.0))).alias("specificity_lift"))
+    others = o.join(lists.select(F.col("uid").alias("other"), F.col("anchors").alias("foreign")), "other").select("uid", "foreign")
+    g = grounded_criteria(spark, d).join(others, "uid")
+    apart = F.size(F.array_intersect(T.criterion_tokens(F.col("body")), F.col("foreign"))) == 0
+    rate = F.avg(F.when(apart, 1.0).otherwise(0.0))
+    return g.groupBy("rubric_source").agg(R6(rate).alias("generic_rate_permuted"), R6(rate - F.avg(F.when(F.col("generic"), 1.0).otherwise(0.0))).alias("specificity_lift"))
 
 
 _TRI = f"""{S.NORMALISED}, q as (select * from {_Q}), j as (select n.criterion_id, n.rubric_source, n.domain, {S.ngrams(S.content_tokens('n.body'), 3)} as g, {S.ngrams(S.content_tokens('q.reference_answer'), 3)} as r,

@@ -183,7 +183,7 @@ def pitfall_mirrors(spark: SparkSession, d: str) -> DataFrame:
     """Pitfalls that repeat a positive item of their rubric: TF-IDF cosine of texts without polarity openers, with document frequencies
     of the source and domain. Vectors meet on (rubric, word), so only items that share a word are paired."""
     doc = criteria(spark, d).where("uid is not null").select(F.col("criterion_id").alias("id"), *RUBRIC, "domain", (F.col("cat") == "Pitfall").alias("pit"), T.polarity_stripped(F.col("body")).alias("text"))
-    vec = tfidf_vectors(doc, "id", "text", ["rubric_source", "domain"], min_df=2).join(doc.select("id", "run_name", "uid", "pit"), "id")
+    vec = tfidf_vectors(doc, "id", "text", ["rubric_source", "domain"], min_df=2, carry=["run_name", "uid", "pit"])
     a = vec.where("pit").select(*RUBRIC, "t", F.col("id").alias("pitfall"), F.col("x").alias("xa"))
     b = vec.where("not pit").select(*RUBRIC, "t", F.col("id").alias("positive"), F.col("x").alias("xb"))
     sims = a.join(b, [*RUBRIC, "t"]).groupBy(*RUBRIC, "pitfall", "positive").agg(F.sum(F.col("xa") * F.col("xb")).alias("s"))
