@@ -3,7 +3,7 @@
 Pass 1 finds where shared windows can be at all. In each window of ``width`` characters the smallest hash of
 its half-width pieces (its anchor) is the same wherever the window stands, so a window found in two records has
 an anchor found in two records. Anchors are about one per 26 characters and counted over all records.
-Pass 2 hashes every window whose anchor is in two or more records, counts windows over all records, and merges
+Pass 2 hashes every window whose anchor is in two or more records to 128 bits, counts windows over all records, and merges
 those found in another record into maximal intervals. No window that can be shared is left out, while text
 that is unique costs only its anchors. Nothing is compared pairwise: the work follows the number of windows, and
 counts are combined before each shuffle, so a passage in a third of all rows is no hot spot.
@@ -50,13 +50,13 @@ def anchors(records: DataFrame, width: int) -> DataFrame:
     return records.mapInArrow(run, "anchor long, rid long")
 
 
-def in_several(rows: DataFrame, key: str) -> DataFrame:
+def in_several(rows: DataFrame, *key: str) -> DataFrame:
     """Keys that two or more records have."""
-    return rows.groupBy(key).agg(F.min("rid").alias("lo"), F.max("rid").alias("hi")).where("lo != hi").select(key)
+    return rows.groupBy(*key).agg(F.min("rid").alias("lo"), F.max("rid").alias("hi")).where("lo != hi").select(*key)
 
 
 def windows(records: DataFrame, hot: DataFrame, width: int) -> DataFrame:
-    """(window, rid, pos) of every window whose anchor is among the record's anchors in several records."""
+    """(w1, w2, rid, pos) of every window whose anchor is among the record's anchors in several records."""
     with_hot = records.join(hot.groupBy("rid").agg(F.collect_set("anchor").alias("anchors")), "rid")
 
     def run(batches):
@@ -65,11 +65,12 @@ def windows(records: DataFrame, hot: DataFrame, width: int) -> DataFrame:
             values, offsets = flat(b["anchors"])
             # An anchor of another record of the chunk may let a window through here; counting decides anyway.
             keep = np.isin(anchor, values.view(np.uint64))
-            hashed = rolling_hash(mix(points.astype(np.uint64)), width)
+            # Two hashes of each character give two independent hashes of a window.
+            w1, w2 = (rolling_hash(mix(points.astype(np.uint64), salt), width)[at[keep]] for salt in (0, 1))
             rid = b["rid"].to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([as_long(hashed[at[keep]]), pa.array(rid[rows[keep]]), pa.array(inner[keep].astype(np.int32))], ["window", "rid", "pos"])
+            yield pa.RecordBatch.from_arrays([as_long(w1), as_long(w2), pa.array(rid[rows[keep]]), pa.array(inner[keep].astype(np.int32))], ["w1", "w2", "rid", "pos"])
 
-    return with_hot.mapInArrow(run, "window long, rid long, pos int")
+    return with_hot.mapInArrow(run, "w1 long, w2 long, rid long, pos int")
 
 
 def merged(positions: DataFrame, width: int) -> DataFrame:
@@ -96,12 +97,12 @@ def shared_spans(records: DataFrame, width: int = 100) -> DataFrame:
 
     Defined cases: NULL and texts shorter than ``width`` have no spans; a stretch repeated only within its own record isn't
     shared; equal texts share all of themselves; an empty table gives no rows; long texts are hashed whole.
-    Windows count as equal if their 64-bit hashes are."""
+    Windows count as equal if their 128-bit hashes are."""
     records = records.select("rid", "text").where(F.length("text") >= width)
     pairs = anchors(records, width)
     hot = pairs.join(in_several(pairs, "anchor"), "anchor", "left_semi")
     found = windows(records, hot, width)
-    shared = found.join(in_several(found, "window"), "window", "left_semi")
+    shared = found.join(in_several(found, "w1", "w2"), ["w1", "w2"], "left_semi")
     return merged(shared, width)
 
 
