@@ -1,9 +1,9 @@
 """Problem 10: reading level of each document, by regularised ordinal regression.
 
 Features are computed for every document in one vectorised pass: lexical diversity, word rarity, connectives, a
-clause-depth proxy and lengths of words, sentences and text. Rarity comes from counts of all words of all
-documents, kept in a count-min table of fixed size (two rows of SLOTS counters), so that what is broadcast doesn't
-grow with the vocabulary. The model shares one weight vector between the thresholds of neighbouring grades
+clause-depth proxy and lengths of words, sentences and text. Rarity is the logarithm of how many words of the corpus there are to one
+of this word. Words are counted exactly; those of a share of SHARE or more, at most 1 / SHARE of them whatever the corpus, are kept
+with their counts, and rarer ones all count as of that share, so a word's rarity doesn't drift as the corpus grows. The model shares one weight vector between the thresholds of neighbouring grades
 (all-threshold logistic loss, convex, L2); its strength is chosen by cross-validation. It is fitted on at most
 ``fit_rows`` ratings, taken in hash order; every document is scored.
 """
@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.textarrays import chunks, classify, code_points, mix, powers, prefix_hash, runs, word_hashes
+from tallyframe.session import cut
 
-SLOTS = 1 << 16
+SHARE = 2e-6
 FIT_ROWS = 5000
 STRENGTHS = (0.01, 0.1, 1.0, 10.0, 100.0)
 FEATURES = ["letters_per_word", "words_per_sentence", "diversity", "rarity", "rare_share", "connectives", "clause_depth", "long_share", "log_words"]
@@ -43,30 +44,48 @@ def _words(texts: list[str | None]):
     return points, starts, begins, ends, offsets, mix((p[ends] - p[begins]) * powers(len(points), inverse=True)[begins])
 
 
-def _slots(hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (mix(hashed, 1) % np.uint64(SLOTS)).astype(np.int64), (mix(hashed, 2) % np.uint64(SLOTS)).astype(np.int64) + SLOTS
+class WordShares:
+    """Rarity of word hashes from the counts (sorted by hash) of the frequent ones and the number of all words."""
 
+    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int):
+        self.words, self.total = words, max(total, 1)
+        self.rarity = np.log(self.total / np.maximum(counts, 1))
+        self.most = -np.log(max(SHARE, 1 / self.total))
 
-def word_counts(documents: DataFrame, text_col: str) -> np.ndarray:
-    """The count-min table of all words: 2 x SLOTS counters. Each task sums its own before anything is shuffled."""
+    def of(self, hashed: np.ndarray) -> np.ndarray:
+        if not len(self.words):
+            return np.full(len(hashed), self.most)
+        at = np.minimum(np.searchsorted(self.words, hashed), len(self.words) - 1)
+        return np.where(self.words[at] == hashed, np.minimum(self.rarity[at], self.most), self.most)
 
-    def run(batches):
-        table = np.zeros(2 * SLOTS, np.int64)
-        for b in chunks(batches, "text"):
-            hashed = _words(b["text"].to_pylist())[5]
-            for s in _slots(hashed):
-                table += np.bincount(s, minlength=2 * SLOTS)
-        used = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(table[used])], ["slot", "n"])
 
-    rows = documents.select(F.col(text_col).alias("text")).mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(2 * SLOTS, np.int64)
-    if rows:
-        out[[r.slot for r in rows]] = [r.n for r in rows]
-    return out
+def word_shares(documents: DataFrame, text_col: str) -> WordShares:
+    """Counts of all words, combined within tasks before they are shuffled."""
 
+    def counted(parts: list[np.ndarray]) -> pa.RecordBatch:
+        words, counts = np.unique(np.concatenate(parts), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], ["w", "n"])
 
-def features(texts: list[str | None], table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def run(batches):
+        parts, size = [], 0
+        for b in chunks(batches, "text"):
+            parts.append(_words(b["text"].to_pylist())[5])
+            size += len(parts[-1])
+            if size > 1 << 20:
+                yield counted(parts)
+                parts, size = [], 0
+        if size:
+            yield counted(parts)
+
+    counts = cut(documents.select(F.col(text_col).alias("text")).mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")))
+    total = counts.agg(F.sum("n").alias("n")).first().n or 0
+    kept = counts.where(F.col("n") >= SHARE * total).toPandas().sort_values("w")
+    words = kept["w"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(words)
+    return WordShares(words[order], kept["n"].to_numpy(np.int64)[order], total)
+
+
+def features(texts: list[str | None], shares: WordShares) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(words, sentences, feature matrix) of texts. A word is a maximal run of letters; a sentence ends at a line break or
     at . ! ? followed by white space and has a word. A text without words has zeros throughout."""
     points, starts, begins, ends, offsets, hashed = _words(texts)
@@ -91,9 +110,7 @@ def features(texts: list[str | None], table: np.ndarray) -> tuple[np.ndarray, np
     first = np.ones(len(rows), bool)
     first[1:] = (hashed[order][1:] != hashed[order][:-1]) | (rows[order][1:] != rows[order][:-1])
     distinct = np.bincount(rows[order][first], minlength=n)
-    a, b = _slots(hashed)
-    seen = np.maximum(np.minimum(table[a], table[b]), 1)
-    rarity = np.log(max(int(table[:SLOTS].sum()), 1) / seen)
+    rarity = shares.of(hashed)
     joins = np.isin(hashed, word_hashes(CONNECTIVES)[0])
     commas = np.bincount(np.searchsorted(starts, np.flatnonzero(np.isin(points, [ord(c) for c in ",;:("])), side="right") - 1, minlength=n)
     matrix = np.column_stack([
@@ -132,11 +149,17 @@ class OrdinalModel:
         return self.grades[0] + p @ gaps, self.grades[(p >= 0.5).sum(1)]
 
 
-def fitted(x: np.ndarray, y: np.ndarray) -> OrdinalModel | None:
-    """The model with the strength of least absolute error in five-fold cross-validation; None if fewer than two grades."""
+def folds(ids: np.ndarray) -> np.ndarray:
+    """One of five folds for each document, so that several ratings of one stay together."""
+    return (mix(np.asarray(ids, np.int64).view(np.uint64), 31) % np.uint64(5)).astype(int)
+
+
+def fitted(x: np.ndarray, y: np.ndarray, ids: np.ndarray | None = None) -> OrdinalModel | None:
+    """The model with the strength of least absolute error in five-fold cross-validation, in folds of documents (of rows without their ids);
+    None if fewer than two grades."""
     if len(np.unique(y)) < 2:
         return None
-    fold = np.arange(len(y)) % 5
+    fold = np.arange(len(y)) % 5 if ids is None else folds(ids)
 
     def error(strength: float) -> float:
         total = 0.0
@@ -149,20 +172,36 @@ def fitted(x: np.ndarray, y: np.ndarray) -> OrdinalModel | None:
     return OrdinalModel(x, y, min(STRENGTHS, key=error))
 
 
-def labelled_features(documents: DataFrame, doc_id: str, text_col: str, labels: DataFrame, table, fit_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features and grades of at most ``fit_rows`` ratings, in the order of a hash of the rating; NULL grades are left out."""
+def labelled_features(documents: DataFrame, doc_id: str, text_col: str, labels: DataFrame, table, fit_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, grades and documents of at most ``fit_rows`` ratings, in the order of a hash of the rating; NULL grades are left out."""
     rated = labels.where("doc_id is not null and grade is not null").select(F.col("doc_id").alias("id"), "grade", F.xxhash64("doc_id", "rater", "rated_at").alias("h"))
     sample = F.broadcast(rated.orderBy("h", "id", "grade").limit(fit_rows))
-    texts = documents.select(F.col(doc_id).alias("id"), F.col(text_col).alias("text")).join(sample, "id").select("h", "grade", "text")
+    texts = documents.select(F.col(doc_id).alias("id"), F.col(text_col).alias("text")).join(sample, "id").select("h", "grade", "id", "text")
 
     def run(batches):
         for b in chunks(batches, "text"):
             matrix = features(b["text"].to_pylist(), table.value)[2]
             values = pa.ListArray.from_arrays(pa.array(np.arange(len(matrix) + 1, dtype=np.int32) * len(FEATURES)), pa.array(matrix.ravel()))
-            yield pa.RecordBatch.from_arrays([b["h"], b["grade"].cast(pa.int32()), values], ["h", "grade", "x"])
+            yield pa.RecordBatch.from_arrays([b["h"], b["grade"].cast(pa.int32()), b["id"].cast(pa.int64()), values], ["h", "grade", "id", "x"])
+
+    rows = sorted(texts.mapInArrow(run, "h long, grade int, id long, x array<double>").collect())
+    return np.array([r.x for r in rows]).reshape(-1, len(FEATURES)), np.array([r.grade for r in rows], np.int64), np.array([r.id for r in rows], np.int64)
+
 
-    rows = sorted(texts.mapInArrow(run, "h long, grade int, x array<double>").collect())
-    return np.array([r.x for r in rows]).reshape(-1, len(FEATURES)), np.array([r.grade for r in rows], np.int64)
+def held_out_agreement(documents: DataFrame, doc_id: str, text_col: str, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """(n_ratings, exact, within_one): how the levels of documents agree with their grades when each fifth of the documents is scored by a model of the
+    others. No rows without grades of two kinds."""
+    spark = documents.sparkSession
+    x, y, ids = labelled_features(documents, doc_id, text_col, labels, spark.sparkContext.broadcast(word_shares(documents, text_col)), fit_rows)
+    gaps = []
+    for f in range(5):
+        train, held = folds(ids) != f, folds(ids) == f
+        model = fitted(x[train], y[train], ids[train]) if held.any() else None
+        if model:
+            gaps.append(np.abs(model.predict(x[held])[1] - y[held]))
+    gaps = np.concatenate(gaps) if gaps else np.zeros(0)
+    rows = [(len(gaps), float((gaps == 0).mean()), float((gaps <= 1).mean()))] if len(gaps) else []
+    return spark.createDataFrame(rows, "n_ratings long, exact double, within_one double")
 
 
 def reading_levels(documents: DataFrame, doc_id: str, text_col: str, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -173,7 +212,7 @@ def reading_levels(documents: DataFrame, doc_id: str, text_col: str, labels: Dat
     labels of two different grades every score and level is NULL; NULL grades are ignored, several ratings of a document all
     count; rows with a NULL id are left out; repeated rows are scored each; an empty table gives no rows; texts are read whole."""
     context = documents.sparkSession.sparkContext
-    table = context.broadcast(word_counts(documents, text_col))
+    table = context.broadcast(word_shares(documents, text_col))
     model = context.broadcast(fitted(*labelled_features(documents, doc_id, text_col, labels, table, fit_rows)))
 
     def run(batches):
