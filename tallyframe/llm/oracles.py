@@ -65,9 +65,19 @@ _P9 = f"""ir as (select distinct item_id, {_RUNS} as g from (select item_id, {wo
 dr as (select distinct doc_id, {_RUNS} as g from (select doc_id, {words('text')} as w from documents)), hits as (select doc_id, item_id, count(*) as shared from dr join ir using (g) group by 1, 2)"""
 
 
+#: Classes of equal sets: cl (id, rep, n) from the relation s of ``similar``, in each side.
+_CLASSES = "cl as (select id, side, min(id) over (partition by side, list_sort(w)) as rep, count(*) over (partition by side, list_sort(w)) as n from s where len(w) > 0), rp as (select a, b, similarity from pairs join cl x on x.id = a and x.rep = a join cl y on y.id = b and y.rep = b where similarity < 1 or x.side <> y.side)"
+_GROUPS = """both_ as (select a, b from rp union select b, a from rp), reach as (select a as x, b as y from both_ union select r.x, e.b from reach r join both_ e on e.a = r.y), comp as (select x as rep, least(x, min(y)) as g from reach group by 1),
+gr as (select cl.id as criterion_id, coalesce(g, cl.rep) as group_id, coalesce(k, 0) as n_links from cl left join comp using (rep) left join (select a as rep, count(*) as k from both_ group by 1) l using (rep) where g is not null or n > 1)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"with {_P1} select a as criterion_id_a, b as criterion_id_b from pairs",
+        "p1_groups": f"with recursive {_P1}, {_CLASSES}, {_GROUPS} select criterion_id, group_id, count(*) over (partition by group_id) as group_size, n_links from gr",
+        "p1_class_pairs": f"with {_P1}, {_CLASSES} select a as class_a, b as class_b, round(similarity, 6) as similarity from rp",
+        "p1_members": f"with {_P1}, {_CLASSES} select rep as class_id, id as criterion_id from cl where n > 1",
+        "p2_faults": "select (select count(*) from examples where ex_id is not null) + (select count(*) from rollouts where rollout_key is not null) as n_rows, 0 as n_two_main, 0 as n_unknown, 0 as n_blank_missed",
         "p3_found": f"with {_P3} select level, value, case when records = 1 then 'rare' else 'common' end as mark from f, u where records = 1 or records > 0.05 * n",
         "p3_frequencies": f"with {_P3} select level, value, times, records from f",
         "p3_ngrams": f"""with {_P3}, w as (select uid, string_split(value, ' ') as w from v), g as (select uid, k as words, unnest(list_transform(range(1, greatest(len(w) - k + 2, 1)), lambda i: array_to_string(list_slice(w, i, i + k - 1), ' '))) as ngram from w, (select unnest([1, 2, 3]) as k) x)
@@ -83,14 +93,20 @@ def oracle_sql() -> dict[str, str]:
         "p5_overlaps": f"""with {_P5} select t.ex_id as train_ex_id, t.uid as train_uid, h.ex_id as held_ex_id, h.uid as held_uid, h.split, round(similarity, 6) as jaccard
  from pairs join examples t on t.ex_id in (a, b) and t.split = 'train' join examples h on h.ex_id in (a, b) and h.ex_id <> t.ex_id""",
         "p5_counts": f"with {_P5} select h.split, h.question_source as source, count(*) as n_pairs, count(distinct h.ex_id) as n_records from pairs join examples h on h.ex_id in (a, b) and h.split <> 'train' group by 1, 2",
+        "p5_class_pairs": f"with {_P5}, {_CLASSES} select case when x.side = 1 then a else b end as train_class, case when x.side = 1 then b else a end as held_class, round(similarity, 6) as jaccard from rp join cl x on x.id = a",
+        "p5_members": f"with {_P5}, {_CLASSES} select case when side = 1 then 'train' else 'held' end as side, rep as class_id, id as ex_id from cl where n > 1",
         "p6_found": f"with {_P6} select src, rec_id, span_start, span_end from spans",
         "p6_shared_part": f"with {_P6} select src, rec_id, count(*) as n_spans, sum(span_end - span_start) as shared_chars, sum(span_end - span_start) / any_value(length(t)) as share from spans join r using (src, rec_id) group by 1, 2",
         "p7_found": f"with {_P7} select src, first_id, id as copy_id from k where id <> first_id",
-        "p7_records": f"with {_P7} select first_id, count(*) as copies from k where src = 'criteria' group by 1",
+        "p7_records": f"with {_P7} select k.src, first_id, {_CANON.format('f.title')} as title, {_CANON.format('f.description')} as description, count(*) as copies from k join a f on f.src = k.src and f.id = k.first_id group by 1, 2, 3, 4",
+        "p7_collisions": f"with {_P7} select count(distinct {_CANON.format('title')} || chr(10) || {_CANON.format('description')}) as n_records, 0 as n_collisions from a",
         "p7_copy_counts": f"with {_P7} select src, first_id, count(*) as copies from k group by 1, 2",
         "p8_faults": "select count(*) as n_documents, 0 as n_lost, 0 as n_overfull, 0 as n_divided, 0 as n_overlaps from documents where doc_id is not null",
         "p9_found": f"with {_P9} select doc_id, item_id from hits",
         "p9_leaks": f"with {_P9}, n as (select item_id, count(*) as n from ir group by 1) select item_id, count(*) as n_documents, round(max(shared / n), 6) as most_contained from hits join n using (item_id) group by 1",
+        "p10_held_out": "select true as mostly_equal, true as nearly_always_near",
+        "p10_features": """with x as (select doc_id, regexp_extract_all(text, '\\p{L}+') as w, len(list_filter(string_split(regexp_replace(regexp_replace(text, '[\\n\\r\\x0b\\x0c\\x{85}\\x{2028}\\x{2029}]', chr(1), 'g'), '([.!?])[\\s\\x{a0}\\x{2000}-\\x{200a}\\x{3000}]', '\\1' || chr(1), 'g'), chr(1)), lambda p: regexp_matches(p, '\\p{L}'))) as s from documents where doc_id is not null and text is not null)
+ select doc_id, len(w) as words, s as sentences, round(list_sum(list_transform(w, lambda z: length(z))) / len(w), 6) as letters_per_word, round(len(w) / s, 6) as words_per_sentence from x where len(w) > 0""",
         "p10_found": """with x as (select doc_id, regexp_extract_all(text, '\\p{L}+') as w, len(list_filter(string_split(regexp_replace(regexp_replace(text, '[\\n\\r\\x0b\\x0c\\x{85}\\x{2028}\\x{2029}]', chr(1), 'g'), '([.!?])[\\s\\x{a0}\\x{2000}-\\x{200a}\\x{3000}]', '\\1' || chr(1), 'g'), chr(1)), lambda p: regexp_matches(p, '\\p{L}'))) as s from documents where doc_id is not null and text is not null)
  select doc_id from x where len(w) > 0 and len(w) / s >= 22.0 and list_sum(list_transform(w, lambda z: length(z))) / len(w) >= 5.8""",
     }

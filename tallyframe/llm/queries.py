@@ -21,6 +21,18 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return groups.withColumnRenamed("id", "criterion_id")
 
 
+def p1_class_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Alike word sets, each named by its first row: with p1_members all pairs of p1_found, however many rows are equal."""
+    pairs, _ = near_duplicates.near_duplicate_classes(table(spark, d, "criteria"), "criterion_id", ["title", "description"], 0.75)
+    return pairs.select(F.least("a", "b").alias("class_a"), F.greatest("a", "b").alias("class_b"), F.round("similarity", 6).alias("similarity"))
+
+
+def p1_members(spark: SparkSession, d: str) -> DataFrame:
+    """The class of each row whose word set another row has too."""
+    _, copies = near_duplicates.near_duplicate_classes(table(spark, d, "criteria"), "criterion_id", ["title", "description"], 0.75)
+    return copies.select(F.col("rep").alias("class_id"), F.col("id").alias("criterion_id"))
+
+
 def _p2_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Answers of examples and rollouts with their question; a uid names one question."""
     examples, rollouts = table(spark, d, "examples"), table(spark, d, "rollouts")
@@ -35,6 +47,15 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return defects.defect_labels(_p2_pairs(spark, d)).where("rank = 1").select("src", "rec_id", "defect")
 
 
+def p2_faults(spark: SparkSession, d: str) -> DataFrame:
+    """What must not happen: rows with two main defects, defects of rows that don't exist, answers of blanks only that aren't empty."""
+    pairs = _p2_pairs(spark, d)
+    labels = cut(defects.defect_labels(pairs))
+    main = labels.where("rank = 1").groupBy("src", "rec_id").agg(F.count(F.lit(1)).alias("n"), F.min("defect").alias("defect"))
+    both = pairs.select("src", "rec_id", (F.trim(F.coalesce("answer", F.lit(""))) == "").alias("blank")).join(main, ["src", "rec_id"], "full")
+    return both.agg(F.count("blank").alias("n_rows"), F.count_if(F.col("n") > 1).alias("n_two_main"), F.count_if(F.col("blank").isNull()).alias("n_unknown"), F.count_if(F.col("blank") & (F.coalesce("defect", F.lit("")) != "empty")).alias("n_blank_missed"))
+
+
 def p2_labels(spark: SparkSession, d: str) -> DataFrame:
     """All labels of each defective pair, with posteriors."""
     return defects.defect_labels(_p2_pairs(spark, d)).select("src", "rec_id", "defect", F.round("posterior", 6).alias("posterior"), "rank")
@@ -92,6 +113,19 @@ def p5_counts(spark: SparkSession, d: str) -> DataFrame:
     return cross_split.overlap_counts(table(spark, d, "examples"), "ex_id", "question", F.col("split") == "train", "split", "question_source", 0.75)
 
 
+def p5_class_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Alike word sets of train and other rows, each named by its first row there."""
+    good, _, _ = cross_split.cross_split_classes(table(spark, d, "examples"), "ex_id", "question", F.col("split") == "train", 0.75)
+    return good.select(F.col("a").alias("train_class"), F.col("b").alias("held_class"), F.round("jaccard", 6).alias("jaccard"))
+
+
+def p5_members(spark: SparkSession, d: str) -> DataFrame:
+    """The class of each row whose word set another row of its side has too."""
+    _, sides, classes = cross_split.cross_split_classes(table(spark, d, "examples"), "ex_id", "question", F.col("split") == "train", 0.75)
+    parts = [cross_split.members(s, c).select(F.lit(name).alias("side"), F.col("rep").alias("class_id"), F.col("id").alias("ex_id")) for name, s, c in zip(("train", "held"), sides, classes)]
+    return parts[0].unionByName(parts[1])
+
+
 def _p6_records(spark: SparkSession, d: str) -> DataFrame:
     """Both tables as records; the id's lowest bit tells the table."""
     examples = table(spark, d, "examples").select((F.col("ex_id") * 2).alias("rid"), F.col("reference_answer").alias("text"))
@@ -125,9 +159,17 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_records(spark: SparkSession, d: str) -> DataFrame:
-    """One record for each canonical text of criteria, with its number of copies."""
-    prints = canonical_copies.fingerprints(table(spark, d, "criteria"), "criterion_id", "title", "description")
-    return canonical_copies.copy_groups(prints).select("first_id", "copies")
+    """One record for each canonical text of criteria and of raw_entries, in canonical form, with its number of copies."""
+    criteria = canonical_copies.records(table(spark, d, "criteria"), "criterion_id", "title", "description")
+    entries = canonical_copies.records(canonical_copies.parsed_entries(table(spark, d, "raw_entries")), "id", "title", "description")
+    return criteria.select(F.lit("criteria").alias("src"), "*").unionByName(entries.select(F.lit("raw_entries").alias("src"), "*"))
+
+
+def p7_collisions(spark: SparkSession, d: str) -> DataFrame:
+    """Canonical texts of both tables together, and 128-bit hashes that two of them share."""
+    criteria = canonical_copies.fingerprints(table(spark, d, "criteria"), "criterion_id", "title", "description")
+    entries = canonical_copies.fingerprints(canonical_copies.parsed_entries(table(spark, d, "raw_entries")), "id", "title", "description")
+    return canonical_copies.collisions(criteria.unionByName(entries))
 
 
 def p7_copy_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -177,6 +219,18 @@ def p10_levels(spark: SparkSession, d: str) -> DataFrame:
     return levels.select("doc_id", "words", "sentences", F.round("score", 4).alias("score"), "level")
 
 
+def p10_features(spark: SparkSession, d: str) -> DataFrame:
+    """The counts and lengths that the levels rest on."""
+    levels = reading_level.reading_levels(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "reading_labels"))
+    return levels.where("words > 0").select("doc_id", "words", "sentences", F.round("letters_per_word", 6).alias("letters_per_word"), F.round("words_per_sentence", 6).alias("words_per_sentence"))
+
+
+def p10_held_out(spark: SparkSession, d: str) -> DataFrame:
+    """Whether levels of documents that the model didn't see equal the grade in 60 % of ratings and are within one in 95 %."""
+    got = reading_level.held_out_agreement(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "reading_labels"))
+    return got.select((F.col("exact") >= 0.6).alias("mostly_equal"), (F.col("within_one") >= 0.95).alias("nearly_always_near"))
+
+
 def p10_agreement(spark: SparkSession, d: str) -> DataFrame:
     """Levels against human grades: ratings by grade and level."""
     labels = table(spark, d, "reading_labels").where("grade is not null")
@@ -185,9 +239,9 @@ def p10_agreement(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
-    p1_found, p1_groups, p2_found, p2_labels, p3_found, p3_frequencies, p3_ngrams, p3_list_check, p4_found, p4_rates, p4_spikes,
-    p5_found, p5_overlaps, p5_counts, p6_found, p6_shared_part, p7_found, p7_records, p7_copy_counts, p8_sequences, p8_faults, p8_report, p9_found, p9_leaks,
-    p10_found, p10_levels, p10_agreement,
+    p1_found, p1_groups, p1_class_pairs, p1_members, p2_found, p2_labels, p2_faults, p3_found, p3_frequencies, p3_ngrams, p3_list_check, p4_found, p4_rates, p4_spikes,
+    p5_found, p5_overlaps, p5_counts, p5_class_pairs, p5_members, p6_found, p6_shared_part, p7_found, p7_records, p7_copy_counts, p7_collisions, p8_sequences, p8_faults, p8_report,
+    p9_found, p9_leaks, p10_found, p10_levels, p10_features, p10_held_out, p10_agreement,
 ]
 
 

@@ -343,3 +343,43 @@ def test_copied_runs_equal_brute_force():
         q, a = rng.choices("abc", k=rng.randrange(40)), rng.choices("abc", k=rng.randrange(60))
         assert defects.copied(a, q) == slow(a, q)
     assert defects.copied(["a"] * 20_000, ["a"] * 20_000) == (20_000, 20_000)
+
+
+def test_records_with_folded_characters(spark):
+    rows = [(3, "Ｆｕｌｌ width", "ﬁne", 1), (1, "full width", "fine", 2), (2, "FULL  Width!", "fine.", 3), (5, "cafe\u0301", None, 4), (6, "caf\u00e9", "", 5), (None, "x", "y", 6), (7, None, None, 7)]
+    df = spark.createDataFrame(rows, "id long, title string, description string, first_id int")
+    plain = {r.first_id: (r.title, r.description, r.copies) for r in canonical_copies.records(df, "id", "title", "description").collect()}
+    assert plain[1] == ("full width", "fine", 2) and plain[3][2] == 1 and plain[7] == ("", "", 1) and len(plain) == 5
+    folded = {r.first_id: r.copies for r in canonical_copies.records(df, "id", "title", "description", fold=True).collect()}
+    assert folded == {1: 3, 5: 2, 7: 1}
+    assert canonical_copies.collisions(canonical_copies.fingerprints(df, "id", "title", "description")).first() == (5, 0)
+    same = canonical_copies.fingerprints(df, "id", "title", "description").withColumn("k1", F.lit(1)).withColumn("k2", F.lit(1))
+    assert canonical_copies.collisions(same).first() == (5, 1) and canonical_copies.collisions(same.limit(0)).first() == (0, 0)
+
+
+def test_rarity_does_not_drift_with_the_corpus(spark):
+    """Ten times the same corpus: a word's rarity stays, and words below the least share count as of that share."""
+    texts = [f"common common word{i % 7} only{i}" for i in range(200)]
+    one = reading_level.word_shares(spark.createDataFrame([(t,) for t in texts], "text string"), "text")
+    ten = reading_level.word_shares(spark.createDataFrame([(t,) for t in texts * 10], "text string"), "text")
+    hashed = X.word_hashes(["common absent"])[0]
+    # Words here are runs of letters: "common", "word", "only".
+    assert one.total == 800 and ten.total == 8000 and one.of(hashed)[0] == ten.of(hashed)[0] == pytest.approx(np.log(2))
+    assert one.of(hashed)[1] == pytest.approx(np.log(800)) and len(ten.words) == 3
+    assert len(reading_level.word_shares(spark.createDataFrame([], "text string"), "text").words) == 0
+
+
+def test_folds_keep_a_document_together():
+    ids = np.repeat(np.arange(200), 3)
+    f = reading_level.folds(ids)
+    assert all(len(set(f[ids == i])) == 1 for i in range(200)) and set(f) == set(range(5))
+
+
+def test_held_out_agreement(spark):
+    rng = random.Random(5)
+    easy, hard = "We see the cat. It is big. The sun is red.", "Considerations regarding microcirculation demonstrate heterogeneity; consequently spectroscopy exacerbates approximation whereas characterization substantiates it."
+    d = spark.createDataFrame([(i, " ".join([easy if i % 2 else hard] * rng.randrange(1, 4))) for i in range(60)], "doc_id long, text string")
+    r = spark.createDataFrame([(i, x, 1 if i % 2 else 5, None) for i in range(60) for x in "ab"], "doc_id long, rater string, grade int, rated_at timestamp")
+    got = reading_level.held_out_agreement(d, "doc_id", "text", r).first()
+    assert (got.n_ratings, got.exact) == (120, 1.0)
+    assert reading_level.held_out_agreement(d, "doc_id", "text", r.limit(0)).count() == 0
