@@ -78,7 +78,8 @@ def read_sorted(frames):
 
 def ngram_counts(rows: DataFrame, words: Column, record: Column, longest: int | None = None, shards: int | None = None) -> DataFrame:
     """(kind, ngram, words, times, records): how often each n-gram of up to ``longest`` words occurs and in
-    how many distinct records. kind is ``value`` for whole texts, ``ngram`` else (a one-word text is both).
+    how many distinct records. kind is ``value`` for whole texts, ``ngram`` else (a one-word text is both). Without ``shards`` they are
+    as many as shuffle partitions; ``shards_for`` gives so many that a shard's record set stays small.
 
     Defined cases: NULL and empty texts, and rows with a NULL record key, give nothing; repeated rows count each
     time in ``times`` and once in ``records``; an empty table gives no rows; texts of any length are used whole
@@ -100,12 +101,20 @@ def ngram_counts(rows: DataFrame, words: Column, record: Column, longest: int |
     return out if longest is None else out.where(F.col("words") < longest)
 
 
+SHARD_RECORDS = 50_000
+
+
+def shards_for(spark, records: int) -> int:
+    """Shards of at most about SHARD_RECORDS record keys each, so that no record set on a stack outgrows that."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), records // SHARD_RECORDS + 1)
+
+
 def marked_values(rows: DataFrame, text_col: str, record_col: str, rare: int = 1, common: float = 0.05) -> DataFrame:
     """(level, value, times, records, mark): whole values (level ``title``) and single words (``term``) with mark
     ``rare`` if found in at most ``rare`` records, ``common`` if in more than the share ``common`` of all distinct
     record keys, else NULL."""
     total = rows.agg(F.count_distinct(F.col(record_col)).alias("n")).first().n
-    counts = ngram_counts(rows, title_words(F.col(text_col)), F.col(record_col)).where("kind = 'value' or words = 1")
+    counts = ngram_counts(rows, title_words(F.col(text_col)), F.col(record_col), shards=shards_for(rows.sparkSession, total)).where("kind = 'value' or words = 1")
     mark = F.when(F.col("records") <= rare, "rare").when(F.col("records") > common * total, "common")
     return counts.select(F.when(F.col("kind") == "value", "title").otherwise("term").alias("level"), F.col("ngram").alias("value"), "times", "records", mark.alias("mark"))
 
