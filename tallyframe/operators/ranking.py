@@ -56,6 +56,19 @@ def value_ranks(counts: DataFrame, group: list[str], value: str, n: str) -> Data
     return ranked.withColumn("_r", F.col("_before") + (F.col(n) + 1) / 2.0)
 
 
+def quantiles(df: DataFrame, group: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """(group, a column for each share): quantiles with linear interpolation, from the counts of distinct values, so that no task holds all of a group's."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    r = running_totals(counts, group, [F.col("_v")], F.col("_c"))
+    at = lambda place: F.max(F.when((F.col("_before") <= place) & (place < F.col("_before") + F.col("_c")), F.col("_v")))
+    parts = []
+    for name, p in shares.items():
+        h = (F.col("_total") - 1) * p
+        low, high = at(F.floor(h)), at(F.ceil(h))
+        parts.append((low + (F.max(h) - F.floor(F.max(h))) * (high - low)).alias(name))
+    return r.groupBy(*group).agg(*parts)
+
+
 def rank_auc(df: DataFrame, group: list[str], score: str, positive: Column) -> DataFrame:
     """(group, n_pos, n_neg, auc): Mann-Whitney with ties at one half; NULL if a class is empty. NULL scores are left out. Ranks come from the
     counts of distinct scores."""

@@ -51,39 +51,53 @@ def cosine_pairs(vectors: DataFrame, id_col: str, within: list[str], threshold:
     return pairs.where(F.col("s") > threshold)
 
 
+def packed_vectors(rows: DataFrame, id_col: str, vector_col: str, size: int) -> DataFrame:
+    """(ids, matrix): up to ``size`` vectors of a task as one row, of unit length, in bytes."""
+
+    def run(frames):
+        ids, parts, n = [], [], 0
+        for f in frames:
+            for at in range(0, len(f), size):
+                g = f.iloc[at : at + size]
+                v = np.stack(g["v"].to_numpy()).astype(float)
+                ids.append(g["id"].to_numpy(np.int64))
+                parts.append(v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12))
+                n += len(g)
+                if n >= size:
+                    yield pd.DataFrame({"ids": [np.concatenate(ids).tobytes()], "matrix": [np.concatenate(parts).tobytes()]})
+                    ids, parts, n = [], [], 0
+        if n:
+            yield pd.DataFrame({"ids": [np.concatenate(ids).tobytes()], "matrix": [np.concatenate(parts).tobytes()]})
+
+    picked = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id is not null and v is not null")
+    return picked.mapInPandas(run, "ids binary, matrix binary")
+
+
 def nearest_vectors(rows: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int, block: int = 1024) -> DataFrame:
     """(query, id, rank, s): the k nearest rows of each query by cosine, itself excluded, ties by id.
 
-    Exact search of a stated query set: queries are packed into blocks of fixed size, each block meets every batch of rows
-    as one matrix product, and only the k best of a batch go on to the final ranking."""
-    packed = queries.select(F.col(id_col).alias("q"), F.col(vector_col).alias("v"))
-    found = None
-    ids = [r.q for r in packed.select("q").orderBy("q").toLocalIterator()]
-    for at in range(0, len(ids), block):
-        low, high = ids[at], ids[min(at + block, len(ids)) - 1]
-        rows_of = packed.where(F.col("q").between(low, high)).collect()
-        matrix = np.array([r.v for r in rows_of], float)
-        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
-        shared = rows.sparkSession.sparkContext.broadcast((np.array([r.q for r in rows_of]), matrix))
-
-        def run(frames, shared=shared):
-            names, m = shared.value
-            for f in frames:
-                if not len(f):
-                    continue
-                v = np.stack(f["v"].to_numpy()).astype(float)
-                s = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)) @ m.T
-                s[f["id"].to_numpy()[:, None] == names[None, :]] = -np.inf
-                top = min(k + 1, len(s))
-                best = np.argpartition(-s, top - 1, axis=0)[:top] if top < len(s) else np.tile(np.arange(len(s))[:, None], len(names))
+    Exact search of a stated query set: queries and rows are packed into blocks of fixed size, which are rows themselves; every block of queries meets
+    every block of rows as one matrix product in one job, nothing comes to the driver, and only the k best of two blocks go on to the final ranking.
+    NULL ids and vectors are left out; all vectors have one length."""
+    many = cut(packed_vectors(rows, id_col, vector_col, 4096)).select(F.col("ids").alias("ids_r"), F.col("matrix").alias("m_r"))
+    asked = cut(packed_vectors(queries, id_col, vector_col, block)).select(F.col("ids").alias("ids_q"), F.col("matrix").alias("m_q"))
+
+    def run(frames):
+        for f in frames:
+            for ids_r, m_r, ids_q, m_q in zip(f["ids_r"], f["m_r"], f["ids_q"], f["m_q"]):
+                ids, names = np.frombuffer(ids_r, np.int64), np.frombuffer(ids_q, np.int64)
+                s = np.frombuffer(m_r).reshape(len(ids), -1) @ np.frombuffer(m_q).reshape(len(names), -1).T
+                s[ids[:, None] == names[None, :]] = -np.inf
+                # Ties by id even at the border: the key orders by rounded similarity, then id.
+                place = np.argsort(np.argsort(ids))
+                key = place[:, None] - np.rint(np.where(np.isfinite(s), s, -2) * 1e9).astype(np.int64) * len(ids)
+                best = np.argpartition(key, k - 1, axis=0)[:k] if k < len(ids) else np.tile(np.arange(len(ids))[:, None], len(names))
                 q = np.tile(np.arange(len(names)), (len(best), 1))
-                out = pd.DataFrame({"query": names[q.ravel()], "id": f["id"].to_numpy()[best.ravel()], "s": s[best.ravel(), q.ravel()]})
+                out = pd.DataFrame({"query": names[q.ravel()], "id": ids[best.ravel()], "s": s[best.ravel(), q.ravel()]})
                 yield out[np.isfinite(out["s"])]
 
-        part = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where("v is not null").mapInPandas(run, "query long, id long, s double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = rows.sparkSession.createDataFrame([], "query long, id long, s double")
+    # Blocks, not rows: a stated query set against all rows.
+    found = many.crossJoin(asked).mapInPandas(run, "query long, id long, s double")
     r = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("s", 9)), "id"))
     return found.withColumn("rank", r).where(F.col("rank") <= k).select("query", "id", "rank", "s")
 

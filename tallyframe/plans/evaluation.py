@@ -375,9 +375,9 @@ select band, count(*) as n, round(avg(case when hit_a then 1.0 else 0.0 end) - a
 def gap_by_length_band(spark: SparkSession, d: str) -> DataFrame:
     """Accuracy gap by quartile of the log length ratio; cut points keep ties together."""
     c = preference_cases(spark, d).withColumn("x", F.log(F.greatest("chars_a", F.lit(1)) / F.greatest("chars_b", F.lit(1))))
-    cuts = F.broadcast(c.agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("cuts")))
+    cuts = F.broadcast(ranking.quantiles(c, [], "x", {"q1": 0.25, "q2": 0.5, "q3": 0.75}))
     x = F.col("x")
-    band = F.when(x <= F.col("cuts")[0], 1).when(x <= F.col("cuts")[1], 2).when(x <= F.col("cuts")[2], 3).otherwise(4)
+    band = F.when(x <= F.col("q1"), 1).when(x <= F.col("q2"), 2).when(x <= F.col("q3"), 3).otherwise(4)
     return c.join(cuts).select(band.alias("band"), F.col("hit_a").cast("int").alias("a"), F.col("hit_b").cast("int").alias("b")).groupBy("band").agg(F.count(F.lit(1)).alias("n"), R6(F.avg("a") - F.avg("b")).alias("gap"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions import lexicon as L
 from tallyframe.functions import text as T
-from tallyframe.operators import merging
+from tallyframe.operators import merging, ranking
 from tallyframe.plans import sqltext as S
 from tallyframe.plans.registry import query
 from tallyframe.plans.views import criteria, questions
@@ -58,8 +58,9 @@ def domain_profile(spark: SparkSession, d: str) -> DataFrame:
   from (select domain, split, length(question) as k from examples where question is not null) group by 1, 2)""")
 def length_distribution(spark: SparkSession, d: str) -> DataFrame:
     k = table(spark, d, "examples").where("question is not null").select("domain", "split", F.length("question").alias("k"))
-    q = lambda p: R6(F.percentile("k", p))
-    return k.groupBy("domain", "split").agg(F.count(F.lit(1)).alias("n"), R6(F.avg("k")).alias("mean"), R6(F.stddev_samp("k")).alias("std"), q(0.25).alias("p25"), q(0.5).alias("median"), q(0.75).alias("p75"), q(0.95).alias("p95"), F.min("k").alias("lo"), F.max("k").alias("hi"))
+    q = ranking.quantiles(k, ["domain", "split"], "k", {"p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95})
+    sums = k.groupBy("domain", "split").agg(F.count(F.lit(1)).alias("n"), R6(F.avg("k")).alias("mean"), R6(F.stddev_samp("k")).alias("std"), F.min("k").alias("lo"), F.max("k").alias("hi"))
+    return sums.join(q, ["domain", "split"]).select("domain", "split", "n", "mean", "std", *[R6(c).alias(c) for c in ("p25", "median", "p75", "p95")], "lo", "hi")
 
 
 @query("""with c as (select rubric_source, weight, count(*) as n from criteria where weight is not null group by 1, 2), t as (select rubric_source, sum(n) as total, max(n) as top from c group by 1)

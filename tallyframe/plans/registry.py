@@ -21,3 +21,10 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return add
+
+
+def build(name: str) -> Query:
+    """The query of this name; an unknown one is an error that tells the known."""
+    if name not in QUERIES:
+        raise KeyError(f"unknown query {name!r}; known: {', '.join(sorted(QUERIES))}")
+    return QUERIES[name]

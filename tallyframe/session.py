@@ -31,11 +31,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share. It is named by the cluster in ``spark.checkpoint.dir``;
-    only where that is unset (tests, local mode) a temporary one is made and set."""
+    only in local mode, where that is unset (tests), a temporary one is made and set. A cluster without it is an error, since no folder of one
+    machine would outlive it."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if named is None and current.isEmpty():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tallyframe-checkpoint-"))
     elif current.isEmpty():
         sc.setCheckpointDir(named)

@@ -120,3 +120,15 @@ def case_ids(spark: SparkSession, spec: str) -> DataFrame:
     else:
         ids = [x.strip() for x in spec.split(",") if x.strip()]
     return spark.createDataFrame([(str(i),) for i in dict.fromkeys(ids)], "case_id string")
+
+
+def cache_stats(spark: SparkSession, path: str, stamp: str = "fetched_at") -> DataFrame:
+    """(entries, bytes, oldest, newest) of a folder of JSON files, by the time stamp in each; a missing folder has none. Files without a readable stamp count
+    as entries."""
+    try:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").option("recursiveFileLookup", "true").load(path)
+        files.limit(0).count()
+    except AnalysisException:
+        files = spark.createDataFrame([], "content binary, length long")
+    when = F.get_json_object(F.col("content").cast("string"), f"$.{stamp}").try_cast("double")
+    return files.agg(F.count(F.lit(1)).alias("entries"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), F.min(when).alias("oldest"), F.max(when).alias("newest"))
