@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from tallyframe.functions import exact, rewriting
 from tallyframe.functions import text as T
 from tallyframe.operators import merging, paired, ranking
+from tallyframe.plans import extended  # noqa: F401  (its queries are among FAMILIES)
 from tallyframe.plans import sqltext as S
 from tallyframe.plans.checklists import _TILT, _tilt
-from tallyframe.plans.evaluation import _tests_sql, _units_sql, paired_summary, rounded_tests
+from tallyframe.plans.evaluation import BOOT, _means_sql, _tests_sql, _units_sql, paired_summary, rounded_tests
 from tallyframe.plans.forensics import _Q, R6
 from tallyframe.plans.lint import rubric_lint
-from tallyframe.plans.registry import SQL, query
+from tallyframe.plans.registry import QUERIES, SQL, query
 from tallyframe.plans.views import criteria, questions
 from tallyframe.session import table
 
@@ -121,6 +122,59 @@ def metric_contrasts(spark: SparkSession, d: str) -> DataFrame:
     return rounded_tests(ranking.bh_adjusted(paired_summary(diffs, ["contrast", "metric"], ["key"]), ["contrast"], "p"))
 
 
+#: Metrics by family: the query whose rows hold them, one for each rubric (run, source, question).
+FAMILIES = {
+    "lint": ("rubric_lint", ["compliance_rate", "negative_weight_rate", "pitfall_fraction", "unclassified_rate", "weight_band_rate", "n_items"]),
+    "grounding": ("question_grounding", ["generic_rate", "weak_rate", "recyclable_rate", "subjective_or_style_rate", "generic_mass", "generic_mass_remapped", "mean_anchors", "max_title_reuse"]),
+    "weights": ("weight_profile", ["entropy", "normalised", "max_share"]),
+    "mass": ("category_mass", ["positive_weight", "mass_essential", "mass_important", "mass_optional", "mass_pitfall"]),
+    "mirrors": ("pitfall_mirrors", ["n_mirrors", "max_similarity"]),
+    "order": ("weight_order", ["n_pairs", "n_violations"]),
+    "claims": ("claim_recall", ["n_claims", "n_recalled", "mean_best"]),
+    "parts": ("part_coverage", ["n_parts", "n_orphans", "mean_best"]),
+}
+
+
+def _family_sql() -> str:
+    parts = [f"select '{f}' as family, run_name || '|' || uid as key, rubric_source, x.m as metric, x.v as v from (select run_name, uid, rubric_source, unnest([" + ", ".join(f"{{'m': '{m}', 'v': cast({m} as double)}}" for m in metrics) + f"]) as x from ({SQL[name]})) t{i}" for i, (f, (name, metrics)) in enumerate(FAMILIES.items())]
+    return f"fm as materialized (select * from ({' union all '.join(parts)}) where v is not null and isfinite(v))"
+
+
+def metric_rows(spark: SparkSession, d: str) -> DataFrame:
+    """(family, metric, key, rubric_source, value) of every metric of every family."""
+    out = None
+    for family, (name, metrics) in FAMILIES.items():
+        values = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("x")
+        part = QUERIES[name](spark, d).select(F.lit(family).alias("family"), F.concat_ws("|", "run_name", "uid").alias("key"), "rubric_source", values).select("family", "key", "rubric_source", "x.*")
+        out = part if out is None else out.unionByName(part)
+    return out.where("value is not null")
+
+
+@query(f"""with recursive {_family_sql()}, {_units_sql("select family || '#' || metric || '#' || rubric_source as gg, key, round(v, 9) as v from fm", "gg", "key", "count(*) as n, sum(v) as s")}, {_means_sql('bm', BOOT, 0)}, bi as (select g, stddev_samp(m) as se, quantile_cont(m, 0.025) as lo, quantile_cont(m, 0.975) as hi from bm group by 1), tt as (select g, sum(n) as n, sum(s) / sum(n) as mean, count(*) as k from u group by 1)
+select split_part(g, '#', 1) as family, split_part(g, '#', 2) as metric, split_part(g, '#', 3) as rubric_source, cast(n as bigint) as n, round(mean, 4) as mean, round(case when k > 1 then se end, 4) as se, round(case when k > 1 then lo end, 4) as ci_low, round(case when k > 1 then hi end, 4) as ci_high from tt join bi using (g)""")
+def metric_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Mean and bootstrap interval of every metric by source."""
+    rows = metric_rows(spark, d).withColumn("value", F.round("value", 9))
+    out = paired.mean_intervals(rows, ["family", "metric", "rubric_source"], "value", ["key"], BOOT)
+    return out.select("family", "metric", "rubric_source", "n", *[(F.round(c, 4) + 0.0).alias(c) for c in ("mean", "se", "ci_low", "ci_high")])
+
+
+REFERENCE = "shipped"
+
+
+@query(f"""with recursive {_family_sql()}, df as (select a.family || '#' || a.metric || '#' || a.rubric_source as gg, a.key, round(a.v - b.v, 9) as d from fm a join fm b on a.family = b.family and a.metric = b.metric and a.key = b.key where a.rubric_source <> '{REFERENCE}' and b.rubric_source = '{REFERENCE}'),
+{_units_sql("select gg, key, d from df", "gg", "key", "count(*) as n, sum(d) as s")}, {_tests_sql('gg')}, sp as (select *, split_part(g, '#', 1) as family, split_part(g, '#', 2) as metric, split_part(g, '#', 3) as source from res), rk as (select *, row_number() over (partition by source order by p, family, metric) as rn, count(*) over (partition by source) as m from sp)
+select family, metric, source, cast(n as bigint) as n, round(mean, 4) as mean, round(p, 4) as p, round(least(1.0, min(p * m / rn) over (partition by source order by p desc range between unbounded preceding and current row)), 4) as q from rk""")
+def metric_table(spark: SparkSession, d: str) -> DataFrame:
+    """Every metric of every family: each source against the reference source on common questions of a run, with permutation p and q over a
+    source's whole family."""
+    rows = metric_rows(spark, d)
+    base = rows.where(F.col("rubric_source") == REFERENCE).select("family", "metric", "key", F.col("value").alias("b"))
+    diffs = rows.where(F.col("rubric_source") != REFERENCE).join(base, ["family", "metric", "key"]).select("family", "metric", F.col("rubric_source").alias("source"), "key", F.round(F.col("value") - F.col("b"), 9).alias("d"))
+    t = ranking.bh_adjusted(paired_summary(diffs, ["family", "metric", "source"], ["key"]), ["source"], "p")
+    return t.select("family", "metric", "source", "n", *[(F.round(c, 4) + 0.0).alias(c) for c in ("mean", "p", "q")])
+
+
 _DID = "c as (select user_id, event_type, arg_min(value, event_id) as value from events where isfinite(value) group by 1, 2), w as (select user_id, max(case when event_type = 'click' then value end) - max(case when event_type = 'view' then value end) as a, max(case when event_type = 'purchase' then value end) - max(case when event_type = 'error' then value end) as b from c group by 1)"
 
 
