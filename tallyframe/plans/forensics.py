@@ -11,7 +11,7 @@ from tallyframe.operators import merging, ranking
 from tallyframe.plans import sqltext as S
 from tallyframe.plans.registry import query
 from tallyframe.plans.views import criteria, questions
-from tallyframe.session import table
+from tallyframe.session import cut, table
 
 R6 = lambda c: F.round(c, 6)
 
@@ -210,10 +210,10 @@ g as (select n.*, coalesce(n_anchors, 0) as n_anchors, coalesce(n_anchors, 0) =
   from n left join hits using (criterion_id) join reuse on reuse.rubric_source = n.rubric_source and reuse.domain = n.domain and reuse.nt = {S.title('n.title')} where n.uid in (select uid from q))"""
 
 
-def grounded_criteria(spark: SparkSession, d: str) -> DataFrame:
+def grounded_criteria(spark: SparkSession, d: str, lists: DataFrame | None = None) -> DataFrame:
     """Each criterion of a known question with its anchors found, whether it is generic, subjective or about style, and how often
     its title is used by its source and domain."""
-    c = criteria(spark, d).withColumn("nt", T.normalised_title(F.col("title"))).join(anchor_lists(spark, d), "uid")
+    c = criteria(spark, d).withColumn("nt", T.normalised_title(F.col("title"))).join(anchor_lists(spark, d) if lists is None else lists, "uid")
     out = c.withColumn("n_anchors", F.size(F.array_intersect(T.criterion_tokens(F.col("body")), F.col("anchors")))).drop("anchors")
     all_titles = criteria(spark, d).select("rubric_source", "domain", T.normalised_title(F.col("title")).alias("nt"))
     reuse = all_titles.groupBy("rubric_source", "domain", "nt").agg(F.count(F.lit(1)).alias("reuse"))
@@ -262,11 +262,11 @@ select rubric_source, round(avg(case when n_other is null then 1.0 else 0.0 end)
 from g join o using (uid) left join h2 using (criterion_id) group by 1""")
 def permuted_grounding(spark: SparkSession, d: str) -> DataFrame:
     """Control: criteria against the anchors of another question of the domain, the next one in a seeded hash order."""
-    lists = anchor_lists(spark, d)
+    lists = cut(anchor_lists(spark, d))
     q = questions(spark, d).select("domain", "uid").join(lists.where(F.size("anchors") > 0), "uid", "left_semi")
     o = merging.shift_partner(q, "domain", "uid", seed=0).withColumnRenamed("partner", "other")
     others = o.join(lists.select(F.col("uid").alias("other"), F.col("anchors").alias("foreign")), "other").select("uid", "foreign")
-    g = grounded_criteria(spark, d).join(others, "uid")
+    g = grounded_criteria(spark, d, lists).join(others, "uid")
     apart = F.size(F.array_intersect(T.criterion_tokens(F.col("body")), F.col("foreign"))) == 0
     rate = F.avg(F.when(apart, 1.0).otherwise(0.0))
     return g.groupBy("rubric_source").agg(R6(rate).alias("generic_rate_permuted"), R6(rate - F.avg(F.when(F.col("generic"), 1.0).otherwise(0.0))).alias("specificity_lift"))

@@ -25,8 +25,25 @@ def local_session(name: str = "tallyframe", cores: str = "8") -> SparkSession:
     )
 
 
+#: Tables of fewer bytes are read as they are.
+DEALT_BYTES = 1 << 20
+#: Tables of texts, whose rows take time.
+TEXTS = {"criteria", "documents", "examples", "raw_entries", "rollouts"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return dealt(df) if name in TEXTS else df
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """A table that comes in fewer pieces than there are cores (say one file with one row group) dealt out to all of them, so that row-local work isn't left to
+    a few. Filters and column pruning pass through. A table of as many splits as cores or more is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution()
+    if plan.optimizedPlan().stats().sizeInBytes() < DEALT_BYTES or len(df.inputFiles()) >= cores or plan.toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
 
 
 def shared_dir(spark: SparkSession) -> str:
