@@ -79,8 +79,11 @@ def satisfied_when(polarity: Column, literally_true: Column) -> Column:
     return F.when(polarity == "negative", ~literally_true).otherwise(literally_true)
 
 
-def close(a: Column, b: Column, relative: float = 1e-6, absolute: float = 1e-12) -> Column:
-    return F.abs(a - b) <= F.greatest(relative * F.greatest(F.abs(a), F.abs(b)), F.lit(absolute))
+def close(a: Column, b: Column, tolerance: float = 1e-6) -> Column:
+    """Equal within a relative tolerance, or a millionth of it absolutely (of the larger value, at least of one); NaN never is, NULL is unknown."""
+    larger = F.greatest(F.abs(a), F.abs(b))
+    near = F.abs(a - b) <= F.greatest(tolerance * larger, tolerance * 1e-6 * F.greatest(larger, F.lit(1.0)))
+    return F.when(F.isnan(a) | F.isnan(b), False).otherwise(near)
 
 
 def first_number(c: Column) -> Column:

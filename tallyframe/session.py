@@ -68,6 +68,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def pieces(spark: SparkSession, size: float, each: float = 64e6) -> int:
+    """Partitions for an exchange of ``size`` bytes: no fewer than the session's setting, and none of more than about ``each`` bytes."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size // each) + 1)
+
+
 def small_or_plain(df: DataFrame, max_rows: int) -> DataFrame:
     """``df`` with a broadcast hint if it was counted to hold at most ``max_rows`` rows, else as it is,
     so that a larger one joins through a shuffle. Give it something cheap to count, as a ``cut``."""
