@@ -27,9 +27,11 @@ from pyspark.sql import functions as F
 from tallyframe.functions.textarrays import as_long, chunks, distinct_per_row, flat, mix, rows_of, set_keys, word_hashes
 from tallyframe.llm.graph import connected_components
 from tallyframe.llm.sets import class_words, compatible, digest, expanded, members, picked_texts, set_classes, verified, word_sets
-from tallyframe.session import cut
+from tallyframe.session import cut, pieces
 
 BANDS, PER_BAND = 28, 6
+#: Bytes of a band row in a shuffle: key, id, digest.
+ROW_BYTES = 24
 SEED = 7
 WINDOW = 100_000
 BUCKET = 2000
@@ -134,9 +136,11 @@ def band_rows(values: np.ndarray, offsets: np.ndarray, hot: np.ndarray, common:
     return np.concatenate([plain[0], row[which]]), np.concatenate([plain[1], split])
 
 
-def candidate_pairs(vectors: DataFrame, hot: np.ndarray, common: np.ndarray, counts: np.ndarray, threshold: float) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of representatives that share a band and whose sizes and bitmaps allow ``threshold``."""
-    shared = vectors.sparkSession.sparkContext.broadcast((hot, common, counts))
+def candidate_pairs(vectors: DataFrame, hot: np.ndarray, common: np.ndarray, counts: np.ndarray, threshold: float, n: int) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of representatives (of n rows) that share a band and whose sizes and bitmaps allow ``threshold``. The band rows get
+    as many partitions as their bytes need, if that is more than the session's setting."""
+    spark = vectors.sparkSession
+    shared = spark.sparkContext.broadcast((hot, common, counts))
 
     def run(batches):
         for b in batches:
@@ -149,6 +153,9 @@ def candidate_pairs(vectors: DataFrame, hot: np.ndarray, common: np.ndarray, cou
                 yield pa.RecordBatch.from_arrays([as_long(key), pa.array(rep[row]), as_long(sig[row])], ["key", "id", "sig"])
 
     keyed = vectors.select("rep", "words").mapInArrow(run, "key long, id long, sig long")
+    parts = pieces(spark, n * BANDS * ROW_BYTES)
+    # Buckets are bounded by then, so no key is hot; where the setting suffices, adaptive execution is left to it.
+    keyed = keyed.repartition(parts, "key") if parts > pieces(spark, 0) else keyed
     x, y = keyed.alias("x"), keyed.alias("y")
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & compatible("x.sig", "y.sig", threshold))
     return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
@@ -160,11 +167,11 @@ def near_duplicate_classes(rows: DataFrame, id_col: str, text_cols: list[str], t
     passed = cut(first_pass(rows, id_col, text_cols, frequent, window))
     keys = passed.where(F.col("kind") == ROW).select(F.col("a").alias("id"), F.col("b").alias("k1"), F.col("c").alias("k2"), F.col("d").alias("exact"))
     hot = counts_above(passed, KEY, bucket, SPLIT_KEYS)[0]
-    n = keys.count() if len(hot) else 0
+    n = keys.count()
     common, counts = counts_above(passed, WORD, frequent * n, SPLIT_KEYS) if len(hot) else (hot, hot.view(np.int64))
     classes = set_classes(keys)
     vectors = class_words(word_sets(rows, id_col, text_cols), classes)
-    pairs = verified(candidate_pairs(vectors, hot, common, counts, threshold), vectors, threshold)
+    pairs = verified(candidate_pairs(vectors, hot, common, counts, threshold, n), vectors, threshold)
     return pairs, members(keys, classes)
 
 

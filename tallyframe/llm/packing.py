@@ -12,12 +12,14 @@ no more bins than its total size does. Nothing but item sizes is shuffled, and n
 
 from __future__ import annotations
 
+import os
 from bisect import bisect_left, insort
 from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,10 +51,12 @@ def encoder(vocabulary: str):
 
 
 def token_counts(documents: DataFrame, doc_id: str, text_col: str, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, tokens) of every document; NULL text has none."""
+    """(doc_id, tokens) of every document; NULL text has none. The driver's vocabulary file goes to every executor."""
+    documents.sparkSession.sparkContext.addFile(vocabulary)
+    name = os.path.basename(vocabulary)
 
     def run(frames):
-        encode = encoder(vocabulary)
+        encode = encoder(SparkFiles.get(name))
         for f in frames:
             yield pd.DataFrame({"doc_id": f["id"], "tokens": [len(encode.encode_ordinary(t)) if t else 0 for t in f["text"]]})
 

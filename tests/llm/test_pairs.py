@@ -196,6 +196,14 @@ def test_hot_buckets_are_split_without_loss(spark):
         assert {(r.a, r.b) for r in pairs.collect()} == want and len(want) >= 30
 
 
+def test_many_partitions_of_band_rows_change_nothing(spark, monkeypatch):
+    rows = boilerplate(400, 0.3, seed=3)
+    monkeypatch.setattr(near_duplicates, "ROW_BYTES", 64_000)
+    df = spark.createDataFrame(rows, "id long, t string")
+    pairs, _ = near_duplicates.near_duplicate_classes(df, "id", ["t"], bucket=20, window=100)
+    assert {(r.a, r.b) for r in pairs.collect()} == brute(rows)
+
+
 def test_candidates_of_boilerplate_grow_with_the_rows(spark):
     """A bucket of 3 % of the rows that share 25 of 37 words (and "more" in the near copies): twice the rows, about twice the rows that meet in the join."""
     met = []

@@ -296,6 +296,9 @@ def test_genetic_packing_where_best_fit_misses_the_bound(spark):
     assert packing.packing_faults(df, packed, 1000).first()[1:] == (0, 0, 0, 0)
     got = {r.method: (r.bins, r.least) for r in packing.packing_report(df, 1000).collect()}
     assert got["best-fit decreasing"] == (alone, 100) and got["grouping genetic"][0] <= 104
+    none = df.limit(0)
+    assert packing.packing_faults(none, packing.packed_sequences(none)).first() == (0, 0, 0, 0, 0)
+    assert {(r.method, r.bins, r.free_share) for r in packing.packing_report(none).collect()} == {("best-fit decreasing", 0, None), ("grouping genetic", 0, None)}
     wrong = packed.withColumn("position", F.col("position") + 1).withColumn("sequence", F.lit("one"))
     assert packing.packing_faults(df, wrong, 1000).first()[2] == 1
 
