@@ -11,11 +11,11 @@ from tallyframe.functions import text as T
 from tallyframe.operators import merging, ranking, similarity
 from tallyframe.plans import sqltext as S
 from tallyframe.plans.checklists import _PARTS, _TILT, _tilt
-from tallyframe.plans.evaluation import _HALF
+from tallyframe.plans.evaluation import _CASE, _HALF, _LADDER, _LOG_CHOOSE, ladder, preference_cases
 from tallyframe.plans.forensics import _ANCHORS, _Q, R6, anchors
-from tallyframe.plans.judges import _READ, readings
+from tallyframe.plans.judges import _READ, _SLOTS, readings, slot_verdicts
 from tallyframe.plans.registry import SQL, query
-from tallyframe.plans.reports import _PAIRS
+from tallyframe.plans.reports import _PAIRS, REFUSAL, RESTRAINT
 from tallyframe.plans.views import RUBRIC, criteria, questions
 from tallyframe.session import table
 
@@ -31,7 +31,7 @@ def top_vocabulary(spark: SparkSession, d: str) -> DataFrame:
 #: Tokenisers by name: pattern, least length, whether stop words go.
 TOKENISERS = {
     "letters": (r"[a-z]+", 3, True), "no stop list": (r"[a-z]+", 3, False), "four letters": (r"[a-z]+", 4, True), "five letters": (r"[a-z]+", 5, True), "inner marks": (r"[a-z][a-z'-]{2,}", 3, True),
-    "letters and digits": (r"[a-z0-9]+", 1, True), "word characters": (r"\w\w+", 2, False), "numbers": (r"\d+(?:\.\d+)?", 1, False),
+    "letters and digits": (r"[a-z0-9]+", 1, True), "words and symbols": (r"\w+|[^\w\s]", 1, False), "word characters": (r"\w\w+", 2, False), "numbers": (r"\d+(?:\.\d+)?", 1, False),
 }
 
 
@@ -191,3 +191,80 @@ def closest_mirrors(spark: SparkSession, d: str) -> DataFrame:
     from tallyframe.plans.lint import pitfall_mirrors
 
     return pitfall_mirrors(spark, d).orderBy(F.desc("max_similarity"), *RUBRIC).limit(10)
+
+
+@query(f"""with w as (select run_name, rubric_source, uid, unnest({S.content_tokens('body')}) as t from criteria where uid is not null), s as (select distinct run_name, rubric_source, uid, t from w), n as (select run_name, rubric_source, uid, count(*) as n from s group by 1, 2, 3),
+o as (select a.run_name, a.rubric_source, a.uid, count(*) as o from s a join s b on a.run_name = b.run_name and a.uid = b.uid and a.t = b.t and b.rubric_source = 'shipped' where a.rubric_source <> 'shipped' group by 1, 2, 3),
+j as (select a.rubric_source, coalesce(o, 0) as o, a.n as na, b.n as nb from n a join n b on a.run_name = b.run_name and a.uid = b.uid and b.rubric_source = 'shipped' left join o on o.run_name = a.run_name and o.rubric_source = a.rubric_source and o.uid = a.uid where a.rubric_source <> 'shipped')
+select rubric_source, count(*) as n, round(avg(o / nb), 6) as recall, round(avg(o / na), 6) as precision, round(avg(2 * o / (na + nb)), 6) as f1 from j group by 1""")
+def rubric_recall(spark: SparkSession, d: str) -> DataFrame:
+    """How many of the content words of the shipped rubric each other source's rubric of the same run and question has, and the other way round."""
+    w = table(spark, d, "criteria").where("uid is not null").select(*RUBRIC, F.explode(T.content_tokens(F.col("body"))).alias("t")).distinct()
+    n = w.groupBy(*RUBRIC).agg(F.count(F.lit(1)).alias("n"))
+    shipped = F.col("rubric_source") == "shipped"
+    o = w.where(~shipped).join(w.where(shipped).select("run_name", "uid", "t"), ["run_name", "uid", "t"]).groupBy(*RUBRIC).agg(F.count(F.lit(1)).alias("o"))
+    j = n.where(~shipped).join(n.where(shipped).select("run_name", "uid", F.col("n").alias("nb")), ["run_name", "uid"]).join(o, RUBRIC, "left").withColumn("o", F.coalesce("o", F.lit(0)))
+    return j.groupBy("rubric_source").agg(F.count(F.lit(1)).alias("n"), R6(F.avg(F.col("o") / F.col("nb"))).alias("recall"), R6(F.avg(F.col("o") / F.col("n"))).alias("precision"), R6(F.avg(2 * F.col("o") / (F.col("n") + F.col("nb")))).alias("f1"))
+
+
+@query(f"""with {_SLOTS}, x as (select pair, v1, v2, case when o_orderstatus = 'F' then 'a' else 'b' end as label from fr join orders on o_orderkey = question) select pair, count(*) as n, round(avg(case when v1 in ('a', 'b') then 1.0 else 0.0 end), 6) as coverage, round(avg(case when v1 in ('a', 'b') and v2 in ('a', 'b') then case when v1 = v2 then 1.0 else 0.0 end end), 6) as consistency,
+ round(avg(case when v1 in ('a', 'b') then case when v1 = label then 1.0 else 0.0 end end), 6) as forward_accuracy, round(avg(case when v1 in ('a', 'b') and v2 in ('a', 'b') then case when v1 = v2 and v1 = label then 1.0 else 0.0 end end), 6) as swap_accuracy from x group by grouping sets ((pair), ())""")
+def order_consistency(spark: SparkSession, d: str) -> DataFrame:
+    """Coverage, consistency and accuracy of preferences shown in one order, and in both (a flip is wrong)."""
+    side = lambda c: F.when(F.col(c).isin("a", "b"), F.col(c))
+    x = slot_verdicts(spark, d).select("pair", side("verdict_order1").alias("f"), side("verdict_order2").alias("s"), F.when(F.col("judge") == "F", "a").otherwise("b").alias("label"))
+    f, s, label = F.col("f"), F.col("s"), F.col("label")
+    return x.groupingSets([["pair"], []], "pair").agg(F.count(F.lit(1)).alias("n"), R6(F.avg(f.isNotNull().cast("int"))).alias("coverage"), R6(F.avg(preference.consistent(f, s).cast("int"))).alias("consistency"), R6(F.avg(preference.hit(f, s, label))).alias("forward_accuracy"), R6(F.avg(preference.hit(f, s, label, "swap"))).alias("swap_accuracy"))
+
+
+@query(f"with {_CASE}, t as (select domain, count(*) as n, avg(cast(hit_a as int)) as a, avg(cast(hit_b as int)) as b, avg(case when hit_a or hit_b then 1.0 else 0.0 end) as e from cases group by grouping sets ((domain), ())) select domain, n, round(a - b, 6) as delta, round(case when b < 1 then (a - b) / (1 - b) end, 6) as headroom_share, round(case when e > b then (a - b) / (e - b) end, 6) as share_of_union from t")
+def headroom_shares(spark: SparkSession, d: str) -> DataFrame:
+    """How much of what the second setting gets wrong the first one gains, of all and of what either gets right."""
+    a, b = F.col("hit_a").cast("int"), F.col("hit_b").cast("int")
+    t = preference_cases(spark, d).groupingSets([["domain"], []], "domain").agg(F.count(F.lit(1)).alias("n"), F.avg(a).alias("a"), F.avg(b).alias("b"), F.avg(F.greatest(a, b)).alias("e"))
+    delta = F.col("a") - F.col("b")
+    return t.select("domain", "n", (R6(delta) + 0.0).alias("delta"), (R6(F.when(F.col("b") < 1, delta / (1 - F.col("b")))) + 0.0).alias("headroom_share"), (R6(F.when(F.col("e") > F.col("b"), delta / (F.col("e") - F.col("b")))) + 0.0).alias("share_of_union"))
+
+
+@query(f"""with {_LADDER}, m as (select max(score) as top from o), g as (select uid, max(case when level <= 2 then score end) - min(case when level <= 2 then score end) as spread, max(case when level = 1 then score end) as gold, avg(case when level > 2 then score end) as bad from o group by 1)
+select count(spread) as n_spread, round(avg(spread), 2) as good_spread, round(avg(1 - gold / top), 6) as headroom, round(avg(case when gold >= 0.95 * top then 1.0 when gold is not null then 0.0 end), 6) as saturation, round(avg(bad / top), 6) as bad_level from g, m""")
+def reward_geometry(spark: SparkSession, d: str) -> DataFrame:
+    """Spread among good answers, what the gold answer leaves above it, and how often it leaves nothing."""
+    o = ladder(spark, d)
+    top = o.agg(F.max("score").alias("top"))
+    good, gold = F.when(F.col("level") <= 2, F.col("score")), F.when(F.col("level") == 1, F.col("score"))
+    g = o.groupBy("uid").agg((F.max(good) - F.min(good)).alias("spread"), F.max(gold).alias("gold"), F.avg(F.when(F.col("level") > 2, F.col("score"))).alias("bad")).join(F.broadcast(top))
+    return g.agg(F.count("spread").alias("n_spread"), F.round(F.avg("spread"), 2).alias("good_spread"), R6(F.avg(1 - F.col("gold") / F.col("top"))).alias("headroom"), R6(F.avg(F.when(F.col("gold") >= 0.95 * F.col("top"), 1.0).when(F.col("gold").isNotNull(), 0.0))).alias("saturation"), R6(F.avg(F.col("bad") / F.col("top"))).alias("bad_level"))
+
+
+_FISHER = f"list_sum(list_transform(list_filter(list_transform(range(cast(greatest(0, k1 + k2 - n2) as bigint), cast(least(k1 + k2, n1) as bigint) + 1), lambda x: {_LOG_CHOOSE.format('n1', 'x')} + {_LOG_CHOOSE.format('n2', '(k1 + k2 - x)')} - ({_LOG_CHOOSE.format('(n1 + n2)', '(k1 + k2)')})), lambda v: v <= {_LOG_CHOOSE.format('n1', 'k1')} + {_LOG_CHOOSE.format('n2', 'k2')} - ({_LOG_CHOOSE.format('(n1 + n2)', '(k1 + k2)')}) + 1e-9), lambda v: exp(v)))"
+
+
+@query(f"""with r as (select domain, rubric_source, count(*) as n, sum(case when regexp_matches(coalesce(body, ''), {S.lit(RESTRAINT)}) then 1 else 0 end) as k from criteria group by 1, 2), j as (select a.domain, a.rubric_source, a.n as n1, a.k as k1, b.n as n2, b.k as k2 from r a join r b on a.domain = b.domain and b.rubric_source = 'shipped' where a.rubric_source <> 'shipped')
+select domain, rubric_source, n1 as n, round(k1 / n1, 6) as share, round(k2 / n2, 6) as shipped_share, round(least(1.0, {_FISHER}), 6) as p from j""")
+def restraint_tests(spark: SparkSession, d: str) -> DataFrame:
+    """Phrases of restraint: each source against the shipped one within a domain, by Fisher's exact test."""
+    r = table(spark, d, "criteria").groupBy("domain", "rubric_source").agg(F.count(F.lit(1)).alias("n"), F.count_if(T.or_empty(F.col("body")).rlike(RESTRAINT)).alias("k"))
+    j = r.where("rubric_source != 'shipped'").join(r.where("rubric_source = 'shipped'").select("domain", F.col("n").alias("n2"), F.col("k").alias("k2")), "domain")
+    return j.select("domain", "rubric_source", "n", R6(F.col("k") / F.col("n")).alias("share"), R6(F.col("k2") / F.col("n2")).alias("shipped_share"), R6(exact.fisher_p_column(F.col("k"), F.col("n"), F.col("k2"), F.col("n2"))).alias("p"))
+
+
+_REFUSES = f"regexp_matches(left(trim(coalesce({{0}}, '')), 200), {S.lit(REFUSAL)})"
+
+
+@query(f"""with r as (select uid, any_value(domain) as domain, arg_min(text, rollout_key) filter (where correct) as win, arg_min(text, rollout_key) filter (where not correct) as lose from rollouts where uid is not null and text is not null group by 1 having win is not null and lose is not null)
+select domain, count(*) as n, sum(cast({_REFUSES.format('win')} as int)) as n_preferred, sum(cast({_REFUSES.format('lose')} as int)) as n_rejected, sum(cast({_REFUSES.format('win')} <> {_REFUSES.format('lose')} as int)) as n_exactly_one from (select uid, (select min(domain) from rollouts x where x.uid = r.uid and x.text is not null) as domain, win, lose from r) group by 1""")
+def refusals_by_side(spark: SparkSession, d: str) -> DataFrame:
+    """Refusals among right and wrong answers to one question, and questions on which exactly one refuses."""
+    r = table(spark, d, "rollouts").where("uid is not null and text is not null").groupBy("uid").agg(F.min("domain").alias("domain"), F.min_by("text", F.when(F.col("correct"), F.col("rollout_key"))).alias("win"), F.min_by("text", F.when(~F.col("correct"), F.col("rollout_key"))).alias("lose")).where("win is not null and lose is not null")
+    refuses = lambda c: F.substring(F.trim(c), 1, 200).rlike(REFUSAL)
+    x = r.select("domain", refuses("win").alias("w"), refuses("lose").alias("l"))
+    return x.groupBy("domain").agg(F.count(F.lit(1)).alias("n"), F.count_if("w").alias("n_preferred"), F.count_if("l").alias("n_rejected"), F.count_if(F.col("w") != F.col("l")).alias("n_exactly_one"))
+
+
+@query(f"with {_CASE}, lk as (select uid, max(k) as k from (select uid, run_name, rubric_source, count(*) as k from criteria where uid is not null group by 1, 2, 3) group by 1) select case when k <= 7 then '1-7' when k <= 10 then '8-10' when k <= 14 then '11-14' else '15+' end as items, count(*) as n, round(avg(cast(hit_a as int)), 6) as accuracy_a, round(avg(cast(hit_b as int)), 6) as accuracy_b from cases join lk using (uid) group by 1")
+def accuracy_by_items(spark: SparkSession, d: str) -> DataFrame:
+    """Accuracy by the number of items of a question's longest rubric."""
+    k = table(spark, d, "criteria").where("uid is not null").groupBy(*RUBRIC).agg(F.count(F.lit(1)).alias("k")).groupBy("uid").agg(F.max("k").alias("k"))
+    items = F.when(F.col("k") <= 7, "1-7").when(F.col("k") <= 10, "8-10").when(F.col("k") <= 14, "11-14").otherwise("15+")
+    return preference_cases(spark, d).join(k, "uid").groupBy(items.alias("items")).agg(F.count(F.lit(1)).alias("n"), R6(F.avg(F.col("hit_a").cast("int"))).alias("accuracy_a"), R6(F.avg(F.col("hit_b").cast("int"))).alias("accuracy_b"))

@@ -25,8 +25,8 @@ def local_session(name: str = "tallyframe", cores: str = "8") -> SparkSession:
     )
 
 
-#: Tables of fewer bytes are read as they are.
-DEALT_BYTES = 1 << 20
+#: Tables of fewer bytes are read as they are, as are those that have a split for each core by their size.
+DEALT_BYTES, SPLIT_BYTES = 1 << 20, 128 << 20
 #: Tables of texts, whose rows take time.
 TEXTS = {"criteria", "documents", "examples", "raw_entries", "rollouts"}
 
@@ -41,7 +41,8 @@ def dealt(df: DataFrame) -> DataFrame:
     a few. Filters and column pruning pass through. A table of as many splits as cores or more is left as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     plan = df._jdf.queryExecution()
-    if plan.optimizedPlan().stats().sizeInBytes() < DEALT_BYTES or len(df.inputFiles()) >= cores or plan.toRdd().getNumPartitions() >= cores:
+    size = plan.optimizedPlan().stats().sizeInBytes()
+    if size < DEALT_BYTES or size > cores * SPLIT_BYTES or plan.toRdd().getNumPartitions() >= cores:
         return df
     return df.repartition(cores)
 

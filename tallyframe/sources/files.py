@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from tallyframe.operators.merging import stratified_sample
+
 
 def read_json_lines(spark: SparkSession, path: str, schema: str, tolerant: bool = True) -> DataFrame:
     """Rows of JSON lines; a missing path is an empty table, and malformed lines are skipped if tolerant, else fail."""
@@ -21,6 +23,13 @@ def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def read_cases(spark: SparkSession, path: str, schema: str, group: str, key: str, groups: list[str] | None = None, limit: int | None = None, seed: int = 0) -> DataFrame:
+    """Cases of a JSON array file: of some groups only, and at most ``limit`` of them in the proportions of the groups, in hash order."""
+    cases = read_json_array(spark, path, schema)
+    cases = cases if groups is None else cases.where(F.col(group).isin(groups))
+    return cases if limit is None else stratified_sample(cases, group, key, limit, seed)
+
+
 def read_split(spark: SparkSession, root: str, domain: str, split: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{domain}/{split}-*.parquet").withColumns({"domain": F.lit(domain), "split": F.lit(split)})
 

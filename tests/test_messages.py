@@ -55,3 +55,20 @@ def test_quantiles(spark):
     df = spark.createDataFrame([("a", x) for x in (1, 2, 2, 2, 9)] + [("b", 4), ("b", None)], "g string, v int")
     got = {r.g: (r.lo, r.mid, r.hi) for r in ranking.quantiles(df, ["g"], "v", {"lo": 0.1, "mid": 0.5, "hi": 0.9}).collect()}
     assert got["a"] == pytest.approx((1.4, 2, 6.2)) and got["b"] == (4, 4, 4)
+
+
+def test_cases_of_an_array_file(spark, tmp_path):
+    rows = [{"id": i, "domain": "ab"[i % 4 == 0]} for i in range(40)] + [{"id": 99, "domain": "c"}]
+    (tmp_path / "cases.json").write_text(json.dumps(rows))
+    read = lambda **k: files.read_cases(spark, f"{tmp_path}/cases.json", "id long, domain string", "domain", "id", **k)
+    assert read().count() == 41 and {r.domain for r in read(groups=["a", "b"]).collect()} == {"a", "b"}
+    few = read(groups=["a", "b"], limit=12).collect()
+    assert sum(r.domain == "a" for r in few) == 9 and len(few) == 12 and {r.id for r in few} == {r.id for r in read(groups=["a", "b"], limit=12).collect()}
+
+
+def test_unit_conversion():
+    from tallyframe.functions.parsing import conversion
+
+    same, factor = conversion("km/h", "m/s")
+    assert same and factor == pytest.approx(1 / 3.6) and conversion("J", "N") == (False, None) and conversion("J foo", "J") == (False, None)
+    assert conversion("KG", "g")[0] and conversion("percent", "%") == (True, 1.0) and conversion(None, "g") == (False, None)

@@ -262,3 +262,17 @@ def test_complete_cells_beyond_a_hundred_groups(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
     got = {r.user_id: r.n_groups for r in evaluation.complete_cases(spark, str(tmp_path)).collect()}
     assert got == {0: 130, 2: 130}
+
+
+def test_small_tables_are_dealt_out(spark, tmp_path, monkeypatch):
+    from tallyframe import session
+
+    path = f"{tmp_path}/criteria.parquet"
+    spark.range(1000).withColumn("t", F.repeat(F.col("id").cast("string"), 50)).coalesce(1).write.parquet(path)
+    assert session.table(spark, str(tmp_path), "criteria").rdd.getNumPartitions() == 1
+    monkeypatch.setattr(session, "DEALT_BYTES", 1)
+    dealt = session.table(spark, str(tmp_path), "criteria")
+    assert dealt.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and dealt.count() == 1000
+    monkeypatch.setattr(session, "SPLIT_BYTES", 1)
+    assert session.table(spark, str(tmp_path), "criteria").rdd.getNumPartitions() == 1
+    assert session.pieces(spark, 0) == 4 and session.pieces(spark, 64e7) == 11
