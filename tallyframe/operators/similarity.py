@@ -102,15 +102,34 @@ def nearest_vectors(rows: DataFrame, queries: DataFrame, id_col: str, vector_col
     return found.withColumn("rank", r).where(F.col("rank") <= k).select("query", "id", "rank", "s")
 
 
+def packed_rows(df: DataFrame, size: int) -> DataFrame:
+    """(data): up to ``size`` rows of a task as one, in Arrow's stream format."""
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, size):
+                part, sink = b.slice(at, size), pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema) as writer:
+                    writer.write_batch(part)
+                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["data"])
+
+    return df.mapInArrow(run, "data binary")
+
+
+def unpacked(data: bytes) -> pa.RecordBatch:
+    with pa.ipc.open_stream(data) as reader:
+        return reader.read_next_batch()
+
+
 class SetBlock:
-    """A block of query sets as inverted lists: every distinct element has the queries that hold it."""
-
-    def __init__(self, queries: list):
-        self.names = np.array([q.id for q in queries], object)
-        self.groups = pa.array([q.g for q in queries])
-        self.sizes = np.array([len(q.ts) for q in queries])
-        coded = pa.array([t for q in queries for t in q.ts], pa.string()).dictionary_encode()
-        owner, term = np.repeat(np.arange(len(queries)), self.sizes), coded.indices.to_numpy()
+    """A block of query sets (id, g, ts) as inverted lists: every distinct element has the queries that hold it."""
+
+    def __init__(self, queries: pa.RecordBatch):
+        self.ids, self.groups = queries["id"], queries["g"]
+        self.names = np.array(self.ids.to_pylist(), object)
+        self.sizes = pc.list_value_length(queries["ts"]).to_numpy(zero_copy_only=False)
+        coded = queries["ts"].flatten().cast(pa.string()).dictionary_encode()
+        owner, term = np.repeat(np.arange(queries.num_rows), self.sizes), coded.indices.to_numpy()
         self.terms, self.owners = coded.dictionary, owner[np.argsort(term, kind="stable")]
         self.offsets = np.append(0, np.cumsum(np.bincount(term, minlength=len(self.terms))))
 
@@ -139,30 +158,29 @@ def nearest_sets(rows: DataFrame, is_query: Column, id_col: str, group_col: str,
     """(query, id, rank, s): for each row that fulfils ``is_query``, the k rows of its group with the highest Jaccard similarity above 0,
     itself excluded, ties by id.
 
-    Exact search of a stated query set against all rows, as in ``nearest_vectors``: each block of queries meets every batch of rows through
-    its inverted lists, however frequent an element is, and only the k best of a batch go on to the final ranking. Elements are strings and
-    distinct within a row; a NULL group matches nothing."""
+    Exact search of a stated query set against all rows, as in ``nearest_vectors``: queries and rows are packed into blocks, each block of queries meets
+    every block of rows through its inverted lists in one job, however frequent an element is, nothing comes to the driver, and only the k best of two
+    blocks go on to the final ranking. Elements are strings and distinct within a row; a NULL group matches nothing."""
     kind = rows.schema[id_col].dataType.simpleString()
     picked = rows.select(F.col(id_col).alias("id"), F.col(group_col).cast("string").alias("g"), F.col(set_col).alias("ts"), F.coalesce(is_query, F.lit(False)).alias("asked"))
     kept = cut(picked.where((F.size("ts") > 0) & F.col("g").isNotNull()))
-    asked = list(kept.where("asked").select("id", "g", "ts").orderBy("id").toLocalIterator())
-    found = None
-    for at in range(0, len(asked), block):
-        shared = rows.sparkSession.sparkContext.broadcast(SetBlock(asked[at : at + block]))
-
-        def run(batches, shared=shared):
-            for b in batches:
-                for start in range(0, b.num_rows, 1000):
-                    part = b.slice(start, 1000)
-                    part = part.take(pc.sort_indices(part["id"]))
-                    ids = np.array(part["id"].to_pylist(), object)
-                    query, row, s = shared.value.nearest(ids, part["g"], part["ts"], k)
-                    of = part.schema.field("id").type
-                    yield pa.RecordBatch.from_arrays([pa.array(shared.value.names[query], of), pa.array(ids[row], of), pa.array(s)], ["query", "id", "s"])
-
-        part = kept.select("id", "g", "ts").mapInArrow(run, f"query {kind}, id {kind}, s double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = rows.sparkSession.createDataFrame([], f"query {kind}, id {kind}, s double")
+    many = cut(packed_rows(kept.select("id", "g", "ts"), 1000)).withColumnRenamed("data", "r")
+    asked = cut(packed_rows(kept.where("asked").select("id", "g", "ts"), block)).withColumnRenamed("data", "q")
+
+    def run(batches):
+        blocks: dict[bytes, SetBlock] = {}
+        for b in batches:
+            for r, q in zip(b["r"].to_pylist(), b["q"].to_pylist()):
+                if q not in blocks:
+                    if len(blocks) >= 8:
+                        blocks.clear()
+                    blocks[q] = SetBlock(unpacked(q))
+                part = unpacked(r)
+                part = part.take(pc.sort_indices(part["id"]))
+                query, row, s = blocks[q].nearest(np.array(part["id"].to_pylist(), object), part["g"], part["ts"], k)
+                yield pa.RecordBatch.from_arrays([blocks[q].ids.take(pa.array(query)), part["id"].take(pa.array(row)), pa.array(s)], ["query", "id", "s"])
+
+    # Blocks, not rows: a stated query set against all rows.
+    found = many.crossJoin(asked).mapInArrow(run, f"query {kind}, id {kind}, s double")
     r = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("s", 9)), "id"))
     return found.withColumn("rank", r).where(F.col("rank") <= k).select("query", "id", "rank", "s")
