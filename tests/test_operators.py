@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.operators import merging, paired, ranking, similarity
-from tallyframe.plans import datasets
+from tallyframe.plans import datasets, extended
 from tallyframe.sources import files, verdicts
 from tallyframe.streaming import incremental
 
@@ -138,6 +138,46 @@ def test_similar_questions_without_a_rare_word_in_common(spark, tmp_path):
     assert got["u100", 1] == ("u001", 0.333333) and got["u050", 2] == ("u001", 0.333333) and len(got) == 9
 
 
+def shuffled_mb(spark):
+    sc = spark._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    return sc.statusStore().executorList(True).apply(0).totalShuffleWrite() / 1e6
+
+
+def asked_tables(spark, path, questions, criteria):
+    """examples of (uid, question) and criteria of (criterion_id, uid, body) as parquet files."""
+    ex = [(i, u, "d", "train", q, "a") for i, (u, q) in enumerate(questions)]
+    spark.createDataFrame(ex, "ex_id long, uid string, domain string, split string, question string, reference_answer string").write.parquet(f"{path}/examples.parquet")
+    spark.createDataFrame(criteria, "criterion_id long, uid string, body string").write.parquet(f"{path}/criteria.parquet")
+    return str(path)
+
+
+def test_rank_of_own_question(spark, tmp_path):
+    """Question b has no word of content: its criterion still ranks it below all that share a word. Questions of equal score don't count as better."""
+    asked = [("a", "energy mass"), ("b", "of 7"), ("c", "energy charge field"), ("c2", "mass energy"), ("d", "lens"), (None, "energy")]
+    d = asked_tables(spark, tmp_path, asked, [(50, "a", "energy"), (100, "b", "energy mass mass"), (150, "c", "energy field lens"), (200, "d", "unknown"), (250, "z", "energy"), (51, "a", "mass"), (300, "a", None)])
+    got = {r.criterion_id: r.rank_of_own for r in extended.attribution_rank(spark, d).collect()}
+    assert got == {50: 1, 100: 4, 150: 1}
+
+
+def test_rank_of_own_question_in_blocks_equals_brute_force(spark):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(30)]
+    rows = [(rng.sample(words, rng.randint(0, 6)),) for _ in range(300)]
+    asked = [(i, rng.choices(words, k=rng.randint(0, 5)), rng.choice([0.0, 0.5, 1.0, 2 / 3**0.5])) for i in range(60)]
+    got = similarity.scored_above(spark.createDataFrame(rows, "ts array<string>").repartition(3), "ts", spark.createDataFrame(asked, "id long, ts array<string>, own double"), "id", "ts", "own", size=40, block=7)
+    score = lambda bag, ts: sum(w in ts for w in bag) / len(ts) ** 0.5 if ts else 0
+    want = {i: sum(round(score(bag, ts), 9) > round(own, 9) for (ts,) in rows) for i, bag, own in asked if any(score(bag, ts) for (ts,) in rows)}
+    assert {r.id: r.above for r in got.collect()} == want and len(want) > 40
+
+
+def test_rank_of_own_question_shuffles_no_pairs(spark, tmp_path):
+    """Every criterion shares a word with every question: 800,000 pairs of 2,000 questions and 400 criteria."""
+    d = asked_tables(spark, tmp_path, [(f"u{i}", f"energy mass field word{i}") for i in range(2000)], [(i, f"u{i % 2000}", f"energy mass only{i}") for i in range(20_000)])
+    before = shuffled_mb(spark)
+    assert {r.rank_of_own for r in extended.attribution_rank(spark, d).collect()} == {1} and shuffled_mb(spark) - before < 2
+
+
 def test_merging(spark):
     old = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), (None, "y", 3)], "uid string, source string, n int")
     new = spark.createDataFrame([("a", "y", 9), (None, "y", 8)], "uid string, source string, n int")
