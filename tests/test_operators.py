@@ -178,6 +178,38 @@ def test_rank_of_own_question_shuffles_no_pairs(spark, tmp_path):
     assert {r.rank_of_own for r in extended.attribution_rank(spark, d).collect()} == {1} and shuffled_mb(spark) - before < 2
 
 
+def test_nearest_documents_equal_brute_force(spark):
+    """Words of every frequency, equal texts, rows without a word, NULL groups and ids out of order, in blocks smaller than a task's rows."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    texts = [rng.choices(words, weights=[1 / (i + 1) for i in range(60)], k=rng.randint(0, 7)) for _ in range(150)]
+    rows = [(i, rng.choice(["a", "b", "c", None]), rng.choice(texts)) for i in range(400)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "id long, g string, ts array<string>").repartition(3)
+    got = similarity.nearest_documents(df, F.expr("id % 5 = 0"), "id", "g", F.col("ts"), size=50, block=7)
+    n = {w: sum(w in ts for _, _, ts in rows) for w in words}
+    vectors = []
+    for i, g, ts in rows:
+        x = {w: (1 + np.log(ts.count(w))) * (np.log((1 + len(rows)) / (1 + n[w])) + 1) for w in set(ts)}
+        vectors.append((i, g, {w: v / np.sqrt(sum(y * y for y in x.values())) for w, v in x.items()}))
+    want = []
+    for i, g, x in vectors:
+        s = {j: sum(v * y[w] for w, v in x.items() if w in y) for j, h, y in vectors if g and h and g != h}
+        if i % 5 == 0 and max(s.values(), default=0) > 0:
+            best = min(s, key=lambda j: (-round(s[j], 9), j))
+            want.append((i, best, round(s[best], 9)))
+    assert sorted((r.query, r.id, round(r.s, 9)) for r in got.collect()) == sorted(want) and 40 < len(want) < 80
+
+
+def test_nearest_of_other_questions_shuffles_no_pairs(spark, tmp_path):
+    """Every criterion shares a word with every other: 840,000 pairs of 120 asked and 7,000 criteria."""
+    d = asked_tables(spark, tmp_path, [("u", "energy")], [(i, f"u{i % 7}", f"energy mass only{i // 2}") for i in range(7000)])
+    before = shuffled_mb(spark)
+    got = {r.criterion_id: r.other for r in extended.nearest_other_question(spark, d).collect()}
+    assert got == {i: i + 1 for i in range(0, 7000, 50)}
+    assert shuffled_mb(spark) - before < 0.2
+
+
 def test_merging(spark):
     old = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), (None, "y", 3)], "uid string, source string, n int")
     new = spark.createDataFrame([("a", "y", 9), (None, "y", 8)], "uid string, source string, n int")
