@@ -216,6 +216,18 @@ def defect_table(spark):
     return {a: found.get(("s", i)) for i, a in enumerate(answers)}
 
 
+def test_cutoffs_are_validated_on_all_rows(spark, monkeypatch):
+    """Each row is planted and judged once, in its own fold, by a model of the other fold."""
+    rows = [("s", i, QUESTION, f"The pump {i} reaches the dense lens first and the vapor is narrow there.", None, None) for i in range(8000)]
+    df = spark.createDataFrame(rows, "src string, rec_id long, question string, answer string, error string, recorded int")
+    seen, table = [], defects.posterior_table
+    monkeypatch.setattr(defects, "posterior_table", lambda codes, labelled: seen.append((codes.count(), labelled.count(), codes.where("fold = 1").count(), labelled.where("fold = 1").count() if "fold" in labelled.columns else 0)) or table(codes, labelled))
+    defects.defect_labels(df).count()
+    (n, planted, half, planted_half), = seen
+    assert n == planted == 8000 and 3000 < half == planted_half < 5000
+    assert defects.defect_labels(df.limit(1)).count() == 0  # one of the halves is empty
+
+
 def test_label_model_recovers_planted_behaviour():
     rng = np.random.default_rng(3)
     y = rng.random(20_000) < 0.1
